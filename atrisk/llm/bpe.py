@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from atrisk.llm.common import small_batches
+from atrisk.llm.common import Remembered, small_batches
 
-#: Chunks whose ids a worker remembers at once, and pairs in the compatibility table.
-CACHE = 500_000
-PAIRS = 2_000_000
+#: Chunks and words whose ids a worker remembers, and pairs in the compatibility table.
+CACHE = 300_000
+PAIRS = 1_000_000
 END = "Ā"
 
 
@@ -73,15 +73,21 @@ class WordBpe:
             unit[i] = unit[a] + unit[b]
         self.automaton = ahocorasick.Automaton()
         for i, s in unit.items():
-            self.automaton.add_word(s, (len(s), i))
+            self.automaton.add_word(s, i)
         self.automaton.make_automaton()
+        id_of = {s: i for i, s in unit.items()}
+        self.length = [len(unit[i]) for i in range(len(unit))]
+        # the longest token that is a proper prefix, or -1
+        self.shorter = [next((id_of[unit[i][:n]] for n in range(len(unit[i]) - 1, 0, -1) if unit[i][:n] in id_of), -1) for i in range(len(unit))]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = {k: np.uint32(v).tobytes() for k, v in special.items()}
         self._special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._words = regex.compile(split["pattern"]["Regex"])
-        self.ok: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.ok = Remembered(lambda k: self._boundary_holds(k >> 20, k & 0xFFFFF), PAIRS)
+        self.chunks = Remembered(self.chunk, CACHE)
+        self.words = Remembered(lambda w: b"".join(map(self.packed.__getitem__, self.word(w.encode().decode("latin-1") + END))), CACHE)
+        self.packed = [np.uint32(i).tobytes() for i in range(len(vocab))]
         shown = {i: t for t, i in (vocab | special).items()}
         assert suffix and len(shown) == max(shown) + 1
         pieces = [f"{shown[i]} ".encode() for i in range(len(shown))]
@@ -90,13 +96,7 @@ class WordBpe:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joint text of two tokens gives just these two again."""
-        key = (left, right)
-        got = self.ok.get(key)
-        if got is None:
-            if len(self.ok) > PAIRS:
-                self.ok.clear()
-            got = self.ok[key] = self._boundary_holds(left, right)
-        return got
+        return self.ok[left << 20 | right]
 
     def _boundary_holds(self, left: int, right: int) -> bool:
         before = len(self.offsets)  # the pieces at the boundary live until this merge
@@ -114,57 +114,48 @@ class WordBpe:
 
     def word(self, text: str) -> list[int]:
         """The ids of one pre-token given as one character per byte, END last."""
-        n = len(text)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(text):
-            starts[end + 1 - match[0]].append(match)
-        for s in starts:
-            s.sort(reverse=True)
+        n, length, shorter, ok = len(text), self.length, self.shorter, self.ok
+        longest = [-1] * n
+        for end, i in self.automaton.iter(text):
+            longest[end + 1 - length[i]] = i  # of one start, longer matches end later
         dead = bytearray(n + 1)
         ids: list[int] = []
-        trail: list[tuple[int, int]] = []
-        pos = k = 0
-        while pos < n:
-            for k in range(k, len(starts[pos])):
-                length, i = starts[pos][k]
-                if not dead[pos + length] and (not ids or self.compatible(ids[-1], i)):
-                    ids.append(i)
-                    trail.append((pos, k))
-                    pos, k = pos + length, 0
-                    break
-            else:
+        pos, i = 0, longest[0]
+        while True:
+            if i < 0:  # no way on from here: the token before must be shorter
                 dead[pos] = 1
-                ids.pop()
-                pos, k = trail.pop()
-                k += 1
-        return ids
+                i = ids.pop()
+                pos -= length[i]
+                i = shorter[i]
+                continue
+            after = pos + length[i]
+            if dead[after] or (ids and not ok[ids[-1] << 20 | i]):
+                i = shorter[i]
+                continue
+            ids.append(i)
+            if after == n:
+                return ids
+            pos, i = after, longest[after]
 
     def chunk(self, text: str) -> bytes:
         """The ids of any text, uncached: special strings, normal form, pre-tokens, words."""
+        if text.isascii() and text.isalpha():
+            return self.words[text.lower()]
         out = []
-        for part in self._special.split(text):
+        for part in self._special.split(text) if "<|" in text else [text]:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part)
-            part = "".join(c.lower() for c in part)
-            for w in self._words.findall(part):
-                out.append(np.asarray(self.word(w.encode().decode("latin-1") + END), "<u4").tobytes())
+            if part.isascii():
+                part = part.lower()
+            else:  # letter by letter, without rules for a word's end
+                part = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
+            out += map(self.words.__getitem__, [part] if part.isascii() and part.isalpha() else self._words.findall(part))
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            for c in chunks:
-                if c not in self.known:
-                    self.known[c] = self.chunk(c)
-            return b"".join(map(self.known.__getitem__, chunks))
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
     def decode(self, ids: bytes, block: int = 1 << 20) -> bytes:
         """The UTF-8 text of encoded ids: token strings with a blank between them."""
