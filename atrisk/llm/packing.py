@@ -28,26 +28,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from atrisk.llm.bpe import byte_letters
-from atrisk.llm.common import Remembered, small_batches
+from atrisk.llm.common import small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
-#: Chunks whose ids a worker remembers.
-CACHE = 400_000
 
-
-class ChunkEncoder:
+class TextEncoder:
     """Ids of whole texts by a byte-level vocabulary in the tokenizers' JSON form.
 
-    A byte-level tokenizer never joins text over a single blank or line feed that
-    stands between two other characters, so a text is cut there and each distinct chunk
-    is encoded once while a bounded cache holds it. Texts with other white-space runs
-    are encoded in one piece. Ids follow merge order, so the vocabulary's ids serve as
-    ranks; the tests hold the result against the tokenizers library.
+    Ids follow merge order, so the vocabulary's ids serve as ranks for the faster of the
+    installed libraries; the tests hold the result against the tokenizers library.
     """
 
-    _RUN = re.compile(r"\s\s|\x00")
-
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
@@ -59,24 +51,18 @@ class ChunkEncoder:
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.ordinary = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.chunks = Remembered(self.whole, CACHE)
 
-    def whole(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         if "<|" not in text:
             return array("I", self.ordinary(text)).tobytes()
         return b"".join(self.special.get(p) or array("I", self.ordinary(p)).tobytes() for p in self._special.split(text))
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if self._RUN.search(text):
-            return self.whole(text)
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")))
-
 
 @functools.lru_cache(maxsize=2)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    """One per worker process, with what it remembers, for all its tasks."""
-    return ChunkEncoder(path)
+def text_encoder(path: str) -> TextEncoder:
+    """One per worker process, for all its tasks."""
+    return TextEncoder(path)
 
 
 class VectorPacker:
@@ -170,7 +156,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, max_tokens: int = 10
     full = min(max_tokens, max_loss)
 
     def run(batches):
-        encoder = chunk_encoder(tokenizer_path)
+        encoder = text_encoder(tokenizer_path)
         packer = VectorPacker(max_tokens, max_segments, max_loss, _cut_piece)
         first = TaskContext.get().partitionId() << 33
         sequence = 0
