@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atrisk.llm import bpe, fingerprint, html_text, jaccard, langid, media, packing, pii
+from atrisk.llm import bpe, chat, fingerprint, html_text, jaccard, langid, media, packing, pii, urlfilter
 from atrisk.llm.common import table
 
 
@@ -33,6 +33,12 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = urlfilter.filter_captures(urlfilter.derived_captures(pages), urlfilter.derived_entries(pages))
+    return found.withColumn("lists", F.array_join("lists", ","))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(*chat.derived(table(spark, sf_dir, "conversations")))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_text.extract(pages, html_text.train(pages))
@@ -54,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
-_ALL = [op1_language_id, op2_pii_surrogates, op3_media_columns, op5_fingerprints, op6_bpe, op7_ngram_jaccard, op9_main_text, op10_packing]
+_ALL = [op1_language_id, op2_pii_surrogates, op3_media_columns, op4_url_filter, op5_fingerprints, op6_bpe, op7_ngram_jaccard, op8_tool_calls, op9_main_text, op10_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -62,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": urlfilter.ORACLE, "op8_tool_calls": chat.ORACLE}
