@@ -24,9 +24,15 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
+def _load() -> None:
+    from atrisk.plans import exposure_queries  # noqa: F401  its decorators register
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLE)
