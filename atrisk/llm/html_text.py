@@ -92,7 +92,9 @@ def events(page: str):
         yield "text", page[at:], inside > 0
 
 
-DEFAULT = {"": 1.0}
+#: What every tag costs at least; tags that are more usual outside content cost more.
+LEAST = -0.2
+DEFAULT = {"": 1.0} | {slash + t: LEAST for t in "p b i em strong a br h1 h2 h3 h4 h5 h6 li ul ol span code pre blockquote".split() for slash in ("", "/")}
 
 
 def train(pages: DataFrame, *, sample: int = 2000) -> dict[str, float]:
@@ -119,22 +121,30 @@ def train(pages: DataFrame, *, sample: int = 2000) -> dict[str, float]:
     n = {(r["tag"], r["inside"]): r["n"] for r in rows}
     total = {s: sum(v for k, v in n.items() if k[1] == s) + 1 for s in (True, False)}
     odds = lambda tag: math.log((n.get((tag, True), 0) + 1) / total[True] * total[False] / (n.get((tag, False), 0) + 1))
-    return {"": min(3.0, max(0.2, odds("")))} | {t: -0.2 - max(0.0, -odds(t)) for t, _ in n if t}
+    return {"": min(3.0, max(0.2, odds("")))} | {t: LEAST - max(0.0, -odds(t)) for t, _ in n if t}
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The content region's blocks, joined by blank lines."""
     items = list(events(page))
-    word, usual = weights[""], min((v for k, v in weights.items() if k), default=-0.5)
+    word = weights[""]
+    cost = lambda tag: weights.get(tag, -1.0)
     best, span, run, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, value, _) in enumerate(items):
-        run += word * len(value.split()) if kind == "text" else weights.get(value, usual if len(weights) > 1 else -0.5)
+        run += word * len(value.split()) if kind == "text" else cost(value)
         if run <= 0:
             run, start = 0.0, i + 1
         elif run > best:
             best, span = run, (start, i + 1)
+    # a short block at either end may not pay for its tags: go on over what is usual inside
+    low, high = span
+    plain = lambda i: items[i][0] == "text" or cost(items[i][1]) == LEAST
+    while high > low > 0 and plain(low - 1):
+        low -= 1
+    while high > low and high < len(items) and plain(high):
+        high += 1
     blocks: list[list[str]] = [[]]
-    for kind, value, _ in items[slice(*span)]:
+    for kind, value, _ in items[low:high]:
         if kind == "text":
             blocks[-1].append(value)
         elif value.lstrip("/") in BLOCKS:

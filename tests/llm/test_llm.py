@@ -1,0 +1,220 @@
+"""The corpus operators against brute force, exact round trips and planted cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+pytest.importorskip("atrisk.llm")
+
+import numpy as np  # noqa: E402
+import public_tokenizers  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
+
+from atrisk.llm import bpe, chat, fingerprint, html_text, jaccard, langid, media, packing, pii, urlfilter  # noqa: E402
+
+DOCS = "doc_id long, text string, lang string, extra string"
+ODD = [None, "", " \n ", "a", "x\x00y", "Ünï <|endoftext|> don't  STOP", "word " * 3000, "日本語 текст"]
+
+
+def docs(spark, texts, lang="en"):
+    return spark.createDataFrame([(i, t, lang, "x") for i, t in enumerate(texts)], DOCS)
+
+
+def words(rng, vocabulary, n):
+    return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [words(rng, vocabulary, rng.choice([3, 8, 40, 150, 400])) for _ in range(60)]
+    out = list(base)
+    for t in base[:40]:
+        w = t.split()
+        for _ in range(rng.randint(0, max(1, len(w) // 25))):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        out.append(" ".join(w))
+    return out + base[:5] + [None, "", "  ", "one two"]
+
+
+def test_jaccard_matches_brute_force(spark, texts):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs(spark, texts)).collect()}
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    root = list(range(len(sets)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j in range(i):
+                b = sets[j]
+                if a and b and 100 * len(a & b) >= 75 * len(a | b) and root[i] != root[j]:
+                    root[i] = root[j] = min(root[i], root[j])
+                    changed = True
+    assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
+    assert len(set(root)) < len(root)
+
+
+def test_jaccard_bounds():
+    rng = np.random.default_rng(1)
+    for n in (5, 70, 600):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 8], rng.integers(0, 1 << 63, n // 8).astype(np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        assert jaccard.least_difference(jaccard.bit_sketch(a), jaccard.bit_sketch(b)) <= apart
+        none = np.zeros(0, np.uint64)
+        assert set(jaccard.block_keys(a, 75, none)) & set(jaccard.block_keys(b, 75, none))
+
+
+def test_jaccard_empty_table(spark):
+    assert jaccard.near_duplicates(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_bpe_is_exact(name):
+    path = public_tokenizers.path(name)
+    library, own = Tokenizer.from_file(path), bpe.WordBpe(path)
+    rng = random.Random(5)
+    letters = "abcdethinosr'ÉßİΣü01 .,!\n\t\x1c\x85<|>日é😀"
+    for t in [x or "" for x in ODD] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(1500)]:
+        want = library.encode(t, add_special_tokens=False).ids
+        ids = own.encode(t)
+        assert np.frombuffer(ids, "<u4").tolist() == want
+        assert own.decode(ids).decode() == library.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_odd_rows(spark):
+    rows = bpe.digests(docs(spark, ODD), public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert len(rows) == len(ODD) and rows[0]["n_tokens"] == 0 and rows[0]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_packing_covers_every_id(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rows = packing.pack_documents(docs(spark, ODD * 20).coalesce(1), path).collect()
+    at: Counter = Counter()
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        ids = np.array(library.encode(ODD[r["doc_id"] % len(ODD)] or "", add_special_tokens=False).ids + [0], "<u4")
+        assert r["start"] == at[r["doc_id"]] and r["doc_tokens"] == len(ids)
+        assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+        at[r["doc_id"]] += r["length"]
+        if at[r["doc_id"]] == len(ids):
+            at[r["doc_id"], "done"] = 1
+    assert sum(1 for k in at if isinstance(k, tuple)) == len(ODD) * 20
+    fill: dict = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fill.get(r["sequence_id"], 0)
+        fill[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(fill.values()) <= 1024 and sum(v < 1024 for v in fill.values()) <= 1
+
+
+def test_packing_keeps_all_limits(spark):
+    rows = packing.pack_documents(docs(spark, ["a b c"] * 300).coalesce(1), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=64, max_segments=5, max_loss_tokens=20).collect()
+    by: dict = {}
+    for r in rows:
+        n, tokens, loss = by.get(r["sequence_id"], (0, 0, 0))
+        by[r["sequence_id"]] = (n + 1, tokens + r["length"], loss + r["loss_tokens"])
+    assert all(n <= 5 and t <= 64 and x <= 20 for n, t, x in by.values())
+    assert sum(t for _, t, _ in by.values()) == 300 * 4
+
+
+def test_media_round_trip(spark):
+    payloads = [media.payload_of(t or "") for t in ODD]
+    assert all(media.decode_png(media.encode_png(p)) == p and len(p) % 64 == 0 and p for p in payloads)
+    rows = {r["doc_id"]: r for r in media.media_columns(docs(spark, ODD + ODD)).collect()}
+    assert len(rows) == 2 * len(ODD)
+    for i, p in enumerate(payloads):
+        r, twin = rows[i], rows[i + len(ODD)]
+        assert r["payload_sha256"] == hashlib.sha256(p).hexdigest() and r["tail_crc32"] == zlib.crc32(p[-64:])
+        assert (r["width"], r["height"], r["bits"]) == (64, len(p) // 64, 8)
+        assert (r["media_sha256"], r["feature"], r["offset"]) == (twin["media_sha256"], twin["feature"], twin["offset"])
+
+
+def test_language_id(spark):
+    rng = random.Random(2)
+    kinds = {"aa": ["tralo", "mirato", "lorami"], "bb": ["schenk", "wurtz", "krumpf"], "cc": ["yxqy", "qyzzy", "zyxx"]}
+    rows = [(i, words(rng, kinds[k], 30), k, "x") for i, k in enumerate(list(kinds) * 30)]
+    model = langid.train(spark.createDataFrame(rows, DOCS))
+    more = [(i, words(rng, kinds[k], 30), k, "x") for i, k in enumerate(list(kinds) * 10)]
+    got = langid.predict(spark.createDataFrame(more, DOCS), model).collect()
+    assert all(r["lang_pred"] == more[r["doc_id"]][2] and 0 <= r["score"] <= 1 for r in got)
+    odd = langid.predict(docs(spark, [None, "", "123 !!"]), model).collect()
+    assert {r["lang_pred"] for r in odd} == {"und"}
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 9, 40])
+def test_codewords_differ(n):
+    code = langid.code_book(n)
+    assert len({tuple(r) for r in code}) == n and (code.min(0) < 0).all()
+
+
+def test_pii_surrogates(spark):
+    given = ["mail anna.b7@host.example.org, call +1 (743) 555-3824.", "again ANNA.b7@host.example.org or anna.b7@host.example.org", "ip 10.2.33.254! card 4785380592391139 id 123-45-6789", "key 24be64439e3e49cf46b2d7c90f3602a3d0b907ff and Frau Anna Müller", None, "", "nothing 12 here", "a\x01b anna.b7@host.example.org"]
+    out = [r["text"] for r in sorted(pii.surrogates(docs(spark, given), "k").collect(), key=lambda r: r["doc_id"])]
+    assert out[4] is None and out[5] == "" and out[6] == given[6]
+    for secret in ("anna.b7", "743) 555", "10.2.33.254", "4785380592391139", "123-45-6789", "24be64439e3e", "Anna", "Müller"):
+        assert not any(secret in (t or "") for t in out), secret
+    mail = re.search(r"\S+@\S+\.org", out[0])[0]
+    assert mail in out[1] and mail in out[7] and re.fullmatch(r"[a-z]{4}\.[a-z]\d@[a-z]{4}\.[a-z]{7}\.org", mail)
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}\.", out[0]) and re.search(r"card \d{16} id \d{3}-\d{2}-\d{4}", out[2])
+    first = re.search(r"Frau (\S+) \S+", out[3])[1]
+    assert first in pii.FEMALE and first != "Anna"
+
+
+def test_pii_is_one_to_one(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).select(F.concat(F.lit("1.2."), (F.col("id") / 250).cast("int"), F.lit("."), (F.col("id") % 250)).alias("entity")).withColumn("kind", F.lit("ip"))
+    assert df.select(pii.surrogate(F.col("entity"), "k")).distinct().count() == 3000
+    assert pii.clashes(df, "k").filter("n > 1").count() == 0
+
+
+def test_fingerprints_estimate_generalised_jaccard(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    given = [words(rng, vocabulary, 200) for _ in range(12)] + [None, "", "a b"]
+    given.append(given[0])
+    got = sorted(fingerprint.fingerprints(docs(spark, given), 32).collect(), key=lambda r: r["doc_id"])
+    bag = lambda t: Counter((t or "").split())
+    errors = []
+    for i, t in enumerate(given):
+        t, after = t or "", given[(i + 1) % len(given)] or ""
+        m = len(t) // 4
+        edited = t[: len(t) - m] + after[:m]
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(t)
+        union = sum((bag(t) | bag(after)).values())
+        if t and after:
+            errors.append(got[i]["near_next"] - sum((bag(t) & bag(after)).values()) / union)
+    assert got[0]["fingerprint"] == got[-1]["fingerprint"] and got[12]["fingerprint"] == "" and got[12]["near_next"] == 1.0
+    assert abs(sum(errors) / len(errors)) < 0.06
+
+
+def test_url_filter_as_of(spark):
+    captures = spark.sql("select * from values (1, 'http://a.b.example.com/x/y', timestamp'2024-03-01'), (2, 'http://a.b.example.com/', timestamp'2024-01-01'), (3, null, timestamp'2024-03-01'), (4, 'https://user@A.B.example.com:80/z', timestamp'2024-05-01') as t(page_id, url, fetched_at)")
+    entries = spark.sql("select * from values ('l', 'b.example.com', timestamp'2024-02-01', 'add'), ('l', 'b.example.com', timestamp'2024-04-01', 'remove'), ('m', 'a.b.example.com/x', timestamp'2023-01-01', 'add') as t(list, key, at, action)")
+    got = {r["page_id"]: r["lists"] for r in urlfilter.filter_captures(captures, entries).collect()}
+    assert got == {1: ["l", "m"], 2: [], 3: [], 4: []}
+
+
+def test_tool_calls(spark):
+    calls = spark.sql("""select * from values ('c1', 1L, 1L, 'search', '{"limit": 5, "query": "x"}', cast(null as string)), ('c2', 1L, 2L, 'lookup', '{"exact": "maybe", "key": "k"}', 'c1'), ('c3', 1L, 3L, 'nope', '{}', 'c2'), ('c4', 1L, 4L, 'search', 'no json', 'c5'), ('c5', 1L, 5L, 'search', '{"query": "y"}', 'c4'), ('c1', 1L, 1L, 'search', '{"limit": 5, "query": "x"}', cast(null as string)) as t(call_id, conv_id, turn, tool, arguments, parent)""")
+    results = spark.sql("select * from values ('c1', 'found'), ('c9', 'lost') as t(call_id, content)")
+    got = {r["call_id"]: r for r in chat.link(calls, results).collect()}
+    assert {k: r["level"] for k, r in got.items()} == {"c1": 0, "c2": 1, "c3": 2, "c4": None, "c5": None}
+    assert got["c1"]["record"] == '{"arguments":{"limit":5,"query":"x"},"id":"c1","name":"search"}' and got["c1"]["copies"] == 2 and got["c1"]["result_chars"] == 5
+    assert got["c2"]["problem"] == "type of exact" and got["c3"]["problem"] == "unknown tool" and got["c4"]["problem"] == "no object"
+    assert [r["call_id"] for r in chat.orphans(calls, results).collect()] == ["c9"]
+
+
+def test_main_text():
+    page = "<html><head><title>T</title></head><body><nav><a>menu item</a></nav><div class='ad'>buy now</div><article><h1>Head &amp; more</h1><p>First  <b>bold</b>\n text.<br>Next</p><form>name</form><p>Second</p><div id=comments><p>nice!</p></div></article><footer>foot</footer></body>"
+    want = "Head & more\n\nFirst bold text. Next\n\nSecond"
+    assert html_text.main_text(page, html_text.DEFAULT) == want
+    assert html_text.main_text("", html_text.DEFAULT) == "" and html_text.main_text("<p", html_text.DEFAULT) == ""
