@@ -50,8 +50,8 @@ def _never_content(name: str, attributes: str, inside: bool) -> bool:
 
 def events(page: str):
     """(kind, value, inside) in page order: kind 'text' with text, or 'tag' with a name and
-    a leading slash when it closes; inside tells whether a content element is open.
-    Dropped elements give one 'tag' event and nothing of what they hold."""
+    a leading slash when it closes, or 'gap'; inside tells whether a content element is open.
+    Dropped elements give one 'gap' event and nothing of what they hold."""
     stack: list[tuple[str, bool]] = []
     dropped = inside = 0
     at = 0
@@ -70,20 +70,22 @@ def events(page: str):
         name = m.group(3)
         if name is None:
             if m.group(1) and not dropped:
-                yield "tag", m.group(1).lower(), inside > 0
+                yield "gap", m.group(1).lower(), inside > 0
             continue
         name = name.lower()
         if m.group(2):
+            gap = False
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
+                    gap = stack[i][1]
                     close(i)
                     break
-            if not dropped:
+            if not dropped and not gap:
                 yield "tag", "/" + name, inside > 0
             continue
         drop = _never_content(name, m.group(4), inside > 0)
         if not dropped:
-            yield "tag", name, inside > 0
+            yield "gap" if drop else "tag", name, inside > 0
         if name not in VOID and not m.group(4).endswith("/"):
             stack.append((name, drop))
             dropped += drop
@@ -112,6 +114,8 @@ def train(pages: DataFrame, *, sample: int = 2000) -> dict[str, float]:
         for batch in batches:
             for page in batch.column(1).to_pylist():
                 for kind, value, inside in events(page):
+                    if kind == "gap":
+                        continue
                     total[value if kind == "tag" else "", inside] += 1 if kind == "tag" else len(value.split())
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], names=["tag", "inside", "n"])
@@ -131,14 +135,14 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     cost = lambda tag: weights.get(tag, -1.0)
     best, span, run, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, value, _) in enumerate(items):
-        run += word * len(value.split()) if kind == "text" else cost(value)
+        run += word * len(value.split()) if kind == "text" else LEAST if kind == "gap" else cost(value)
         if run <= 0:
             run, start = 0.0, i + 1
         elif run > best:
             best, span = run, (start, i + 1)
     # a short block at either end may not pay for its tags: go on over what is usual inside
     low, high = span
-    plain = lambda i: items[i][0] == "text" or cost(items[i][1]) == LEAST
+    plain = lambda i: items[i][0] != "tag" or cost(items[i][1]) == LEAST
     while high > low > 0 and plain(low - 1):
         low -= 1
     while high > low and high < len(items) and plain(high):
@@ -147,7 +151,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     for kind, value, _ in items[low:high]:
         if kind == "text":
             blocks[-1].append(value)
-        elif value.lstrip("/") in BLOCKS:
+        elif kind == "gap" or value.lstrip("/") in BLOCKS:
             blocks.append([])
         elif value == "br":
             blocks[-1].append(" ")
