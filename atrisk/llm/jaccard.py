@@ -13,9 +13,10 @@ speed only, so the list of frequent shingles may be bounded without losing a pai
 Bands double twice; a document that may have partners in the next band joins there too.
 
 Candidates are never all pairs of a group. Each member of a key's group first meets the
-group's first member; verified links are merged into components, and members outside a
-group's largest component meet others of it, one a key, for some rounds. Only members
-that are still in different components then meet in full. Before any text is fetched a pair is
+group's first member; verified links are merged into components. Only members that are
+then in different components meet in full, and only if the Hamming distance of their
+sketches, folded to 512 bits beside the key, allows a link: that test is part of the
+join's condition. Before any text is fetched a pair is
 tested on bit sketches (two bits or more a shingle), whose Hamming distance bounds the
 symmetric difference from below as well; what is left is verified on the shingle sets.
 """
@@ -36,8 +37,8 @@ U64 = np.uint64
 FREQUENT = 250_000
 #: A shingle counts as frequent from this many documents of one task on.
 FREQUENT_FROM = 24
-#: Times that members of a group which are still apart meet one of its largest component.
-ROUNDS = 3
+#: 64-bit words of a folded sketch.
+FOLD = 8
 #: Shingles a task holds while counting.
 COUNTED = 1 << 22
 
@@ -148,8 +149,8 @@ def block_keys(s: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(s: np.ndarray) -> bytes:
-    """Parity bits, a power of two and two to four per element, at least 64."""
-    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+    """Parity bits, a power of two and two to four per element, at least a folded sketch."""
+    bits = 1 << max((64 * FOLD).bit_length() - 1, (2 * len(s) - 1).bit_length())
     place = _mix(s ^ U64(0x2545F4914F6CDD1D)) & U64(bits - 1)
     return np.packbits(np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8).tobytes()
 
@@ -342,6 +343,19 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _folded(sketches: DataFrame) -> DataFrame:
+    """``sid, f0 ...``: sketches folded to FOLD words."""
+    names = [f"f{i}" for i in range(FOLD)]
+
+    def run(batches):
+        for batch in batches:
+            rows = [np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, FOLD), 0) for x in batch.column(1).to_pylist()]
+            if rows:
+                yield _batch(dict.fromkeys(["sid", *names], _LONG), [batch.column(0), *np.stack(rows).T])
+
+    return sketches.select("sid", "sketch").mapInArrow(run, ", ".join(f"{c} long" for c in ["sid", *names]))
+
+
 def _apart(members: DataFrame, root: DataFrame) -> DataFrame:
     """``key, sid, n, root``: members of the keys whose members are in several components."""
     placed = members.select("key", "sid", "n").join(root.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -349,15 +363,6 @@ def _apart(members: DataFrame, root: DataFrame) -> DataFrame:
     return written(placed.join(mixed, "key"), "apart")
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, docs: DataFrame, owners: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs that link, and the sets with those that had to be fetched for it."""
-    left = written(_near_by_sketch(pairs, sketches, percent), "pairs")
-    missing = written(left.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets, "sid", "left_anti"), "missing")
-    if missing.limit(1).count():
-        sets = sets.unionByName(written(_sets(docs, missing, owners, width), "shingle-sets"))
-    return written(_verified(left, sets, percent), "links"), sets
-
-
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
@@ -385,20 +390,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
     sets = written(_sets(docs, first.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), owners, width), "shingle-sets")
     edges = written(_verified(best, sets, percent), "links")
 
-    for turn in range(ROUNDS):
-        apart = _apart(members, components(edges))
-        # each member outside a key's largest component meets one of that component
-        sizes = apart.groupBy("key", "root").agg(F.count("*").alias("size"), F.min_by(F.struct(F.col("sid").alias("head"), F.col("n").alias("head_n")), F.xxhash64("sid", "key", F.lit(turn))).alias("h"))
-        heads = sizes.groupBy("key").agg(F.max_by(F.struct(F.col("root").alias("head_root"), "h.*"), F.struct("size", "root")).alias("h")).select("key", "h.*")
-        tried = apart.join(heads, "key").filter("root != head_root").filter(near).groupBy(F.col("sid").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("shared"))
-        found, sets = _confirmed(tried, sketches, sets, docs, owners, width, percent)
-        edges = edges.unionByName(found)
-    # what is still apart meets in full
+    # members still apart meet in full, as far as their folded sketches allow
     apart = _apart(members, components(edges))
-    x, y = (apart.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "root"))) for s in "xy")
-    cross = x.join(y, "key").filter(f"x_sid < y_sid and x_root != y_root and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
+    apart = apart.join(_folded(sketches.join(apart.select("sid").distinct(), "sid", "left_semi")), "sid")
+    x, y = (apart.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "root", *(f"f{i}" for i in range(FOLD))))) for s in "xy")
+    differ = " + ".join(f"bit_count(x_f{i} ^ y_f{i})" for i in range(FOLD))
+    cross = x.join(y, "key").filter(f"x_sid < y_sid and x_root != y_root and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and {100 + percent} * ({differ}) <= {100 - percent} * (x_n + y_n)")
     cross = cross.groupBy(F.col("x_sid").alias("a"), F.col("y_sid").alias("b")).agg(F.count("*").alias("shared"))
-    more, _ = _confirmed(cross, sketches, sets, docs, owners, width, percent)
+    left = written(_near_by_sketch(cross, sketches, percent), "pairs")
+    missing = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid"), "sid", "left_anti")
+    more = written(_verified(left, sets.unionByName(written(_sets(docs, missing, owners, width), "shingle-sets")), percent), "links")
     root = written(components(edges.unionByName(more)), "roots")
 
     named = rows.join(root.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
