@@ -294,14 +294,17 @@ def _near_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> Data
 
 
 def _sets(docs: DataFrame, sids: DataFrame, owners: DataFrame, width: int) -> DataFrame:
-    """The shingle sets of the given ids, each from the text of one owner."""
+    """The shingle sets of the given ids, each from the text of one owner.
+
+    The wanted ids are written first, so that the planner knows their size: texts are
+    shuffled only where the ids are beyond its limit for a broadcast."""
 
     def run(batches):
         for batch in batches:
             sets = shingles(batch.column(1).to_pylist(), width)
             yield _batch({"sid": _LONG, "items": _BIN}, [batch.column(0), [s.tobytes() for s in sets]])
 
-    wanted = owners.join(sids, "sid", "left_semi").select(F.col("owner").alias("doc_id"), "sid")
+    wanted = written(owners.join(sids, "sid", "left_semi").select(F.col("owner").alias("doc_id"), "sid"), "wanted")
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("sid", "text")
     checked = texts.mapInArrow(run, "sid long, items binary")
     return checked.dropDuplicates(["sid"])
