@@ -25,7 +25,11 @@ def latest(rows: DataFrame, key: str, at: str, *columns: str) -> DataFrame:
 
 def tile_states(ledger: DataFrame, as_of: Column, *, ttl_hours: float = 336, backoff_minutes: float = 30) -> DataFrame:
     """fresh: ok within the TTL; failed: not ok within the backoff; else stale."""
-    now = latest(ledger, "tile_key", "fetched_at", "event_id", "status")
+    return state_of(latest(ledger, "tile_key", "fetched_at", "event_id", "status"), as_of, ttl_hours=ttl_hours, backoff_minutes=backoff_minutes)
+
+
+def state_of(now: DataFrame, as_of: Column, *, ttl_hours: float = 336, backoff_minutes: float = 30) -> DataFrame:
+    """The state of tiles of which ``now`` holds the latest outcome."""
     age = (F.unix_micros(as_of) - F.unix_micros(F.col("fetched_at").cast("timestamp"))) / 1e6
     state = F.when((F.col("status") == "ok") & (age <= ttl_hours * 3600), "fresh").when((F.col("status") != "ok") & (age <= backoff_minutes * 60), "failed").otherwise("stale")
     return now.select("tile_key", "fetched_at", "status", state.alias("state"))
@@ -35,3 +39,28 @@ def daily_usage(events: DataFrame, quota: int) -> DataFrame:
     """Requests per key and day with the day's use against a quota (0: unlimited)."""
     used = events.groupBy(F.col("user_id").alias("key"), F.to_date("ts").alias("day")).agg(F.count("*").alias("used"))
     return used.withColumn("over", (F.lit(quota) > 0) & (F.col("used") > quota))
+
+
+def delete_where(rows: DataFrame, test: Column) -> DataFrame:
+    """What stays after a delete: rows for which the test is false or null."""
+    return rows.filter(~F.coalesce(test, F.lit(False)))
+
+
+def replace_tiles(base: DataFrame, batch: DataFrame, refreshed: DataFrame) -> DataFrame:
+    """Rows of refreshed tiles come from the batch, all others stay; rows of the batch whose
+    tile was not refreshed are left out."""
+    return base.join(refreshed, "tile_key", "left_anti").unionByName(batch.join(refreshed, "tile_key", "left_semi"))
+
+
+def trailing_requests(events: DataFrame, seconds: int) -> DataFrame:
+    """Per request the key's requests in the seconds up to and with it."""
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
+    return events.select("event_id", F.col("user_id").alias("key"), F.count("*").over(w).alias("requests"))
+
+
+def block_plan(tiles: DataFrame, fresh: DataFrame, side: int) -> DataFrame:
+    """Blocks of side x side tiles that hold one to fetch, each tile in exactly one."""
+    marked = tiles.join(fresh.select("tile_key", F.lit(1).alias("fresh")), "tile_key", "left")
+    index = lambda c: F.floor(F.col(c) / side).alias(f"b{c}")
+    blocks = marked.groupBy(index("ix"), index("iy")).agg(F.count("*").alias("tiles"), F.sum(F.when(F.col("fresh").isNull(), 1).otherwise(0)).alias("to_fetch"))
+    return blocks.filter("to_fetch > 0")

@@ -75,7 +75,11 @@ def edges_sql() -> str:
 
 
 def tile_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    return ledger_rows(read(spark, sf_dir, "events"))
+
+
+def ledger_rows(e: DataFrame) -> DataFrame:
+    """Fetch outcomes from events, of a table or a stream."""
     key = F.concat(F.lit("0.05/"), (F.col("user_id") % 16 + 30).cast("string"), F.lit("/"), (F.floor(F.col("user_id") / 16) + 824).cast("string"))
     return e.select(key.alias("tile_key"), F.col("ts").alias("fetched_at"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), "event_id")
 
@@ -90,3 +94,12 @@ def source_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUNS_SQL = f"(select event_id as run_id, {_list(SOURCES)}[user_id % {len(SOURCES)} + 1] as source_id, ts as finished_at, case when event_type = 'error' then 'error' when event_type = 'view' then 'partial' else 'ok' end as status from events)"
+
+
+def pop_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, j = F.col("o_custkey") % 80, F.col("o_orderkey") % 80
+    cells = read(spark, sf_dir, "orders").groupBy(i.alias("i"), j.alias("j")).agg((F.count("*") * 10.0).alias("population"))
+    return cells.select(F.concat_ws("-", "i", "j").alias("cell_id"), (F.col("i") * 0.01 + 1.5).alias("x0"), (F.col("j") * 0.01 + 41.2).alias("y0"), F.lit(0.01).alias("size"), "population")
+
+
+GRID_SQL = "(select i || '-' || j as cell_id, i * 0.01::double + 1.5::double as x0, j * 0.01::double + 41.2::double as y0, n * 10.0::double as population from (select o_custkey % 80 as i, o_orderkey % 80 as j, count(*) as n from orders group by 1, 2))"

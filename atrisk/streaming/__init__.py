@@ -1 +1 @@
-"""Structured Streaming jobs with batch twins."""
+"""Structured Streaming jobs; each has a batch twin."""
