@@ -66,19 +66,47 @@ def offer(term: Column, log_weight: Column, sample: int, tables: dict[str, Colum
     return c - r * (F.floor(log_weight / r + beta) - beta + 1)
 
 
-def signatures(rows: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """One row per key with ``signature``: an array of ``samples`` ints, null without words.
+def _counts(rows: DataFrame, key: str, kept: str, tail: str, replaced: str) -> DataFrame:
+    """``key, __term, own, edit``: how often a term occurs in the text, kept + tail, and in
+    the edited text, kept + replaced. What is kept is split into words once for both; its
+    last word may go on in either, so it is counted with them. Words are lower-cased one by
+    one, so that a word's form never depends on where a text was cut."""
+    last = F.reverse(F.regexp_extract(F.reverse(kept), r"^[\p{L}\p{N}]*", 0))
+    parts = F.array(
+        F.struct(F.lit(1).alias("__own"), F.lit(1).alias("__edit"), F.expr(f"substring({kept}, 1, length({kept}) - length(__last))").alias("__text")),
+        F.struct(F.lit(1).alias("__own"), F.lit(0).alias("__edit"), F.concat("__last", tail).alias("__text")),
+        F.struct(F.lit(0).alias("__own"), F.lit(1).alias("__edit"), F.concat("__last", replaced).alias("__text")),
+    )
+    texts = rows.withColumn("__last", last).select(key, F.inline(parts))
+    words = texts.select(key, "__own", "__edit", F.explode(F.split("__text", r"[^\p{L}\p{N}]+")).alias("__word")).filter("__word != ''")
+    return words.groupBy(key, F.xxhash64(F.lower("__word")).alias("__term")).agg(F.sum("__own").alias("own"), F.sum("__edit").alias("edit"))
+
+
+def signatures(rows: DataFrame, key: str, kept: str, tail: str, replaced: str, samples: int = SAMPLES) -> DataFrame:
+    """``key, own, edit``: the signatures of the texts kept + tail and kept + replaced,
+    arrays of ``samples`` ints.
 
-    Where ``rows`` is already partitioned by the first of ``keys``, nothing is shuffled.
+    A text without words has a null signature, a key without any no row. Terms that both
+    texts hold equally often make the same offer to both, which is computed once: offers
+    are minimised within three classes (both, text, edited), then the classes are joined.
+    Where ``rows`` is already partitioned by ``key``, nothing is shuffled.
     """
     tables = _tables()
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    terms = rows.select(*keys, F.explode_outer(words).alias("__word")).select(*keys, F.when(F.col("__word").isNotNull(), F.xxhash64("__word")).alias("__term"))
-    counted = terms.groupBy(*keys, "__term").agg(F.log(F.count("*").cast("double")).alias("__log"))
-    offers = [F.min(F.when(F.col("__term").isNotNull(), offer(F.col("__term"), F.col("__log"), i, tables))).alias(f"__a{i}") for i in range(samples)]
-    least = counted.groupBy(*keys).agg(*offers)
-    folded = F.transform(F.array(*(f"__a{i}" for i in range(samples))), lambda a: F.hash(a))
-    return least.select(*keys, F.when(F.col("__a0").isNotNull(), folded).alias("signature"))
+    same = F.col("own") == F.col("edit")
+    ways = F.array(
+        F.struct(F.when(same, 0).otherwise(1).alias("__class"), F.col("own").alias("__n")),
+        F.struct(F.lit(2).alias("__class"), F.when(same, 0).otherwise(F.col("edit")).alias("__n")),
+    )
+    weighted = _counts(rows, key, kept, tail, replaced).select(key, "__term", F.inline(ways)).filter("__n > 0").select(key, "__class", "__term", F.log(F.col("__n").cast("double")).alias("__log"))
+    offers = [F.min(offer(F.col("__term"), F.col("__log"), i, tables)).alias(f"__a{i}") for i in range(samples)]
+    least = weighted.groupBy(key, "__class").agg(*offers).select(key, "__class", F.array(*(f"__a{i}" for i in range(samples))).alias("__a"))
+    by_class = least.groupBy(key).agg(*(F.max(F.when(F.col("__class") == i, F.col("__a"))).alias(f"__c{i}") for i in range(3)))
+    return by_class.select(key, _smaller("__c0", "__c1").alias("own"), _smaller("__c0", "__c2").alias("edit"))
+
+
+def _smaller(a: str, b: str) -> Column:
+    """The hashes of the smaller offers of two arrays, of which one may be null."""
+    return F.zip_with(F.coalesce(a, b), F.coalesce(b, a), lambda x, y: F.hash(F.least(x, y)))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -125,14 +153,12 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     # each text asks the next for a quarter of its own length
     asked = texts.select(F.col("next").alias("k"), F.col("k").alias("asker"), F.floor(F.length("text") / 4).cast("int").alias("m"))
     prefixes = asked.join(one, "k").select(F.col("asker").alias("k"), F.expr("substring(text, 1, m)").alias("prefix"))
-    n = F.length("text")
-    both = one.join(prefixes, "k").withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), "prefix"))
-    versions = both.select("k", F.explode(F.array(F.struct(F.lit(False).alias("changed"), F.col("text")), F.struct(F.lit(True).alias("changed"), F.col("edited").alias("text")))).alias("v")).select("k", "v.*")
-    signed = signatures(versions, ["k", "changed"], "text", samples)
-    pair = signed.groupBy("k").agg(F.max(F.when(~F.col("changed"), F.col("signature"))).alias("own"), F.max(F.when(F.col("changed"), F.col("signature"))).alias("edit"))
-    facts = both.select("k", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    cut = one.select("k", "text", F.expr("length(text) - cast(floor(length(text) / 4) as int)").alias("m"))
+    both = cut.join(prefixes, "k").select("k", F.length("text").cast("long").alias("n_chars"), F.expr("substring(text, 1, m)").alias("kept"), F.expr("substring(text, m + 1)").alias("tail"), "prefix")
+    pair = signatures(both, "k", "kept", "tail", "prefix", samples)
+    facts = both.select("k", "n_chars", F.sha2(F.concat("kept", "prefix").cast("binary"), 256).alias("edited_sha256"))
     # read twice below: each document meets its successor's signature
-    done = written(facts.join(pair, "k").join(order, "k"), "fingerprints")
+    done = written(facts.join(pair, "k", "left").join(order, "k"), "fingerprints")
     following = done.select(F.col("k").alias("next"), F.col("own").alias("following"))
     return done.join(following, "next").select(
         F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"),
