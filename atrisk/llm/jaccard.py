@@ -366,6 +366,16 @@ def _apart(members: DataFrame, root: DataFrame) -> DataFrame:
     return written(placed.join(mixed, "key"), "apart")
 
 
+def _merged(reached: DataFrame, more: DataFrame) -> DataFrame:
+    """``id, root`` after further links: only components that these join are searched again."""
+    first = lambda c: reached.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+    placed = more.join(first("a"), "a", "left").join(first("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    again = written(components(placed), "roots").select(F.col("id").alias("root"), F.col("root").alias("higher"))
+    moved = reached.join(again, "root", "left").select("id", F.coalesce("higher", "root").alias("root"))
+    new = again.select(F.col("root").alias("id"), F.col("higher").alias("root")).join(reached.select("id"), "id", "left_anti")
+    return written(moved.unionByName(new), "roots")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
@@ -394,7 +404,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
     edges = written(_verified(best, sets, percent), "links")
 
     # members still apart meet in full, as far as their folded sketches allow
-    apart = _apart(members, components(edges))
+    reached = written(components(edges), "roots")
+    apart = _apart(members, reached)
     apart = apart.join(_folded(sketches.join(apart.select("sid").distinct(), "sid", "left_semi")), "sid")
     x, y = (apart.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "root", *(f"f{i}" for i in range(FOLD))))) for s in "xy")
     differ = " + ".join(f"bit_count(x_f{i} ^ y_f{i})" for i in range(FOLD))
@@ -403,7 +414,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
     left = written(_near_by_sketch(cross, sketches, percent), "pairs")
     missing = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid"), "sid", "left_anti")
     more = written(_verified(left, sets.unionByName(written(_sets(docs, missing, owners, width), "shingle-sets")), percent), "links")
-    root = written(components(edges.unionByName(more)), "roots")
+    root = _merged(reached, more)
 
     named = rows.join(root.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
