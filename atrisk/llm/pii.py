@@ -4,12 +4,13 @@ Entities (e-mail addresses, telephone numbers, IP addresses, card and identity n
 secrets, names after a title) are found by patterns in the whole text and replaced by a
 keyed, format-preserving permutation of their characters: digits become digits, letters
 become letters of the same script and case, vowels vowels and consonants consonants,
-everything else stays. A four-round Feistel network over the two halves makes the
-replacement one-to-one among entities of a type and format, so distinct entities keep
-distinct surrogates and one entity has the same surrogate in every document, without a
-table of entities, a join or a shuffle. First names of a known gender are exchanged
-within their gender. :func:`clashes` checks the outcome over all distinct entities, and
-:func:`choose_key` takes the first variant of the key without a clash.
+everything else stays; letters of a script without an alphabet become Latin ones. A
+four-round Feistel network over the two halves makes the replacement one-to-one among
+strings of a type and format, so one entity has the same surrogate in every document.
+First names of a known gender are exchanged within their gender. What still falls
+together or stays as it is (short words, other scripts) is found over all distinct parts
+of entities, and :func:`exceptions` gives just these further rounds until none is left;
+they alone are joined back, by the texts that hold them.
 """
 
 from __future__ import annotations
@@ -18,11 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 4
+#: Further rounds of clashing parts that keep the format.
+FORMAT_ROUNDS = 3
 MARK = "\x01"
+AT, OTHER = "_text_hash", "_other"
 
 # Alphabets within which a character is exchanged.
 DIGITS = "0123456789"
-ALPHABETS = [DIGITS, "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áàâäéèêëíìîïóòôöúùûü", "ÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
+ALPHABETS = [DIGITS, "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áàâäéèêëíìîïóòôöúùûü", "ÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜ", "çñßšžčłń", "ÇÑŠŽČŁŃ", "аеиоуыэюяё", "бвгджзклмнпрстфхцчшщйъь", "АЕИОУЭЮЯЁ", "БВГДЖЗКЛМНПРСТФХЦЧШЩЙ", "αεηιουω", "βγδζθκλμνξπρστφχψς", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
+#: Letters and digits of a script without an alphabet; Latin letters and digits stand for them.
+FOREIGN = r"[\p{L}\p{N}&&[^" + "".join(ALPHABETS) + "]]"
+LATIN = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 HEX = ["0123456789abcdef"]
 HEX_UPPER = ["0123456789ABCDEF"]
 # Titles and common first names by gender.
@@ -30,6 +37,7 @@ TITLES = "Mr Mrs Ms Miss Sir Madam Dr Prof Herr Frau Señor Señora Sr Sra Monsi
 MALE = "James John Robert Michael William David Richard Thomas Charles Daniel Paul Mark Peter Hans Klaus Jürgen Pierre Jean Michel Carlos José Luis Miguel".split()
 FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Anna Laura Emma Ursula Monika Petra Marie Sophie Camille Carmen María Lucía Elena".split()
 
+_OCTETS = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
@@ -63,19 +71,40 @@ def _characters(s: Column) -> Column:
 def _exchanged(s: Column, by: Column, alphabets: list[str]) -> Column:
     """Moves each character on in its alphabet by two hex digits of ``by``."""
 
+    letters = "".join(alphabets)
+    # by place among all letters: the size of its alphabet and how many letters precede that
+    sizes = "".join(chr(len(a)) * len(a) for a in alphabets)
+    before = "".join(chr(1 + len("".join(alphabets[:k]))) * len(a) for k, a in enumerate(alphabets))
+
     def one(c: Column, i: Column) -> Column:
         step = F.conv(F.substring(by, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        out = c
-        for a in alphabets:
-            place = F.instr(F.lit(a), c)
-            out = F.when(place > 0, F.substring(F.lit(a), (place - 1 + step) % len(a) + 1, F.lit(1))).otherwise(out)
-        return out
+        place = F.instr(F.lit(letters), c)
+        first = F.ascii(F.substring(F.lit(before), place, F.lit(1)))
+        moved = first + (place - first + step) % F.ascii(F.substring(F.lit(sizes), place, F.lit(1)))
+        return F.when(place > 0, F.substring(F.lit(letters), moved, F.lit(1))).otherwise(c)
 
     return F.array_join(F.transform(_characters(s), one), "")
 
 
+def _romanised(s: Column, key: str) -> Column:
+    """Puts keyed Latin letters and digits in place of what no alphabet holds. This is not
+    one-to-one; :func:`exceptions` parts those that fall together."""
+
+    def put(digest: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            step = F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+            drawn = lambda a: F.substring(F.lit(a), step % len(a) + 1, F.lit(1))
+            return F.when(c.rlike(FOREIGN), F.when(c.rlike(r"\p{N}"), drawn(DIGITS)).when(c.rlike(r"\p{Lu}"), drawn(LATIN[1])).otherwise(drawn(LATIN[0]))).otherwise(c)
+
+        return F.array_join(F.transform(_characters(s), one), "")
+
+    return F.when(s.rlike(FOREIGN), _bound(F.sha2(F.concat_ws("|", F.lit(key), F.lit("foreign"), s), 256), put)).otherwise(s)
+
+
 def permuted(value: Column, key: str, domain: str, alphabets: list[str]) -> Column:
     """A keyed one-to-one image of a string among those of its format."""
+    if alphabets is ALPHABETS:
+        value = _romanised(value, key)
 
     def network(v: Column) -> Column:
         half = F.floor((F.length(v) + 1) / 2).cast("int")
@@ -110,14 +139,24 @@ def _digits(value: Column, key: str, kind: str, kept: str) -> Column:
 
 
 def _address(value: Column, key: str) -> Column:
-    """Permutes an IP address: 32 bits as hex digits, back to four octets."""
+    """Permutes an IP address: 32 bits as hex digits, back to four octets. What has an octet
+    over 255 or with a leading zero is no such number, so its digits are permuted."""
     octets = lambda v: F.array_join(F.transform(F.split(v, r"\."), lambda o: F.lpad(F.lower(F.hex(o.cast("long") % 256)), 2, "0")), "")
     back = lambda h: F.concat_ws(".", *(F.conv(F.substring(h, F.lit(i), F.lit(2)), 16, 10) for i in (1, 3, 5, 7)))
-    return _bound(permuted(octets(value), key, "ip", HEX), back)
+    return F.when(value.rlike(_OCTETS), _bound(permuted(octets(value), key, "ip", HEX), back)).otherwise(_digits(value, key, "octets", "^$"))
+
 
+def _words(name: Column) -> Column:
+    return F.split(name, " ")
 
-def _person(value: Column, key: str) -> Column:
-    """Keeps the title, exchanges a known first name within its gender, permutes the rest."""
+
+def _own(word: Column) -> Column:
+    """Whether a word of a name is neither a title nor empty."""
+    return (F.length(word) > 0) & ~word.rlike(rf"^(?:{'|'.join(TITLES)})\.?$")
+
+
+def _word(value: Column, key: str) -> Column:
+    """Exchanges a known first name within its gender, permutes any other word."""
     step = int.from_bytes(__import__("hashlib").sha256(f"{key}|first".encode()).digest()[:4], "big")
 
     def word(w: Column) -> Column:
@@ -127,29 +166,67 @@ def _person(value: Column, key: str) -> Column:
             out = F.when(at > 0, F.get(F.array(*map(F.lit, names)), ((at - 1 + 1 + step % (len(names) - 1)) % len(names)).cast("int"))).otherwise(out)
         return out
 
-    words = F.split(value, " ")
-    return F.array_join(F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(word(w))), " ")
+    return _bound(value, word)
+
+
+def _whole(v: Column, kind: Column, key: str) -> Column:
+    """The image of an entity that is replaced in one piece: a number or a secret."""
+    secret = F.when(v.rlike("[a-f]"), permuted(v, key, "secret", HEX)).otherwise(permuted(v, key, "secret", HEX_UPPER))
+    return (
+        F.when(kind == "secret", secret)
+        .when(kind == "phone", _digits(v, key, "phone", r"^\+[0-9]{1,3}(?=[^0-9])"))
+        .when(kind == "ip", _address(v, key))
+        .when(kind == "identity", _digits(v, key, "identity", "^$"))
+        .otherwise(_digits(v, key, "card", "^$"))
+    )
+
+
+def _image(space: Column, part: Column, key: str) -> Column:
+    """The image of a part: a word of a name, a local part, a domain label or a whole entity."""
+    return (
+        F.when(space == "name", _word(part, key))
+        .when(space == "local", permuted(part, key, "email", ALPHABETS))
+        .when(space == "label", permuted(part, key, "domain", ALPHABETS))
+        .otherwise(_whole(part, _kind(part), key))
+    )
 
 
-def surrogate(value: Column, key: str) -> Column:
-    """The replacement of one entity as it stands in the text."""
+def _labels(at: Column) -> Column:
+    return F.split(F.get(at, F.lit(1)), r"\.")
+
+
+def _parts(entity: Column) -> Column:
+    """The parts of an entity that are replaced, each with its space. Images that differ
+    within the spaces make replacements that differ."""
+
+    def of(v: Column) -> Column:
+        kind, at = _kind(v), F.split(v, "@")
+        made = lambda space, c: F.struct(F.lit(space).alias("space"), c.alias("part"))
+        labels = F.transform(F.slice(_labels(at), 1, F.size(_labels(at)) - 1), lambda w: made("label", w))
+        return (
+            F.when(kind == "email", F.concat(F.array(made("local", F.get(at, F.lit(0)))), labels))
+            .when(kind == "name", F.transform(F.filter(_words(v), _own), lambda w: made("name", w)))
+            .otherwise(F.array(made("whole", v)))
+        )
+
+    return _bound(entity, of)
+
+
+def surrogate(value: Column, key: str, other: Column | None = None) -> Column:
+    """The replacement of one entity as it stands in the text; ``other`` maps ``space:part``
+    to the image of the parts for which it isn't the key's own."""
 
     def of(v: Column) -> Column:
         kind = _kind(v)
+        made = lambda space, part, image: image if other is None else F.coalesce(F.element_at(other, F.concat(F.lit(f"{space}:"), part)), image)
         # the part before @ and each label but the last, by themselves: one domain stays one
         at = F.split(v, "@")
-        labels = F.split(F.get(at, F.lit(1)), r"\.")
-        domain = F.array_join(F.transform(labels, lambda w, i: F.when(i == F.size(labels) - 1, w).otherwise(permuted(w, key, "domain", ALPHABETS))), ".")
-        email = F.concat(permuted(F.get(at, F.lit(0)), key, "email", ALPHABETS), F.lit("@"), domain)
-        return (
-            F.when(kind == "email", email)
-            .when(kind == "secret", F.when(v.rlike("[a-f]"), permuted(v, key, "secret", HEX)).otherwise(permuted(v, key, "secret", HEX_UPPER)))
-            .when(kind == "phone", _digits(v, key, "phone", r"^\+[0-9]{1,3}(?=[^0-9])"))
-            .when(kind == "ip", _address(v, key))
-            .when(kind == "identity", _digits(v, key, "identity", "^$"))
-            .when(kind == "card", _digits(v, key, "card", "^$"))
-            .otherwise(_person(v, key))
-        )
+        labels = _labels(at)
+        domain = F.array_join(F.transform(labels, lambda w, i: F.when(i == F.size(labels) - 1, w).otherwise(made("label", w, permuted(w, key, "domain", ALPHABETS)))), ".")
+        local = F.get(at, F.lit(0))
+        email = F.concat(made("local", local, permuted(local, key, "email", ALPHABETS)), F.lit("@"), domain)
+        name = F.array_join(F.transform(_words(v), lambda w: F.when(_own(w), made("name", w, _word(w, key))).otherwise(w)), " ")
+        return F.when(kind == "email", email).when(kind == "name", name).otherwise(made("whole", v, _whole(v, kind, key)))
 
     return _bound(value, of)
 
@@ -175,36 +252,70 @@ def clashes(found: DataFrame, key: str) -> DataFrame:
     return made.groupBy("kind", "made").agg(F.count("*").alias("n"), F.max(F.col("made") == F.col("entity")).alias("own")).filter("n > 1 or (own and made rlike '[0-9a-zA-Z]')")
 
 
-def choose_key(docs: DataFrame, key: str, tries: int = 8) -> str:
-    """The first of ``key``, ``key#1`` ... without a clash among all distinct entities, or the
-    one with the fewest."""
+def exceptions(found: DataFrame, key: str) -> DataFrame | None:
+    """The parts (``space, part``) whose image under ``key`` is the part itself or also that
+    of another, with an image of their own in ``made``; None if there are none.
+
+    Just these get a further keyed round, until none is left. An image counts once no part
+    has it, not even one of an earlier round. The first rounds keep the format; each later
+    one adds a character, so a format without a free string (one letter, say) ends it too.
+    """
+    from atrisk.llm.common import written
+
+    table = written(found.withColumn("made", _image(F.col("space"), F.col("part"), key)), "images")
+    groups = table.groupBy("space", "made").agg(F.count("*").alias("n"), F.min(F.when(F.col("part") != F.col("made"), F.col("part"))).alias("first"), F.max(F.col("part") == F.col("made")).alias("own")).filter("n > 1 or own")
+    left = written(table.join(groups, ["space", "made"]).filter("first is null or part <> first").select("space", "part"), "clashing")
+    if left.isEmpty():
+        return None
+    taken, done, i = table.select("space", "made"), None, 0
+    while not left.isEmpty():
+        i += 1
+        variant = f"{key}#{i}"
+        image = _image(F.col("space"), F.col("part"), variant)
+        if i > FORMAT_ROUNDS:
+            drawn = F.substring(F.sha2(F.concat_ws("|", F.lit(variant), F.col("space"), F.col("part")), 256), 1, min(i - FORMAT_ROUNDS, 64))
+            more = F.when(F.col("space") == "whole", F.translate(drawn, "abcdef", "012345")).otherwise(F.translate(drawn, "0123456789abcdef", "bcdfghjkmnpqrstv"))
+            image = F.concat(image, more)
+        tried = written(left.withColumn("made", image), "tried")
+        used = taken.join(tried.select("space", "made"), ["space", "made"], "left_semi").distinct()
+        free = tried.filter("made <> part").join(used, ["space", "made"], "left_anti")
+        fixed = written(free.groupBy("space", "made").agg(F.min("part").alias("part")).select("space", "part", "made"), "fixed")
+        left = written(left.join(fixed, ["space", "part"], "left_anti"), "clashing")
+        taken, done = taken.unionByName(fixed.select("space", "made")), fixed if done is None else done.unionByName(fixed)
+    return done
+
+
+def _replaced(docs: DataFrame, key: str) -> tuple[DataFrame, Column | None]:
+    """``docs``, and where parts need images of their own, with a map of those in the text.
+    The map is joined by the text's hash, as the ids may be null or repeated."""
     from atrisk.llm.common import written
 
-    found = written(entities(docs), "entities")
-    best = None
-    for i in range(tries):
-        variant = f"{key}#{i}" if i else key
-        n = clashes(found, variant).count()
-        if not n:
-            return variant
-        best = min(best or (n, variant), (n, variant))
-    return best[1]
+    cut = F.flatten(F.transform(F.filter(pieces(F.col("text")), lambda _, i: i % 2 == 1), _parts))
+    found = written(docs.filter(F.col("text").isNotNull()).select(F.sha2("text", 256).alias(AT), cut.alias("parts")).filter(F.size("parts") > 0), "found")
+    each = found.select(AT, F.inline("parts"))
+    other = exceptions(each.select("space", "part").distinct(), key)
+    if other is None:
+        return docs, None
+    pair = F.struct(F.concat_ws(":", "space", "part").alias("k"), F.col("made").alias("v"))
+    maps = each.join(other, ["space", "part"]).groupBy(AT).agg(F.map_from_entries(F.collect_set(pair)).alias(OTHER))
+    return docs.withColumn(AT, F.sha2("text", 256)).join(maps, AT, "left").drop(AT), F.col(OTHER)
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
     """All columns of ``docs`` with entities replaced in ``text`` and n_chars, where there is
     such a column, set to the new length. A null text stays null; rows are independent of
     each other, so repeated rows and null ids need no care."""
-    out = docs.withColumn("text", _rewritten(F.col("text"), key))
+    rows, other = _replaced(docs, key)
+    out = rows.withColumn("text", _rewritten(pieces(F.col("text")), key, other)).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def _rewritten(text: Column, key: str) -> Column:
-    return F.array_join(F.transform(pieces(text), lambda p, i: F.when(i % 2 == 1, surrogate(p, key)).otherwise(p)), "")
+def _rewritten(cut: Column, key: str, other: Column | None) -> Column:
+    return F.array_join(F.transform(cut, lambda p, i: F.when(i % 2 == 1, surrogate(p, key, other)).otherwise(p)), "")
 
 
 def surrogates(docs: DataFrame, key: str) -> DataFrame:
     """``doc_id, text, n_entities``: every document with its entities replaced."""
-    cut = docs.select("doc_id", pieces(F.col("text")).alias("cut"))
-    text = F.array_join(F.transform("cut", lambda p, i: F.when(i % 2 == 1, surrogate(p, key)).otherwise(p)), "")
-    return cut.select("doc_id", text.alias("text"), F.coalesce(F.floor(F.size("cut") / 2), F.lit(0)).cast("long").alias("n_entities"))
+    rows, other = _replaced(docs, key)
+    cut = rows.select("doc_id", pieces(F.col("text")).alias("cut"), *([] if other is None else [other]))
+    return cut.select("doc_id", _rewritten(F.col("cut"), key, other).alias("text"), F.coalesce(F.floor(F.size("cut") / 2), F.lit(0)).cast("long").alias("n_entities"))

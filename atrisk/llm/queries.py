@@ -26,7 +26,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pii.surrogates(docs, pii.choose_key(docs, "surrogates"))
+    return pii.surrogates(docs, "surrogates")
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,6 +176,21 @@ def test_pii_is_one_to_one(spark):
     assert pii.clashes(df, "k").filter("n > 1").count() == 0
 
 
+def test_pii_distinct_for_all_scripts_and_short_parts(spark):
+    vowels, consonants = "aeiou", "bcdfghjklmnpqrstvwxyz"
+    given = [f"Mr {c.upper()}{v} said" for c in consonants for v in vowels]  # every string of the format
+    given += ["Dr Արամ said", "Dr Արաս said", "Dr ΑΛΕΞ said", "Dr Михаил said"]
+    given += [f"ip {a} up" for a in ("1.2.3.300", "1.2.3.44", "01.2.3.44", "1.2.3.4")]
+    given += [f"mail {c}@{c}.org now" for c in "abcdefghijklmnopqrstuvwxyz"]
+    out = [r["text"] for r in sorted(pii.surrogates(docs(spark, given), "k").collect(), key=lambda r: r["doc_id"])]
+    assert len(set(out)) == len(given)
+    for was, now in zip(given, out, strict=True):
+        parts = re.split("[ @]|[.]org", was)[1:3] if "@" in was else [was.split(" ")[1]]
+        assert not set(parts[:1]) & set(re.split("[ @]|[.]org", now)[1:2]), (was, now)
+    replaced = [r["text"] for r in sorted(pii.replace(docs(spark, given), "k").collect(), key=lambda r: r["doc_id"])]
+    assert replaced == out
+
+
 def test_fingerprints_estimate_generalised_jaccard(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(300)]
