@@ -1,8 +1,8 @@
 """Keyed surrogates for personal data, in DataFrame functions only.
 
 Entities (e-mail addresses, telephone numbers, IP addresses, card and identity numbers,
-secrets, names after a title) are found by patterns in the whole text and replaced by a
-keyed, format-preserving permutation of their characters: digits become digits, letters
+secrets, names after a title and the same names elsewhere in the text) are found by
+patterns in the whole text and replaced by a keyed, format-preserving permutation of their characters: digits become digits, letters
 become letters of the same script and case, vowels vowels and consonants consonants,
 everything else stays; letters of a script without an alphabet become Latin ones. A
 four-round Feistel network over the two halves makes the replacement one-to-one among
@@ -11,6 +11,13 @@ First names of a known gender are exchanged within their gender. What still fall
 together or stays as it is (short words, other scripts) is found over all distinct parts
 of entities, and :func:`exceptions` gives just these further rounds until none is left;
 they alone are joined back, by the texts that hold them.
+
+Deliberately not detected: names that follow no title anywhere in the text, single words
+of a name but its last, names cut by a line end, lower-case names; national numbers in
+one run of digits, in groups other than those of ``PATTERNS["national"]``, or with an
+extension; keys of fewer than 24 characters without a known start, with fewer than three
+digits or in base64 with ``+`` and ``/``; hex without a digit; IPv6 and postal addresses,
+dates of birth, user names, quoted local parts, addresses with an encoded or spelt @.
 """
 
 from __future__ import annotations
@@ -38,23 +45,33 @@ MALE = "James John Robert Michael William David Richard Thomas Charles Daniel Pa
 FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Anna Laura Emma Ursula Monika Petra Marie Sophie Camille Carmen María Lucía Elena".split()
 
 _OCTETS = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+#: Words of a name: with a capital or an initial, particles between them; 's stays outside.
+_NAME = r"\p{Lu}(?:\.(?=[ \u00a0]\p{L})|(?:[\p{L}\p{M}]|['’-](?=\p{L})(?!s(?!\p{L})))+)"
+_PARTICLE = r"(?:v[oa]n(?:[ \u00a0](?:de[rnm]?|het))?|vom|zu[mr]?|de|del|della|di|da|dos|du|las?|los|le|te[nr]|bin|ibn|al)"
+_TITLED = rf"(?:(?:{'|'.join(TITLES)})\.?[ \u00a0])+"
+_HOST = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?"
+#: Starts of well-known keys; they are kept.
+_KEY_HEAD = r"(?:A[KS]IA|AIza|gh[opsur]_|github_pat_|glpat-|xox[abeprs]-|hf_|npm_|[spr]k[-_](?:(?:live|test|proj|ant|or)[-_])?)"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
-    "secret": r"(?=[0-9a-f]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
+    # starts once in a run of the characters of a local part, which may be of any length
+    "email": r"(?<![\p{L}\p{N}_])(?<![\p{L}\p{N}_][.%+-]{1,8})[\p{L}\p{N}_][\p{L}\p{N}._%+-]*+@" + rf"{_HOST}(?:\.{_HOST})+",
+    "secret": rf"(?<!@)(?:(?=[a-fA-F]*[0-9])[0-9a-fA-F]{{32,}}+(?![\p{{L}}\p{{N}}])|{_KEY_HEAD}(?=[A-Za-z_-]*[0-9])[0-9A-Za-z](?:[_-]?[0-9A-Za-z]){{15,}}+(?![\p{{L}}\p{{N}}])|(?=(?:[A-Za-z]*[0-9]){{3}})(?=[0-9]*[A-Za-z])[0-9A-Za-z]{{24,}}+(?![\p{{L}}\p{{N}}_]))",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{1,4}\)[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "identity": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "name": rf"(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?",
+    # 3-3-4 digits; 9 digits in groups from 6 on; 8 to 15 digits from 0 on in groups, but no date
+    "national": r"(?:1[ .-])?[2-9][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|[6-9][0-9]{2}(?:(?:[ -][0-9]{3}){2}|(?:[ -][0-9]{2}){3})(?![ -]?[0-9])|[89][0-9][ -][0-9]{3}(?:[ -][0-9]{2}){2}(?![ -]?[0-9])|(?![0-9]{2}[./-][0-9]{2}[./-][0-9]{4}(?![0-9]))(?=(?:[0-9][ ./-]?){7,14}[0-9](?![0-9]))0[0-9]{1,5}(?:[ ./-][0-9]{2,8}){1,5}(?![0-9])",
+    "name": rf"{_TITLED}(?:{_PARTICLE}[ \u00a0])*{_NAME}(?:[ \u00a0](?:{_PARTICLE}[ \u00a0])*{_NAME})*",
 }
-#: An entity starts where no word goes on; e-mail addresses come first, as they hold dots.
-ANY = r"(?<![\p{L}\p{N}@_])(?=[\p{L}\p{N}+(])(?:" + "|".join(PATTERNS.values()) + ")"
+#: An entity starts where no word goes on; e-mail addresses come first, as they hold dots,
+#: and may follow an @.
+ANY = r"(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_+(])(?:" + PATTERNS["email"] + r"|(?<!@)(?:" + "|".join(v for k, v in PATTERNS.items() if k != "email") + "))"
 
 
 def _kind(value: Column) -> Column:
     out = F.lit("name")
-    for kind in ("card", "identity", "ip", "phone", "secret"):
+    for kind in ("national", "card", "identity", "ip", "phone", "secret"):
         out = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(out)
     return F.when(value.contains("@"), "email").otherwise(out)
 
@@ -147,12 +164,13 @@ def _address(value: Column, key: str) -> Column:
 
 
 def _words(name: Column) -> Column:
-    return F.split(name, " ")
+    """The words of a name and the blanks between them."""
+    return F.split(name, "(?<=[ \u00a0])|(?=[ \u00a0])")
 
 
 def _own(word: Column) -> Column:
-    """Whether a word of a name is neither a title nor empty."""
-    return (F.length(word) > 0) & ~word.rlike(rf"^(?:{'|'.join(TITLES)})\.?$")
+    """Whether a word of a name has a capital and is not a title."""
+    return word.rlike(r"^\p{Lu}") & ~word.rlike(rf"^(?:{'|'.join(TITLES)})\.?$")
 
 
 def _word(value: Column, key: str) -> Column:
@@ -171,12 +189,15 @@ def _word(value: Column, key: str) -> Column:
 
 def _whole(v: Column, kind: Column, key: str) -> Column:
     """The image of an entity that is replaced in one piece: a number or a secret."""
-    secret = F.when(v.rlike("[a-f]"), permuted(v, key, "secret", HEX)).otherwise(permuted(v, key, "secret", HEX_UPPER))
+    hexadecimal = F.when(v.rlike("[a-f]"), permuted(v, key, "secret", HEX)).otherwise(permuted(v, key, "secret", HEX_UPPER))
+    head = F.regexp_extract(v, f"^{_KEY_HEAD}", 0)
+    secret = F.when(v.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"), hexadecimal).otherwise(F.concat(head, permuted(F.substring(v, F.length(head) + 1, F.length(v)), key, "secret", [DIGITS, *LATIN])))
     return (
         F.when(kind == "secret", secret)
         .when(kind == "phone", _digits(v, key, "phone", r"^\+[0-9]{1,3}(?=[^0-9])"))
         .when(kind == "ip", _address(v, key))
         .when(kind == "identity", _digits(v, key, "identity", "^$"))
+        .when(kind == "national", _digits(v, key, "national", "^0"))
         .otherwise(_digits(v, key, "card", "^$"))
     )
 
@@ -225,21 +246,43 @@ def surrogate(value: Column, key: str, other: Column | None = None) -> Column:
         domain = F.array_join(F.transform(labels, lambda w, i: F.when(i == F.size(labels) - 1, w).otherwise(made("label", w, permuted(w, key, "domain", ALPHABETS)))), ".")
         local = F.get(at, F.lit(0))
         email = F.concat(made("local", local, permuted(local, key, "email", ALPHABETS)), F.lit("@"), domain)
-        name = F.array_join(F.transform(_words(v), lambda w: F.when(_own(w), made("name", w, _word(w, key))).otherwise(w)), " ")
+        name = F.array_join(F.transform(_words(v), lambda w: F.when(_own(w), made("name", w, _word(w, key))).otherwise(w)), "")
         return F.when(kind == "email", email).when(kind == "name", name).otherwise(made("whole", v, _whole(v, kind, key)))
 
     return _bound(value, of)
 
 
-def pieces(text: Column) -> Column:
-    """The text cut at its entities: those are the elements with an odd index."""
-    marked = F.split(F.regexp_replace(text, ANY, f"{MARK}$0{MARK}"), MARK)
+def _cut(text: Column, pattern: Column | str) -> Column:
+    marked = F.split(F.regexp_replace(text, pattern, F.lit(f"{MARK}$0{MARK}")), MARK)
     # a text that holds the mark itself is cut the longer way
-    between, found = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    one = F.lit(pattern) if isinstance(pattern, str) else pattern
+    between, found = F.split(text, one, -1), F.regexp_extract_all(text, one, F.lit(0))
     woven = F.flatten(F.transform(between, lambda p, i: F.when(i < F.size(found), F.array(p, F.get(found, i))).otherwise(F.array(p))))
     return F.when(F.instr(text, MARK) > 0, woven).otherwise(marked)
 
 
+def _untitled(cut: Column) -> Column:
+    """The names after a title without it, and their last words, longer ones first."""
+    titled = F.filter(cut, lambda p, i: (i % 2 == 1) & p.rlike(f"^{_TITLED}"))
+    bare = F.transform(titled, lambda p: F.regexp_replace(p, f"^{_TITLED}", ""))
+    last = F.filter(F.transform(bare, lambda p: F.regexp_extract(p, r"[^ \u00a0]+$", 0)), lambda w: w.rlike(r"^\p{L}{3}"))
+    return F.sort_array(F.array_distinct(F.concat(bare, last)), asc=False)
+
+
+def pieces(text: Column) -> Column:
+    """The text cut at its entities: those are the elements with an odd index. A name that
+    follows a title somewhere in the text is also found without one."""
+
+    def again(cut: Column) -> Column:
+        def by(names: Column) -> Column:
+            pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}@_])(?:\Q"), F.array_join(names, r"\E|\Q"), F.lit(r"\E)(?![\p{L}\p{N}])"))
+            return F.when(F.size(names) > 0, F.flatten(F.transform(cut, lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(_cut(p, pattern))))).otherwise(cut)
+
+        return _bound(_untitled(cut), by)
+
+    return _bound(_cut(text, ANY), again)
+
+
 def entities(docs: DataFrame) -> DataFrame:
     """The distinct entities: ``kind, entity``."""
     found = docs.filter(F.col("text").isNotNull()).select(F.filter(pieces(F.col("text")), lambda _, i: i % 2 == 1).alias("found"))
