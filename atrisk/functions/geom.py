@@ -39,6 +39,14 @@ def in_ring(x: Column, y: Column, ring: Ring) -> Column:
     return reduce(lambda a, b: a + b, crossed) % 2 == 1
 
 
+def on_edges(x: Column, y: Column, polygons: list[Polygon]) -> Column:
+    """Whether the point lies on an edge of a ring or hole, where the even-odd rule is
+    open on some sides."""
+    sides = [e for polygon in polygons for ring in polygon for e in edges(ring)]
+    on = [x.between(min(x1, x2), max(x1, x2)) & y.between(min(y1, y2), max(y1, y2)) & ((x - x1) * (y2 - y1) == (y - y1) * (x2 - x1)) for x1, y1, x2, y2 in sides]
+    return reduce(lambda a, b: a | b, on)
+
+
 def in_polygons(x: Column, y: Column, polygons: list[Polygon]) -> Column:
     """Inside any polygon and in none of its holes; the envelope is tested first."""
     tests = [reduce(lambda a, hole: a & ~in_ring(x, y, hole), outer[1:], in_envelope(x, y, envelope([outer])) & in_ring(x, y, outer[0])) for outer in polygons]

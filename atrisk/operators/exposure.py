@@ -40,9 +40,11 @@ def scored(assets: DataFrame, bands: Bands) -> DataFrame:
 
 
 def in_perimeter(assets: DataFrame, bands: Bands) -> DataFrame:
-    """The assets in any band; the envelope reaches the scan as four comparisons."""
+    """The assets whose point is in any band or on its boundary; the envelope reaches the
+    scan as four comparisons. Footprints count by their point, as assets hold no shape."""
     box = geom.envelope([p for *_, polygons in bands for p in polygons])
-    hit = [geom.in_polygons(F.col("lon"), F.col("lat"), polygons) for *_, polygons in bands]
+    at = F.col("lon"), F.col("lat")
+    hit = [geom.in_polygons(*at, polygons) | geom.on_edges(*at, polygons) for *_, polygons in bands]
     any_hit = hit[0]
     for h in hit[1:]:
         any_hit = any_hit | h

@@ -154,7 +154,8 @@ def o3(spark, sf_dir):
 @query("v17_exposure_report", f"with {_SCORED} select category, band_index, count(*) as assets, sum(people) as people, round(sum(total_eur), 0) as value_eur, round(max(priority), 5) as top_priority, round(min(distance_m), 3) as nearest_m from scored where inside_aoi group by 1, 2")
 def v17(spark, sf_dir):
     """The flagship: perimeter filter, classes, bands, values, scores and roll-up in one plan."""
-    inside = exposure.scored(exposure.in_perimeter(fx.assets(spark, sf_dir), BANDS), BANDS)
+    # a point on the boundary may be in no band, as those follow the even-odd rule alone
+    inside = exposure.scored(exposure.in_perimeter(fx.assets(spark, sf_dir), BANDS), BANDS).filter("inside_aoi")
     out = inside.groupBy("category", "band_index").agg(F.count("*").alias("assets"), F.sum("people").alias("people"), F.sum("total_eur").alias("value_eur"), F.max("priority").alias("top_priority"), F.min("distance_m").alias("nearest_m"))
     return _rounded(out, value_eur=0, top_priority=5, nearest_m=3)
 

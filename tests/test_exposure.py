@@ -53,3 +53,10 @@ def test_tile_states(spark):
 def test_every_query_is_registered_with_an_oracle():
     assert registry.FLAGSHIP in registry.queries()
     assert set(registry.oracle_sql()) == set(registry.queries())
+
+
+def test_perimeter_includes_its_boundary(spark):
+    bands = [("b", 1.0, [[[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)]]])]
+    points = {"left": (0.0, 2.0), "right": (4.0, 2.0), "top": (2.0, 4.0), "bottom": (2.0, 0.0), "corner": (4.0, 4.0), "hole's edge": (1.0, 2.0), "in": (0.5, 0.5), "in hole": (2.0, 2.0), "out": (4.5, 2.0), "beside": (2.0, 4.1)}
+    assets = spark.createDataFrame([(k, *v) for k, v in points.items()], "id string, lon double, lat double")
+    assert {r["id"] for r in exposure.in_perimeter(assets, bands).collect()} == set(points) - {"in hole", "out", "beside"}
