@@ -16,8 +16,12 @@ KEY = "surrogates"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language stays ambiguous."""
-    known = langid.label(docs, langid.train(docs))
+    """Drops documents without a letter and those whose language stays ambiguous; where no
+    document has a label, there is no model, and all with a letter stay."""
+    model = langid.train(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    known = langid.label(docs, model)
     return known.filter(f"lang_pred != '{langid.UND}' and not ambiguous").select(*docs.columns)
 
 

@@ -250,3 +250,10 @@ def test_main_text():
     want = "Head & more\n\nFirst bold text. Next\n\nSecond"
     assert html_text.main_text(page, html_text.DEFAULT) == want
     assert html_text.main_text("", html_text.DEFAULT) == "" and html_text.main_text("<p", html_text.DEFAULT) == ""
+
+
+def test_pipeline_keeps_documents_without_labels(spark):
+    import corpus_pipeline
+
+    given = docs(spark, ["some words", "1 2 3", None, "", "дом"], None)
+    assert sorted(r["text"] for r in corpus_pipeline.language(spark, given, "").collect()) == ["some words", "дом"]
