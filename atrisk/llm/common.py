@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none, as in local tests, a temporary one is set.
+    Where a local session names none, as in tests, a temporary one is set; a cluster needs one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return (path if "://" in path or path.startswith("file:") else f"file://{path}").rstrip("/")
@@ -44,17 +46,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Remembered(dict):
-    """A bounded memo in two generations: when the young one is full it becomes the old
-    one, from which what is still asked for moves back."""
+    """A bounded memo in two generations: when the young one is full, by entries or by the
+    length of its keys, it becomes the old one, from which what is still asked for moves
+    back. Long keys are not remembered at all."""
+
+    LONG, CHARACTERS = 1024, 1 << 24
 
     def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.old, self.held = make, size, {}, 0
 
     def __missing__(self, key):
-        if len(self) >= self.size:
+        length = len(key) if isinstance(key, str | bytes) else 1
+        if length > self.LONG:
+            return self.make(key)
+        if len(self) >= self.size or self.held >= self.CHARACTERS:
             self.old = dict(self)
             self.clear()
+            self.held = 0
+        self.held += length
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
