@@ -123,14 +123,14 @@ def fingerprint(signature: Column) -> Column:
 def next_ids(ids: DataFrame) -> DataFrame:
     """``k, next``: the next larger key of each, and for the largest the smallest.
 
-    ``ids`` holds distinct keys. They are bucketed by value, so that a window never holds
-    more than about a bucket; only a bucket's first key meets the other buckets'.
+    ``ids`` holds distinct keys. They are dealt in ranges of about equal numbers, whatever
+    their values, so that a window never holds more than about a bucket; only a range's
+    first key meets the other ranges'.
     """
-    low, high, n = ids.agg(F.min("k"), F.max("k"), F.count("*")).first()
+    low, n = ids.agg(F.min("k"), F.count("*")).first()
     if not n:
         return ids.select("k", F.col("k").alias("next"))
-    width = max(1.0, (float(high) - float(low) + 1) / max(1, math.ceil(n / BUCKET)))
-    b = ids.withColumn("bucket", F.floor(F.col("k").cast("double") / F.lit(width)))
+    b = written(ids.repartitionByRange(math.ceil(n / BUCKET), "k").withColumn("bucket", F.spark_partition_id()), "ranges")
     heads = b.groupBy("bucket").agg(F.min("k").alias("head"))
     heads = heads.select("bucket", F.lead("head").over(Window.orderBy("bucket")).alias("after"))
     inner = b.select("k", "bucket", F.lead("k").over(Window.partitionBy("bucket").orderBy("k")).alias("next"))
