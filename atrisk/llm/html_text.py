@@ -4,8 +4,8 @@ A page is a sequence of words, which score positive, and tags, which score negat
 linear scan finds the contiguous run with the largest sum, and that run is the content
 region. The weights come from labelled pages: those whose markup names the content
 (article, main) tell how often each tag and how many words stand inside and outside. A
-bounded sample of them (``sample`` in expectation, by a hash of the url) is enough for
-this table of a few hundred tags; every page is then read whole, without a shuffle.
+bounded sample of them (``sample`` in expectation, by a hash of the page) is enough for
+this table of HTML's elements (all others count together); every page is then read whole, without a shuffle.
 
 Elements that are never content (menus, footers, forms, adverts, comments ...) do not
 count as words and leave no text, wherever they stand.
@@ -30,11 +30,38 @@ DROPPED_WORDS = set("ad ads advert adverts advertisement sponsored promo banner
 DROPPED_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog".split())
 CONTENT = {"article", "main"}
 BLOCKS = set("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: The elements of HTML; pages' own elements count together, under one name.
+ELEMENTS = DROPPED | BLOCKS | set("a abbr b bdi bdo cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strong sub sup time tt u var video audio picture source br hr col colgroup wbr input link meta base".split())
+OWN = "own"
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(script|style|noscript|template|textarea|title)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.S | re.I)
+#: Elements whose content is text up to their own end tag.
+RAW = set("script style noscript template textarea title iframe".split())
+# An opening tag ends these open elements, up to the elements that hold them.
+_ITEMS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_ENDS_P = BLOCKS - {"li", "dd", "dt", "tr", "td", "th", "html", "body", "caption", "legend", "summary", "tbody", "tfoot", "thead", "figcaption"} | {"nav", "header", "footer", "aside", "form", "menu"}
+_HOLDS_P = BLOCKS - {"p"} | {"nav", "header", "footer", "aside", "form"}
+#: Elements further out are not looked at for implied ends.
+NEAR = 64
+
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_PLAIN = re.compile("[^>\"']*")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPLIT = re.compile(r"[^a-z0-9-]+|[_]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^a-z0-9]+")
+#: Parts of names that say something about an element's surroundings, and those of content.
+_ABOUT = {"has", "with", "no", "without", "is", "js", "not", "hide", "show"}
+_OF_CONTENT = {"article", "post", "entry", "story", "content", "text"}
+
+
+def _named_away(value: str) -> bool:
+    """Whether a class or id names something that is never content."""
+    for name in value.split():
+        parts = _SPLIT.split(_CAMEL.sub("-", name).lower())
+        found = DROPPED_WORDS.intersection(parts)
+        if found and parts[0] not in _ABOUT and not (found == {"header"} and _OF_CONTENT.intersection(parts)):
+            return True
+    return False
 
 
 def _never_content(name: str, attributes: str, inside: bool) -> bool:
@@ -42,17 +69,68 @@ def _never_content(name: str, attributes: str, inside: bool) -> bool:
         return not (name == "header" and inside)
     if attributes and name not in CONTENT and name not in ("html", "body"):
         for key, *value in _ATTRIBUTE.findall(attributes):
-            words = set(_SPLIT.split("".join(value).lower()))
-            if words & (DROPPED_ROLES if key.lower() == "role" else DROPPED_WORDS):
+            value = "".join(value)
+            if DROPPED_ROLES.intersection(value.lower().split()) if key.lower() == "role" else _named_away(value):
                 return True
     return False
 
 
+def _tags(page: str):
+    """(start, end, name, closes, attributes) of every piece of markup; comments and the like
+    have no name, raw elements end with their end tag. One pass: what has not been found
+    once up to the end is not looked for again."""
+    missing: set[str] = set()
+
+    def find(what: str, at: int) -> int:
+        if what in missing:
+            return -1
+        found = page.find(what, at)
+        if found < 0:
+            missing.add(what)
+        return found
+
+    at = 0
+    while (start := page.find("<", at)) >= 0:
+        head = page[start + 1 : start + 2]
+        closes = head == "/"
+        if head in ("!", "?"):
+            opening = next((o for o in ("<!--", "<![CDATA[") if page.startswith(o, start)), None)
+            ending = {"<!--": "-->", "<![CDATA[": "]]>", None: ">"}[opening]
+            end = find(ending, start + len(opening or "<!"))
+            at = len(page) if end < 0 else end + len(ending)
+            yield start, at, None, False, ""
+            continue
+        m = _NAME.match(page, start + 1 + closes)
+        if not m:
+            at = start + 1
+            continue
+        name, end = m[0].lower(), m.end()
+        while True:
+            end = _PLAIN.match(page, end).end()
+            if end >= len(page) or page[end] == ">":
+                break
+            after = find(page[end], end + 1)
+            end = end + 1 if after < 0 else after + 1
+        attributes = page[m.end() : end]
+        at = min(len(page), end + 1)
+        if name in RAW and not closes and not attributes.endswith("/"):
+            if f"</{name}" in missing:
+                at = len(page)
+            else:
+                stop = re.compile(f"</{name}[^>]*>", re.I).search(page, at)
+                if not stop:
+                    missing.add(f"</{name}")
+                at = stop.end() if stop else len(page)
+        yield start, at, name, closes, attributes
+
+
 def events(page: str):
     """(kind, value, inside) in page order: kind 'text' with text, or 'tag' with a name and
     a leading slash when it closes, or 'gap'; inside tells whether a content element is open.
-    Dropped elements give one 'gap' event and nothing of what they hold."""
+    Dropped elements give one 'gap' event and nothing of what they hold. End tags may be
+    left out where HTML allows it."""
     stack: list[tuple[str, bool]] = []
+    opened: Counter = Counter()
     dropped = inside = 0
     at = 0
 
@@ -60,34 +138,54 @@ def events(page: str):
         nonlocal dropped, inside
         while len(stack) > depth:
             name, drop = stack.pop()
+            opened[name] -= 1
             dropped -= drop
             inside -= name in CONTENT
 
-    for m in _TOKEN.finditer(page):
-        if not dropped and m.start() > at:
-            yield "text", page[at : m.start()], inside > 0
-        at = m.end()
-        name = m.group(3)
+    def ended(names: set[str], within: set[str]) -> None:
+        """Closes the outermost near open element of the names, as far as ``within``."""
+        if not any(opened[n] for n in names):
+            return
+        depth = None
+        for i in range(len(stack) - 1, max(-1, len(stack) - 1 - NEAR), -1):
+            if stack[i][0] in names:
+                depth = i
+            elif stack[i][0] in within:
+                break
+        if depth is not None:
+            close(depth)
+
+    for start, end, name, closes, attributes in _tags(page):
+        if not dropped and start > at:
+            yield "text", page[at:start], inside > 0
+        at = end
         if name is None:
-            if m.group(1) and not dropped:
-                yield "gap", m.group(1).lower(), inside > 0
             continue
-        name = name.lower()
-        if m.group(2):
+        if name in RAW and not closes:
+            if not dropped:
+                yield "gap", name, inside > 0
+            continue
+        if closes:
             gap = False
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    gap = stack[i][1]
-                    close(i)
-                    break
+            if opened[name]:
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                gap = stack[i][1]
+                close(i)
             if not dropped and not gap:
                 yield "tag", "/" + name, inside > 0
             continue
-        drop = _never_content(name, m.group(4), inside > 0)
+        if name in _ITEMS:
+            ended(*_ITEMS[name])
+        elif name in _ENDS_P:
+            ended({"p"}, _HOLDS_P)
+        drop = _never_content(name, attributes, inside > 0)
         if not dropped:
             yield "gap" if drop else "tag", name, inside > 0
-        if name not in VOID and not m.group(4).endswith("/"):
+        if name not in VOID and not attributes.endswith("/"):
             stack.append((name, drop))
+            opened[name] += 1
             dropped += drop
             inside += name in CONTENT
     if not dropped and at < len(page):
@@ -107,7 +205,7 @@ def train(pages: DataFrame, *, sample: int = 2000) -> dict[str, float]:
     n = labelled.count()
     if not n:
         return DEFAULT
-    share = int(min(1.0, sample / n) * 1_000_000)
+    share = min(1.0, sample / n)
 
     def count(batches):
         total: Counter = Counter()
@@ -116,12 +214,13 @@ def train(pages: DataFrame, *, sample: int = 2000) -> dict[str, float]:
                 for kind, value, inside in events(page):
                     if kind == "gap":
                         continue
-                    total[value if kind == "tag" else "", inside] += 1 if kind == "tag" else len(value.split())
+                    tag = "" if kind != "tag" else value if value.lstrip("/") in ELEMENTS else OWN
+                    total[tag, inside] += 1 if kind == "tag" else len(value.split())
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], names=["tag", "inside", "n"])
 
-    drawn = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < share)
-    rows = drawn.mapInArrow(count, "tag string, inside boolean, n long").groupBy("tag", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tag", "inside").limit(2000).collect()
+    drawn = labelled.filter(F.xxhash64("url", "html").cast("double") / 2.0**64 + 0.5 < share)
+    rows = drawn.mapInArrow(count, "tag string, inside boolean, n long").groupBy("tag", "inside").agg(F.sum("n").alias("n")).collect()
     n = {(r["tag"], r["inside"]): r["n"] for r in rows}
     total = {s: sum(v for k, v in n.items() if k[1] == s) + 1 for s in (True, False)}
     odds = lambda tag: math.log((n.get((tag, True), 0) + 1) / total[True] * total[False] / (n.get((tag, False), 0) + 1))
@@ -132,7 +231,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     """The content region's blocks, joined by blank lines."""
     items = list(events(page))
     word = weights[""]
-    cost = lambda tag: weights.get(tag, -1.0)
+    cost = lambda tag: weights.get(tag if tag.lstrip("/") in ELEMENTS else OWN, -1.0)
     best, span, run, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, value, _) in enumerate(items):
         run += word * len(value.split()) if kind == "text" else LEAST if kind == "gap" else cost(value)
