@@ -108,11 +108,11 @@ def train(docs: DataFrame, *, per_language: int = 1500, smoothing: float = 0.5)
     code = code_book(len(languages))
     if not languages:
         return Model([], code, np.zeros((ORDERS, BUCKETS, 0), np.float32), np.ones(0), np.ones((0, 0)))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000))
+    draw = F.xxhash64("doc_id", "text", F.lit("language sample")).cast("double") / 2.0**64 + 0.5
     keep = F.lit(False)
     for name in languages:
         share = min(1.0, per_language / counts[name])
-        keep = keep | ((F.col("lang") == name) & (draw < int(share * 1_000_000)))
+        keep = keep | ((F.col("lang") == name) & (draw < share))
     sample = written(labelled.filter(keep).select("text", "lang"), "language-sample")
     place = {name: i for i, name in enumerate(languages)}
 
@@ -214,11 +214,10 @@ def predict(docs: DataFrame, model: Model, *, ambiguity: float = 0.02) -> DataFr
     return label(docs.select("doc_id", "text"), model, ambiguity=ambiguity).drop("text")
 
 
-def label(docs: DataFrame, model: Model, *, ambiguity: float = 0.02) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred, score, ambiguous`` (which replace columns
-    of these names)."""
+def label(docs: DataFrame, model: Model, *, ambiguity: float = 0.02, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """All columns of ``docs`` and the prediction under ``names``, which may replace columns."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score", "ambiguous")
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -229,9 +228,9 @@ def label(docs: DataFrame, model: Model, *, ambiguity: float = 0.02) -> DataFram
             best, score, unsure = decode(margins, m, ambiguity)
             known = known & bool(m.languages)
             name = [m.languages[i] if k else UND for i, k in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(unsure | ~known)], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(unsure | ~known)], names=[*batch.schema.names, *names])
 
     schema = T.StructType(list(docs.schema.fields))
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("ambiguous", "boolean")):
+    for name, kind in zip(names, ("string", "double", "boolean"), strict=True):
         schema = schema.add(name, kind)
     return docs.mapInArrow(run, schema)
