@@ -46,15 +46,16 @@ FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Kar
 
 _OCTETS = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 #: Words of a name: with a capital or an initial, particles between them; 's stays outside.
-_NAME = r"\p{Lu}(?:\.(?=[ \u00a0]\p{L})|(?:[\p{L}\p{M}]|['’-](?=\p{L})(?!s(?!\p{L})))+)"
+#: Repeated groups are possessive or bounded: the matcher would recurse once for each turn of others.
+_NAME = r"\p{Lu}(?:\.(?=[ \u00a0]\p{L})|(?:[\p{L}\p{M}]|['’-](?=\p{L})(?!s(?!\p{L})))++)"
 _PARTICLE = r"(?:v[oa]n(?:[ \u00a0](?:de[rnm]?|het))?|vom|zu[mr]?|de|del|della|di|da|dos|du|las?|los|le|te[nr]|bin|ibn|al)"
-_TITLED = rf"(?:(?:{'|'.join(TITLES)})\.?[ \u00a0])+"
-_HOST = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?"
+_TITLED = rf"(?:(?:{'|'.join(TITLES)})\.?[ \u00a0]){{1,8}}"
+_HOST = r"[\p{L}\p{N}]++(?:-++[\p{L}\p{N}]++)*+"
 #: Starts of well-known keys; they are kept.
 _KEY_HEAD = r"(?:A[KS]IA|AIza|gh[opsur]_|github_pat_|glpat-|xox[abeprs]-|hf_|npm_|[spr]k[-_](?:(?:live|test|proj|ant|or)[-_])?)"
 PATTERNS = {
     # starts once in a run of the characters of a local part, which may be of any length
-    "email": r"(?<![\p{L}\p{N}_])(?<![\p{L}\p{N}_][.%+-]{1,8})[\p{L}\p{N}_][\p{L}\p{N}._%+-]*+@" + rf"{_HOST}(?:\.{_HOST})+",
+    "email": r"(?<![\p{L}\p{N}_])(?<![\p{L}\p{N}_][.%+-]{1,8})[\p{L}\p{N}_][\p{L}\p{N}._%+-]*+@" + rf"{_HOST}(?:\.{_HOST})++",
     "secret": rf"(?<!@)(?:(?=[a-fA-F]*[0-9])[0-9a-fA-F]{{32,}}+(?![\p{{L}}\p{{N}}])|{_KEY_HEAD}(?=[A-Za-z_-]*[0-9])[0-9A-Za-z](?:[_-]?[0-9A-Za-z]){{15,}}+(?![\p{{L}}\p{{N}}])|(?=(?:[A-Za-z]*[0-9]){{3}})(?=[0-9]*[A-Za-z])[0-9A-Za-z]{{24,}}+(?![\p{{L}}\p{{N}}_]))",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{1,4}\)[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
@@ -62,7 +63,7 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     # 3-3-4 digits; 9 digits in groups from 6 on; 8 to 15 digits from 0 on in groups, but no date
     "national": r"(?:1[ .-])?[2-9][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|[6-9][0-9]{2}(?:(?:[ -][0-9]{3}){2}|(?:[ -][0-9]{2}){3})(?![ -]?[0-9])|[89][0-9][ -][0-9]{3}(?:[ -][0-9]{2}){2}(?![ -]?[0-9])|(?![0-9]{2}[./-][0-9]{2}[./-][0-9]{4}(?![0-9]))(?=(?:[0-9][ ./-]?){7,14}[0-9](?![0-9]))0[0-9]{1,5}(?:[ ./-][0-9]{2,8}){1,5}(?![0-9])",
-    "name": rf"{_TITLED}(?:{_PARTICLE}[ \u00a0])*{_NAME}(?:[ \u00a0](?:{_PARTICLE}[ \u00a0])*{_NAME})*",
+    "name": rf"{_TITLED}(?:{_PARTICLE}[ \u00a0]){{0,4}}{_NAME}(?:[ \u00a0](?:{_PARTICLE}[ \u00a0]){{0,4}}{_NAME})*+",
 }
 #: An entity starts where no word goes on; e-mail addresses come first, as they hold dots,
 #: and may follow an @.
@@ -243,7 +244,7 @@ def surrogate(value: Column, key: str, other: Column | None = None) -> Column:
         # the part before @ and each label but the last, by themselves: one domain stays one
         at = F.split(v, "@")
         labels = _labels(at)
-        domain = F.array_join(F.transform(labels, lambda w, i: F.when(i == F.size(labels) - 1, w).otherwise(made("label", w, permuted(w, key, "domain", ALPHABETS)))), ".")
+        domain = _bound(labels, lambda all_: F.array_join(F.transform(all_, lambda w, i: F.when(i == F.size(all_) - 1, w).otherwise(made("label", w, permuted(w, key, "domain", ALPHABETS)))), "."))
         local = F.get(at, F.lit(0))
         email = F.concat(made("local", local, permuted(local, key, "email", ALPHABETS)), F.lit("@"), domain)
         name = F.array_join(F.transform(_words(v), lambda w: F.when(_own(w), made("name", w, _word(w, key))).otherwise(w)), "")
