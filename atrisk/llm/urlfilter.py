@@ -42,12 +42,16 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.select("list", "key", F.coalesce("listed", F.lit(False)).alias("listed"), F.col("at").alias("valid_from"), F.lead("at").over(w).alias("valid_to"))
 
 
-def filter_captures(captures: DataFrame, entries: DataFrame, *, bucket_seconds: int = 7 * 86400) -> DataFrame:
+def filter_captures(captures: DataFrame, entries: DataFrame, *, bucket_seconds: int = 7 * 86400, captures_a_task: int = 50_000) -> DataFrame:
     """``page_id, url, fetched_at, blocked, lists`` of every capture.
 
     ``captures`` has page_id, url and fetched_at; ``entries`` list, key, at and action ('add'
     or anything else, which removes). A capture with a null url or time matches nothing;
     rows that repeat (page_id, url, fetched_at) give one row. ``lists`` is sorted.
+
+    Entries are carried only to the time buckets in which their key has captures. Captures of
+    one key and bucket beyond ``captures_a_task`` are dealt by a hash over several groups,
+    each of which gets the few entries.
     """
     rows = captures.select("page_id", "url", "fetched_at").distinct()
     wanted = rows.filter("fetched_at is not null").select("page_id", "url", "fetched_at", F.explode(keys_of(F.col("url"))).alias("key"))
@@ -57,14 +61,16 @@ def filter_captures(captures: DataFrame, entries: DataFrame, *, bucket_seconds:
     last = F.lit(wanted.agg(F.max("fetched_at")).first()[0]).cast(entries.schema["at"].dataType)
     listed = spans.filter("listed").withColumn("last", last).filter("valid_from <= last")
     ends = F.coalesce(F.col("valid_to"), F.col("last"))
-    carried = listed.select("list", "key", "valid_from", "valid_to", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(F.least(ends, "last")))).alias("bucket"))
+    asked = wanted.groupBy("key", bucket(F.col("fetched_at")).alias("bucket")).agg(F.ceil(F.count("*") / captures_a_task).alias("groups"))
+    carried = listed.join(asked, "key").filter(F.col("bucket").between(bucket(F.col("valid_from")), bucket(F.least(ends, "last"))))
     # the state at a bucket's start, or the entry itself within its first bucket
-    state = carried.select("key", "bucket", "list", F.greatest(F.col("valid_from"), F.timestamp_seconds(F.col("bucket") * bucket_seconds).cast(entries.schema["at"].dataType)).alias("time"), "valid_to", F.lit(True).alias("entry"))
-    lists = state.groupBy("key", "bucket").agg(F.collect_set("list").alias("lists"))
+    state = carried.select("key", "bucket", "list", "groups", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"), F.greatest(F.col("valid_from"), F.timestamp_seconds(F.col("bucket") * bucket_seconds).cast(entries.schema["at"].dataType)).alias("time"), "valid_to", F.lit(True).alias("entry"))
+    lists = state.groupBy("key", "bucket").agg(F.collect_set("list").alias("lists"), F.first("groups").alias("groups"))
+    group = F.pmod(F.xxhash64("page_id", "url", "fetched_at"), F.col("groups"))
     # a capture asks only for the lists that have an entry in its bucket
-    asks = wanted.withColumn("bucket", bucket(F.col("fetched_at"))).join(lists, ["key", "bucket"]).select("key", "bucket", F.explode("lists").alias("list"), F.col("fetched_at").alias("time"), "page_id", "url")
-    w = Window.partitionBy("list", "key", "bucket").orderBy("time", F.col("entry").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    both = state.withColumns({"page_id": F.lit(None).cast("long"), "url": F.lit(None).cast("string")}).unionByName(asks.withColumns({"entry": F.lit(False), "valid_to": F.lit(None).cast(entries.schema["at"].dataType)}))
+    asks = wanted.withColumn("bucket", bucket(F.col("fetched_at"))).join(lists, ["key", "bucket"]).select("key", "bucket", group.alias("group"), F.explode("lists").alias("list"), F.col("fetched_at").alias("time"), "page_id", "url")
+    w = Window.partitionBy("list", "key", "bucket", "group").orderBy("time", F.col("entry").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = state.drop("groups").withColumns({"page_id": F.lit(None).cast("long"), "url": F.lit(None).cast("string")}).unionByName(asks.withColumns({"entry": F.lit(False), "valid_to": F.lit(None).cast(entries.schema["at"].dataType)}))
     asof = both.withColumns({"since": F.last(F.when(F.col("entry"), F.col("time")), ignorenulls=True).over(w), "until": F.max(F.when(F.col("entry"), F.struct("time", F.coalesce("valid_to", F.lit("9999-12-31").cast("timestamp")).alias("to")))).over(w)})
     hits = asof.filter("not entry and since is not null and time < until.to").groupBy("page_id", "url", F.col("time").alias("fetched_at")).agg(F.array_sort(F.collect_set("list")).alias("lists"))
     found = rows.join(hits, (rows.page_id.eqNullSafe(hits.page_id)) & (rows.url == hits.url) & (rows.fetched_at == hits.fetched_at), "left")
