@@ -23,34 +23,46 @@ TOOLS: dict[str, dict[str, tuple[str, bool, tuple[int, int] | None]]] = {
 }
 
 
+def _given(raw: Column, arg: str, kind: str) -> Column:
+    """An argument's value if it has that type in the JSON text, else null."""
+    return F.try_variant_get(F.try_parse_json(raw), f"$.{arg}", kind)
+
+
+def _type(raw: Column, arg: str) -> Column:
+    """The JSON type of an argument; null if it is absent or null."""
+    return F.nullif(F.schema_of_variant(_given(raw, arg, "variant")), F.lit("VOID"))
+
+
 def _problem(raw: Column, tool: Column) -> Column:
     """Why the arguments don't fit their schema: the first of their problems, or null."""
+    names = {"long": "BIGINT", "boolean": "BOOLEAN", "string": "STRING"}
+    keys = F.json_object_keys(raw)
     out = F.lit("unknown tool")
     for name, schema in TOOLS.items():
-        given = F.from_json(raw, "map<string,string>")
-        faults = F.when(given.isNull(), "no object")
+        faults = F.when(keys.isNull() | F.try_parse_json(raw).isNull(), "no object")
         for arg, (kind, required, span) in sorted(schema.items()):
-            value = given[arg]
+            of = _type(raw, arg)
             if required:
-                faults = faults.when(value.isNull(), f"missing {arg}")
-            if kind == "long":
-                faults = faults.when(value.isNotNull() & ~value.rlike("^-?[0-9]{1,18}$"), f"type of {arg}")
-                if span:
-                    faults = faults.when(value.isNotNull() & ~value.try_cast("long").between(*span), f"range of {arg}")
-            if kind == "boolean":
-                faults = faults.when(value.isNotNull() & ~value.isin("true", "false"), f"type of {arg}")
-        faults = faults.when(F.size(F.array_except(F.map_keys(given), F.array(*map(F.lit, sorted(schema))))) > 0, "unknown argument")
+                faults = faults.when(of.isNull(), f"missing {arg}")
+            faults = faults.when(of.isNotNull() & (of != names[kind]), f"type of {arg}")
+            if span:
+                faults = faults.when(~_given(raw, arg, "bigint").between(*span), f"range of {arg}")
+        faults = faults.when(F.size(F.array_except(keys, F.array(*map(F.lit, sorted(schema))))) > 0, "unknown argument")
         out = F.when(tool == name, faults.otherwise(F.lit(None).cast("string"))).otherwise(out)
     return out
 
 
+def _quoted(value: Column) -> Column:
+    """A JSON string: to_json of a one-element array, without its brackets."""
+    return F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
+
+
 def _canonical(raw: Column, tool: Column) -> Column:
+    """The arguments of a call without a problem as canonical JSON."""
     out = F.lit(None).cast("string")
     for name, schema in TOOLS.items():
-        given = F.from_json(raw, "map<string,string>")
-        # escapes as in JSON: to_json of a one-element array, without its brackets
-        quoted = lambda v: F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", "")
-        parts = [F.when(given[a].isNotNull(), F.concat(F.lit(f'"{a}":'), quoted(given[a]) if kind == "string" else given[a])) for a, (kind, *_) in sorted(schema.items())]
+        text = {"string": lambda a: _quoted(_given(raw, a, "string")), "long": lambda a: _given(raw, a, "bigint").cast("string"), "boolean": lambda a: _given(raw, a, "boolean").cast("string")}
+        parts = [F.when(_type(raw, a).isNotNull(), F.concat(F.lit(f'"{a}":'), text[kind](a))) for a, (kind, *_) in sorted(schema.items())]
         out = F.when(tool == name, F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))).otherwise(out)
     return out
 
@@ -91,7 +103,7 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     checked = one.join(levels(one), "call_id").join(got, "call_id", "left").select(
         "call_id", "conv_id", "turn", "tool", "level", "copies", F.coalesce("results", F.lit(0)).alias("results"), F.length("content").cast("long").alias("result_chars"), _problem(raw, tool).alias("problem"), _canonical(raw, tool).alias("canonical")
     )
-    record = F.concat(F.lit('{"arguments":'), F.coalesce("canonical", F.lit("null")), F.lit(',"id":"'), F.col("call_id"), F.lit('","name":"'), F.col("tool"), F.lit('"}'))
+    record = F.concat(F.lit('{"arguments":'), F.coalesce("canonical", F.lit("null")), F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'), _quoted(F.col("tool")), F.lit("}"))
     return checked.withColumn("record", F.when(F.col("problem").isNull(), record)).drop("canonical")
 
 
@@ -102,15 +114,15 @@ def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 def derived(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results from conversations without any: an assistant turn calls a tool chosen
-    by its length with arguments from its text (some of them wrong), consumes the result of
+    by its length with arguments from its text (some of them wrong or of a wrong type), consumes the result of
     the call two or four turns before, and the user's next turn is its result."""
-    name = lambda turn: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    name = lambda turn: F.concat(F.lit("call-"), F.when(F.col("conv_id") % 10 == 3, '"').otherwise(""), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     n = F.length("text")
     word = F.get(F.split("text", " "), F.lit(0))
-    quoted = F.regexp_replace(F.to_json(F.array(word)), r"^\[|\]$", "")
+    limit = F.when(n % 11 == 5, F.concat(F.lit('"'), (n % 60).cast("string"), F.lit('"'))).otherwise((n % 60).cast("string"))
     raw = (
-        F.when(n % 3 == 0, F.concat(F.lit('{"query": '), quoted, F.lit(', "limit": '), (n % 60).cast("string"), F.lit("}")))
-        .when(n % 3 == 1, F.concat(F.lit('{"key": '), quoted, F.when(n % 2 == 0, ', "exact": true').otherwise(""), F.lit("}")))
+        F.when(n % 3 == 0, F.concat(F.lit('{"query": '), _quoted(word), F.lit(', "limit": '), limit, F.lit("}")))
+        .when(n % 3 == 1, F.concat(F.lit('{"key": '), F.when(n % 11 == 4, '{"x": 1}').otherwise(_quoted(word)), F.when(n % 2 == 0, ', "exact": true').otherwise(""), F.lit("}")))
         .otherwise(F.concat(F.lit('{"right": '), n.cast("string"), F.when(n % 7 == 0, "").otherwise(F.concat(F.lit(', "left": '), (n * 2).cast("string"))), F.lit("}")))
     )
     tool = F.when(n % 3 == 0, "search").when(n % 3 == 1, "lookup").otherwise("calculate")
@@ -120,16 +132,16 @@ def derived(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 ORACLE = r"""
-with recursive a as (select *, length(text) as n, string_split(text, ' ')[1] as w, 'call-' || conv_id || '-' || turn as call_id from conversations where role = 'assistant' and text is not null),
+with recursive a as (select *, length(text) as n, string_split(text, ' ')[1] as w, 'call-' || case when conv_id % 10 = 3 then '"' else '' end || conv_id || '-' || turn as call_id from conversations where role = 'assistant' and text is not null),
 c0 as (select call_id, conv_id, turn, n, case n % 3 when 0 then 'search' when 1 then 'lookup' else 'calculate' end as tool,
-    case n % 3 when 0 then '{"query": ' || to_json(w) || ', "limit": ' || (n % 60) || '}' when 1 then '{"key": ' || to_json(w) || case when n % 2 = 0 then ', "exact": true' else '' end || '}' else '{"right": ' || n || case when n % 7 = 0 then '' else ', "left": ' || (n * 2) end || '}' end as arguments,
-    'call-' || conv_id || '-' || (turn - 2 - 2 * (n % 2)) as parent, w from a),
+    case n % 3 when 0 then '{"query": ' || to_json(w) || ', "limit": ' || case when n % 11 = 5 then '"' || (n % 60) || '"' else (n % 60)::varchar end || '}' when 1 then '{"key": ' || case when n % 11 = 4 then '{"x": 1}' else to_json(w) end || case when n % 2 = 0 then ', "exact": true' else '' end || '}' else '{"right": ' || n || case when n % 7 = 0 then '' else ', "left": ' || (n * 2) end || '}' end as arguments,
+    'call-' || case when conv_id % 10 = 3 then '"' else '' end || conv_id || '-' || (turn - 2 - 2 * (n % 2)) as parent, w from a),
 c as (select * from (select *, count(*) over (partition by call_id) as copies, row_number() over (partition by call_id order by conv_id, turn, tool, arguments, parent) as rn from c0) where rn = 1),
-r as (select 'call-' || conv_id || '-' || (turn - 1) as call_id, min(text) as content, count(*) as results from conversations where role = 'user' group by 1),
+r as (select 'call-' || case when conv_id % 10 = 3 then '"' else '' end || conv_id || '-' || (turn - 1) as call_id, min(text) as content, count(*) as results from conversations where role = 'user' group by 1),
 lv as (select call_id, 0::bigint as level from c where parent not in (select call_id from c) union all select c.call_id, lv.level + 1 from c join lv on c.parent = lv.call_id)
 select c.call_id, c.conv_id, c.turn, c.tool, lv.level, c.copies, coalesce(r.results, 0) as results, length(r.content)::bigint as result_chars,
-  case when tool = 'search' and n % 60 not between 1 and 50 then 'range of limit' when tool = 'calculate' and n % 7 = 0 then 'missing left' end as problem,
-  case when not (tool = 'search' and n % 60 not between 1 and 50) and not (tool = 'calculate' and n % 7 = 0) then
-    '{"arguments":' || case tool when 'search' then '{"limit":' || (n % 60) || ',"query":' || to_json(w) || '}' when 'lookup' then '{' || case when n % 2 = 0 then '"exact":true,' else '' end || '"key":' || to_json(w) || '}' else '{"left":' || (n * 2) || ',"right":' || n || '}' end || ',"id":"' || c.call_id || '","name":"' || tool || '"}' end as record
+  case when tool = 'search' and n % 11 = 5 then 'type of limit' when tool = 'lookup' and n % 11 = 4 then 'type of key' when tool = 'search' and n % 60 not between 1 and 50 then 'range of limit' when tool = 'calculate' and n % 7 = 0 then 'missing left' end as problem,
+  case when not (tool = 'search' and n % 11 = 5) and not (tool = 'lookup' and n % 11 = 4) and not (tool = 'search' and n % 60 not between 1 and 50) and not (tool = 'calculate' and n % 7 = 0) then
+    '{"arguments":' || case tool when 'search' then '{"limit":' || (n % 60) || ',"query":' || to_json(w) || '}' when 'lookup' then '{' || case when n % 2 = 0 then '"exact":true,' else '' end || '"key":' || to_json(w) || '}' else '{"left":' || (n * 2) || ',"right":' || n || '}' end || ',"id":' || to_json(c.call_id) || ',"name":"' || tool || '"}' end as record
 from c join lv using (call_id) left join r using (call_id)
 """
