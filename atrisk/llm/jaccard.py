@@ -12,11 +12,14 @@ speed only, so the list of frequent shingles may be bounded without losing a pai
 
 Bands double twice; a document that may have partners in the next band joins there too.
 
-Candidates are never all pairs of a group. Each member of a key's group first meets the
-group's first member; verified links are merged into components. Only members that are
-then in different components meet in full, and only if the Hamming distance of their
-sketches, folded to 512 bits beside the key, allows a link: that test is part of the
-join's condition. Before any text is fetched a pair is
+Candidates are never all pairs of a group. Each member of a key's group first meets one
+head, the one with which it shares most keys (in runs of few sets each other); verified links are merged into components.
+Where a key's members stay in several components, each meets the heads of some of its keys
+and keeps the nearest by sketches folded to 512 bits, in ``HEAD_ROUNDS`` rounds with other
+heads. All this only joins components early: at the end every member outside its key's
+largest component meets all members of other components, once for each pair (under the
+smallest key both hold, as far as their eight smallest tell), if the folded sketches allow
+a link; that test is part of the join's condition. Before any text is fetched a pair is
 tested on bit sketches (two bits or more a shingle), whose Hamming distance bounds the
 symmetric difference from below as well; what is left is verified on the shingle sets.
 """
@@ -35,11 +38,17 @@ from atrisk.llm.common import small_batches, written
 U64 = np.uint64
 #: At most this many frequent shingles are sent to every task (8 bytes each).
 FREQUENT = 250_000
-#: A shingle counts as frequent from this many documents of one task on.
+#: A shingle counts as frequent where this many sets among those counted together hold it.
 FREQUENT_FROM = 24
+#: Rounds in which components of one key meet through heads, and how many keys take part.
+HEAD_ROUNDS, HEAD_SHARE = 1, 4
+#: In runs of so few sets of one key these meet each other without sketches beside the key.
+FEW = 4
+#: A row's text beside its doc_id, which may be null or repeat: its hash.
+TEXT = "text_hash"
 #: 64-bit words of a folded sketch.
 FOLD = 8
-#: Shingles a task holds while counting.
+#: Shingles counted together (some thousand sets), whatever a task reads.
 COUNTED = 1 << 22
 
 
@@ -175,9 +184,13 @@ def _batch(names_types: dict, columns) -> pa.RecordBatch:
 _LONG, _INT, _BIN = pa.int64(), pa.int32(), pa.binary()
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias(TEXT), "text")
+
+
 def _describe(docs: DataFrame, width: int) -> DataFrame:
     """Per row its set's id, size and bit sketch; besides, shingles frequent in a task."""
-    form = {"doc_id": _LONG, "sid": _LONG, "n": _INT, "sketch": _BIN, "shingle": _LONG, "df": _LONG}
+    form = {"doc_id": _LONG, TEXT: _LONG, "sid": _LONG, "n": _INT, "sketch": _BIN, "shingle": _LONG, "df": _LONG}
 
     def run(batches):
         seen: set[int] = set()
@@ -190,13 +203,13 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
             keep = df >= FREQUENT_FROM
             values, df = values[keep].view(np.int64), df[keep]
             none = [None] * len(values)
-            return _batch(form, [none, none, none, none, values, df])
+            return _batch(form, [none, none, none, none, none, values, df])
 
         for batch in batches:
             rows = []
-            for doc_id, s in zip(batch.column(0).to_pylist(), shingles(batch.column(1).to_pylist(), width), strict=True):
+            for doc_id, text, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingles(batch.column(2).to_pylist(), width), strict=True):
                 if not len(s):
-                    rows.append((doc_id, None, 0, None))
+                    rows.append((doc_id, text, None, 0, None))
                     continue
                 sid = set_id(s)
                 new = sid not in seen
@@ -204,7 +217,7 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
                     seen.add(sid)
                     held.append(s)
                     size += len(s)
-                rows.append((doc_id, sid, len(s), bit_sketch(s) if new else None))
+                rows.append((doc_id, text, sid, len(s), bit_sketch(s) if new else None))
             if rows:
                 yield _batch(form, [*zip(*rows, strict=True), *[[None] * len(rows)] * 2])
             if size > COUNTED:
@@ -212,7 +225,7 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
                 size = 0
         yield counted()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid long, n int, sketch binary, shingle long, df long")
+    return _identified(docs).select("doc_id", TEXT, "text").mapInArrow(run, f"doc_id long, {TEXT} long, sid long, n int, sketch binary, shingle long, df long")
 
 
 def _keys(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
@@ -236,46 +249,56 @@ def _keys(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, sid long, n int")
 
 
-def _shared(keys: DataFrame) -> DataFrame:
-    """Of keys dealt and sorted by (key, sid): the members of every key with two sets or
-    more, each with the first member, which passes as the group's head. Streams, so that a
-    group of any size needs only its first row."""
+def _shared(keys: DataFrame, percent: int) -> DataFrame:
+    """Of keys dealt and sorted by (key, n, sid): who shares a key with whom.
+
+    A key's sets fall into runs whose sizes don't rule out a link from one to the next; sets
+    of two runs never link. In a run of ``FEW`` at most each set meets those before it, with a
+    null key; in a longer one every set comes with the run's key and its head, the smallest
+    set. Streams, so that a run of any size needs a few rows only."""
     form = {"key": _LONG, "sid": _LONG, "n": _INT, "head": _LONG, "head_n": _INT}
 
+    def rows(key, sid, n, known, more):
+        """The output of sorted rows; ``known`` is the run key and head of a long run whose last
+        row comes first; the last run is held back if it may go on and isn't long yet."""
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))]))
+        size = np.diff(np.concatenate([starts, [len(key)]]))
+        name = _mix(key[starts].view(U64) ^ _mix(n[starts].astype(U64) + U64(1))).view(np.int64)
+        head, head_n, many = sid[starts], n[starts], size > FEW
+        if known:
+            name[0], head[0], head_n[0], many[0] = *known, True
+        last = (int(name[-1]), int(head[-1]), int(head_n[-1])) if many[-1] else None
+        hold = int(starts[-1]) if more and not many[-1] else len(key)
+        each = np.repeat(np.arange(len(starts)), size)
+        emit = many[each]
+        emit[0] &= not known
+        out = [(name[each][emit], sid[emit], n[emit], head[each][emit], head_n[each][emit])]
+        for lag in range(1, FEW):
+            i = np.arange(lag, hold)
+            i = i[(each[i] == each[i - lag]) & ~many[each[i]] & (100 * n[i - lag].astype(np.int64) >= percent * n[i].astype(np.int64))]
+            out.append((None, sid[i], n[i], sid[i - lag], n[i - lag]))
+        made = [pa.concat_arrays([pa.nulls(len(o[1]), t) if o[c] is None else pa.array(o[c], t) for o in out]) for c, t in enumerate(form.values())]
+        return pa.RecordBatch.from_arrays(made, names=list(form)), hold, last
+
     def run(batches):
-        last = None  # key, sid of the row before
-        head = None  # key, sid, n of the group's first row, and whether it was sent
+        held, known = None, None  # rows of the run that may go on, or its last row
         for batch in batches:
-            key, sid, n = (batch.column(i).to_numpy() for i in range(3))
-            if not len(key):
-                continue
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
-            if last is not None and (key[0], sid[0]) == last:
-                fresh[0] = False
-            last = (key[-1], sid[-1])
-            key, sid, n = key[fresh], sid[fresh], n[fresh]
-            if not len(key):
+            part = [batch.column(i).to_numpy() for i in range(3)]
+            if not len(part[0]):
                 continue
-            out = []
-            if head is not None and head[0] == key[0]:
-                if not head[3]:
-                    out.append(([head[0]], [head[1]], [head[2]], [head[1]], [head[2]]))
-                size = int(np.searchsorted(key, key[0], "right"))
-                out.append((key[:size], sid[:size], n[:size], np.full(size, head[1]), np.full(size, head[2], np.int32)))
-                head = (*head[:3], True)
-                key, sid, n = key[size:], sid[size:], n[size:]
-            if len(key):
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                count = np.diff(np.concatenate([first, [len(key)]]))
-                of = np.repeat(first, count)
-                keep = np.repeat(count > 1, count)
-                out.append((key[keep], sid[keep], n[keep], sid[of][keep], n[of][keep]))
-                head = (key[first[-1]], sid[first[-1]], n[first[-1]], count[-1] > 1)
-            if out:
-                yield _batch(form, [np.concatenate(x) for x in zip(*out, strict=True)])
-
-    return keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(run, "key long, sid long, n int, head long, head_n int")
+            if held is not None:
+                part = [np.concatenate([h, p]) for h, p in zip(held, part, strict=True)]
+            fresh = np.ones(len(part[0]), bool)
+            fresh[1:] = (part[0][1:] != part[0][:-1]) | (part[1][1:] != part[1][:-1])
+            part = [p[fresh] for p in part]
+            made, hold, known = rows(*part, known, True)
+            held = [p[min(hold, len(p) - 1) :] for p in part]
+            if made.num_rows:
+                yield made
+        if held is not None:
+            yield rows(*held, known, False)[0]
+
+    return keys.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(run, "key long, sid long, n int, head long, head_n int")
 
 
 def _near_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -296,18 +319,20 @@ def _near_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> Data
 def _sets(docs: DataFrame, sids: DataFrame, owners: DataFrame, width: int) -> DataFrame:
     """The shingle sets of the given ids, each from the text of one owner.
 
-    The wanted ids are written first, so that the planner knows their size: texts are
-    shuffled only where the ids are beyond its limit for a broadcast."""
+    Owners are rows by doc_id, null or not, and text; a set that isn't the wanted one (of
+    another text with the same hash) is left out. The wanted ids are written first, so that
+    the planner knows their size: texts are shuffled only where the ids are beyond its limit
+    for a broadcast."""
 
     def run(batches):
         for batch in batches:
             sets = shingles(batch.column(1).to_pylist(), width)
-            yield _batch({"sid": _LONG, "items": _BIN}, [batch.column(0), [s.tobytes() for s in sets]])
+            keep = [i for i, (sid, s) in enumerate(zip(batch.column(0).to_pylist(), sets, strict=True)) if len(s) and set_id(s) == sid]
+            yield _batch({"sid": _LONG, "items": _BIN}, [batch.column(0).take(pa.array(keep, pa.int64())), [sets[i].tobytes() for i in keep]])
 
-    wanted = written(owners.join(sids, "sid", "left_semi").select(F.col("owner").alias("doc_id"), "sid"), "wanted")
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("sid", "text")
-    checked = texts.mapInArrow(run, "sid long, items binary")
-    return checked.dropDuplicates(["sid"])
+    wanted = written(owners.join(sids, "sid", "left_semi"), "wanted")
+    texts = _identified(docs).alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.owner")) & (F.col(f"t.{TEXT}") == F.col(f"w.{TEXT}"))).select("sid", "text")
+    return texts.mapInArrow(run, "sid long, items binary").dropDuplicates(["sid"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -346,9 +371,12 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+_FOLDS = [f"f{i}" for i in range(FOLD)]
+
+
 def _folded(sketches: DataFrame) -> DataFrame:
     """``sid, f0 ...``: sketches folded to FOLD words."""
-    names = [f"f{i}" for i in range(FOLD)]
+    names = _FOLDS
 
     def run(batches):
         for batch in batches:
@@ -376,46 +404,115 @@ def _merged(reached: DataFrame, more: DataFrame) -> DataFrame:
     return written(moved.unionByName(new), "roots")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row.
-
-    Rows link when 100 * intersection >= percent * union of their shingle sets; component_id
-    is the smallest doc_id reachable. A null or blank text has an empty set and links with
-    nothing. Equal texts always link. Repeated rows repeat; rows with a null doc_id take
-    part, but never name a component: alone they have a null component_id. Columns besides
-    doc_id and text are ignored.
-    """
+def _nearest_heads(apart: DataFrame, folded: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b, shared): every member of a part of the keys with the nearest two heads in
+    other components. Heads are drawn by a hash, so that a member has many to choose from;
+    rows stay one a member and key."""
+    some = apart.filter(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(HEAD_SHARE)) == 0).select("key", "sid", "n", "root")
+    some = written(some.join(folded, "sid"), "some")
+    columns = ("sid", "n", "root", *_FOLDS)
+    head = some.groupBy("key").agg(F.min_by(F.struct(*columns), F.xxhash64("key", "sid", F.lit(-turn))).alias("h"))
+    met = some.join(head, "key").select(*columns, *(F.col(f"h.{c}").alias(f"h_{c}") for c in columns), (F.pmod(F.xxhash64("key"), F.lit(2)) == 0).alias("even"))
+    met = met.withColumn("far", F.expr(" + ".join(f"bit_count({c} ^ h_{c})" for c in _FOLDS)))
+    met = met.filter(f"root != h_root and 100 * least(n, h_n) >= {percent} * greatest(n, h_n) and {100 + percent} * far <= {100 - percent} * (n + h_n)")
+    near = lambda test: F.min_by(F.when(test, F.col("h_sid")), F.when(test, F.struct("far", "h_sid")))
+    best = met.groupBy(F.col("sid").alias("a")).agg(F.array_distinct(F.array_compact(F.array(near(F.col("even")), near(~F.col("even"))))).alias("b"))
+    return best.select("a", F.explode("b").alias("b"), F.lit(1).cast("long").alias("shared"))
+
+
+def _still_apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are in different components."""
+    of = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(a_root, a) != coalesce(b_root, b)").select("a", "b")
+
+
+def _of_many(many: DataFrame, folded: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one key in different components, as far as sizes and folded
+    sketches allow a link. All but the key's largest component meet the others."""
+    largest = many.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
+    low = many.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 8).alias("low"))
+    placed = written(many.select("key", "sid", "n", "root").join(largest, "key").join(folded.join(low, "sid"), "sid"), "apart")
+    columns = ("sid", "n", "root", "low", *_FOLDS)
+    x = placed.filter("root != largest").select("key", *(F.col(c).alias(f"x_{c}") for c in columns))
+    y = placed.select("key", (F.col("root") == F.col("largest")).alias("inner"), *(F.col(c).alias(f"y_{c}") for c in columns))
+    differ = " + ".join(f"bit_count(x_{c} ^ y_{c})" for c in _FOLDS)
+    met = x.join(y, "key").filter(
+        f"x_root != y_root and (inner or x_sid < y_sid) and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and {100 + percent} * ({differ}) <= {100 - percent} * (x_n + y_n)"
+        " and coalesce(key = array_min(array_intersect(x_low, y_low)), true)"
+    )
+    return met.select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b"))
+
+
+def grouped(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
+    """``doc_id, text_hash, n, root`` of every row: rows whose sets are joined by links have the
+    same root; it is null for an empty set. Rows are told apart by doc_id and text, so ids
+    may be null or repeat with other texts."""
     spark = docs.sparkSession
     small_batches(spark)
     described = written(_describe(docs, width), "sets")
-    rows = described.filter("n is not null").select("doc_id", "sid", "n")
+    rows = described.filter("n is not null").select("doc_id", TEXT, "sid", "n")
     sketches = described.filter("sketch is not null").groupBy("sid", "n").agg(F.min("sketch").alias("sketch"))
-    owners = rows.filter("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("owner"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", TEXT))
+    owners = rows.filter("sid is not null").groupBy("sid").agg(first.alias("o")).select("sid", F.col("o.doc_id").alias("owner"), F.col(f"o.{TEXT}").alias(TEXT))
     common = described.filter("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "shingle").limit(FREQUENT).select("shingle").toArrow()
     frequent = spark.sparkContext.broadcast(np.sort(common.column(0).to_numpy().view(U64)))
 
-    members = written(_shared(_keys(docs, width, percent, frequent)), "members")
-    near = f"100 * least(n, head_n) >= {percent} * greatest(n, head_n)"
-    heads = members.filter("sid != head").filter(near).groupBy(F.col("sid").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("shared"))
-    first = written(_near_by_sketch(heads, sketches, percent), "pairs")
+    shared = written(_shared(_keys(docs, width, percent, frequent), percent), "members")
+    members = shared.filter("key is not null")
+    near = f"sid != head and 100 * head_n >= {percent} * n"
+    heads = shared.filter(near).groupBy(F.col("sid").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("shared"), F.max(F.col("key").isNull()).alias("few"))
+    heads = written(heads, "heads")
     # one head for each set: the one with which it shares most keys
-    best = first.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    sets = written(_sets(docs, first.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), owners, width), "shingle-sets")
-    edges = written(_verified(best, sets, percent), "links")
-
-    # members still apart meet in full, as far as their folded sketches allow
-    reached = written(components(edges), "roots")
-    apart = _apart(members, reached)
-    apart = apart.join(_folded(sketches.join(apart.select("sid").distinct(), "sid", "left_semi")), "sid")
-    x, y = (apart.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "root", *(f"f{i}" for i in range(FOLD))))) for s in "xy")
-    differ = " + ".join(f"bit_count(x_f{i} ^ y_f{i})" for i in range(FOLD))
-    cross = x.join(y, "key").filter(f"x_sid < y_sid and x_root != y_root and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and {100 + percent} * ({differ}) <= {100 - percent} * (x_n + y_n)")
-    cross = cross.groupBy(F.col("x_sid").alias("a"), F.col("y_sid").alias("b")).agg(F.count("*").alias("shared"))
-    left = written(_near_by_sketch(cross, sketches, percent), "pairs")
-    missing = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid"), "sid", "left_anti")
-    more = written(_verified(left, sets.unionByName(written(_sets(docs, missing, owners, width), "shingle-sets")), percent), "links")
-    root = _merged(reached, more)
-
-    named = rows.join(root.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    best = heads.groupBy("a").agg(F.max_by(F.struct("b", "shared"), F.struct("shared", "b")).alias("h")).select("a", "h.*")
+    sets = None
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        nonlocal sets
+        left = written(_near_by_sketch(pairs, sketches, percent), "pairs")
+        wanted = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        fresh = _sets(docs, wanted if sets is None else wanted.join(sets.select("sid"), "sid", "left_anti"), owners, width)
+        fresh = written(fresh, "shingle-sets")
+        sets = fresh if sets is None else sets.unionByName(fresh)
+        return written(_verified(left, sets, percent), "links")
+
+    def folded(members: DataFrame) -> DataFrame:
+        return written(_folded(sketches.join(members.select("sid").distinct(), "sid", "left_semi")), "folded")
+
+    root = written(components(linked(best)), "roots")
+    for turn in range(1, HEAD_ROUNDS + 1):
+        members = _apart(members, root)
+        root = _merged(root, linked(_nearest_heads(members, folded(members), percent, turn)))
+    # whatever is still apart meets in full
+    members = _apart(members, root)
+    pairs = _still_apart(heads.filter("few"), root).unionByName(_of_many(members, folded(members), percent))
+    root = _merged(root, linked(pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))))
+    return rows.join(root.withColumnRenamed("id", "sid"), "sid", "left").select("doc_id", TEXT, "n", F.coalesce("root", "sid").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row.
+
+    Rows link when 100 * intersection >= percent * union of their shingle sets; component_id
+    is the smallest doc_id reachable. A null or blank text has an empty set and links with
+    nothing. Equal texts always link. Rows that repeat a doc_id, with the same text or others,
+    are rows of their own; those with a null doc_id take part, but never name a component:
+    alone they have a null component_id. Columns besides doc_id and text are ignored.
+    """
+    named = grouped(docs, width=width, percent=percent)
     least = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def survivors(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of each component the row
+    with the smallest doc_id stays (a null one only where there is no other; of several texts
+    with that id the one of the smaller hash, of repeated rows any one). Rows without words
+    all stay."""
+    rows = grouped(docs, width=width, percent=percent).filter("root is not null")
+    each = rows.groupBy("root", "doc_id", TEXT).agg(F.count("*").alias("rows"))
+    kept = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", TEXT, "rows")).alias("k"))
+    kept = written(kept.select(F.col("k.doc_id").alias("kept_id"), F.col(f"k.{TEXT}").alias("kept_text"), F.col("k.rows").alias("kept_rows")), "kept")
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    found = docs.filter(~blank).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_text")))
+    one = found.filter("kept_rows > 1").dropDuplicates(["kept_id", "kept_text"])
+    return found.filter("kept_rows = 1").unionByName(one).select(*docs.columns).unionByName(docs.filter(blank))

@@ -21,15 +21,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    known = langid.label(docs, model)
-    return known.filter(f"lang_pred != '{langid.UND}' and not ambiguous").select(*docs.columns)
+    longest = max(docs.columns, key=len)
+    names = tuple(f"{longest}_{i}" for i in range(3))  # of no column of the input
+    known = langid.label(docs, model, names=names)
+    return known.filter((F.col(names[0]) != langid.UND) & ~F.col(names[2])).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document with the smallest doc_id."""
-    group = jaccard.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(group, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    return jaccard.survivors(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
