@@ -75,6 +75,74 @@ def test_jaccard_bounds():
 
 def test_jaccard_empty_table(spark):
     assert jaccard.near_duplicates(docs(spark, [])).count() == 0
+    assert jaccard.survivors(docs(spark, [])).count() == 0
+
+
+def test_jaccard_tells_rows_apart_by_id_and_text(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(900)]
+    a, other = words(rng, vocabulary, 100), words(rng, vocabulary, 100)
+    step = lambda t, k: " ".join(t.split()[k:] + [f"n{k}{i}" for i in range(k)])  # noqa: E731  words gone and others put on
+    b, c = step(a, 6), step(step(a, 6), 7)
+    given = [(1, a), (1, other), (2, step(a, 3).upper()), (None, b), (3, c), (None, words(rng, vocabulary, 50)), (5, None), (5, None), (1, a)]
+    rows = spark.createDataFrame([(i, t, "kept") for i, t in given], "doc_id long, text string, root string")
+    for order in (rows, rows.orderBy("text"), rows.orderBy("doc_id")):
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(order).collect())
+        # a and c are too far apart, a row without an id lies between
+        assert got == Counter({(1, 96, 1): 3, (2, 96, 1): 1, (None, 96, 1): 1, (3, 96, 1): 1, (None, 46, None): 1, (5, 0, 5): 2})
+        kept = Counter((r["doc_id"], r["text"], r["root"]) for r in jaccard.survivors(order).collect())
+        assert kept == Counter({(1, a, "kept"): 1, (1, other, "kept"): 1, (None, given[5][1], "kept"): 1, (5, None, "kept"): 2})
+
+
+def _components(texts):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in range(len(sets))}
+
+
+def test_jaccard_on_one_hot_group(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = words(rng, vocabulary, 160).split()
+    passage = " ".join(words(rng, vocabulary, 60).split())
+    given = []
+    for i in range(150):  # near copies of one text, some too far from it and from each other
+        w = list(base)
+        for _ in range(rng.randint(0, 12)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        given.append(" ".join(w))
+    given += [f"{words(rng, vocabulary, rng.randint(1, 14))} {passage} {words(rng, vocabulary, rng.randint(1, 14))}" for _ in range(150)]
+    given += [words(rng, vocabulary, 3) for _ in range(20)]
+    rng.shuffle(given)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs(spark, given)).collect()}
+    want = _components(given)
+    assert got == want and len(set(want.values())) > 40
+
+
+def test_jaccard_key_runs_across_batches(spark):
+    rows = [(k, s, n) for k, sizes in enumerate([[8] * 3, [8, 9, 100, 101], [50 + i // 4 for i in range(40)], [7], [10, 20, 40]]) for s, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows + rows[:5], "key long, sid long, n int")
+    seen = []
+    for size in ("1", "3", "1000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        seen.append(Counter(map(tuple, jaccard._shared(df, 75).collect())))
+    assert seen[0] == seen[1] == seen[2]
+    few = {(r[3], r[1]) for r in seen[0] if r[0] is None}
+    assert few == {(0, 1), (0, 2), (1, 2), (2, 3)} and sum(r[0] is not None for r in seen[0]) == 40
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json"])
@@ -168,6 +236,12 @@ def test_pii_surrogates(spark):
     assert first in pii.FEMALE and first != "Anna"
 
 
+@pytest.mark.parametrize("text", ["x@" + "a." * 20_000 + "com", "Mr " + "A" * 50_000, "Mr " + "Abc " * 10_000, "Mr " * 10_000, "ghp_" + "a1" * 30_000, "a-" * 50_000 + "@x", "1-" * 30_000, "(1) 23 " * 10_000])
+def test_pii_of_long_forms(spark, text):
+    got = pii.surrogates(docs(spark, [text]), "k").first()
+    assert len(got["text"]) == len(text)
+
+
 def test_pii_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
@@ -245,6 +319,21 @@ def test_tool_calls(spark):
     assert [r["call_id"] for r in chat.orphans(calls, results).collect()] == ["c9"]
 
 
+def test_tool_call_arguments_keep_their_types(spark):
+    cases = [('{"limit": "7", "query": "x"}', "search", "type of limit"), ('{"query": 5}', "search", "type of query"), ('{"query": "x", "limit": 51}', "search", "range of limit"), ('{"key": {"x": 1}}', "lookup", "type of key"), ('{"left": 007, "right": 1}', "calculate", "no object"), ('{"left": -0, "right": 1}', "calculate", None), ('{"left": 1.5, "right": 1}', "calculate", "type of left"), ("[1]", "lookup", "no object"), (None, "lookup", "no object"), ('{"key": null}', "lookup", "missing key"), ('{"key": "a", "more": 1}', "lookup", "unknown argument"), ('{"key": "q\\"\\u00e9\\n"}', "lookup", None)]
+    calls = spark.createDataFrame([(f'c"{i}', 1, i, tool, raw, None) for i, (raw, tool, _) in enumerate(cases)], "call_id string, conv_id long, turn long, tool string, arguments string, parent string")
+    none = spark.createDataFrame([], "call_id string, content string")
+    got = {r["turn"]: r for r in chat.link(calls, none).collect()}
+    assert [got[i]["problem"] for i in range(len(cases))] == [c[2] for c in cases]
+    assert got[5]["record"] == '{"arguments":{"left":0,"right":1},"id":"c\\"5","name":"calculate"}'
+    import json
+
+    for r in got.values():
+        assert r["record"] is None or json.loads(r["record"])["id"] == r["call_id"]
+    assert json.loads(got[11]["record"])["arguments"] == {"key": 'q"é\n'}
+    assert chat.link(calls.limit(0), none).count() == 0
+
+
 def test_main_text():
     page = "<html><head><title>T</title></head><body><nav><a>menu item</a></nav><div class='ad'>buy now</div><article><h1>Head &amp; more</h1><p>First  <b>bold</b>\n text.<br>Next</p><form>name</form><p>Second</p><div id=comments><p>nice!</p></div></article><footer>foot</footer></body>"
     want = "Head & more\n\nFirst bold text. Next\n\nSecond"
@@ -252,6 +341,54 @@ def test_main_text():
     assert html_text.main_text("", html_text.DEFAULT) == "" and html_text.main_text("<p", html_text.DEFAULT) == ""
 
 
+def test_main_text_of_several_layouts():
+    of = lambda page: html_text.main_text(page, html_text.DEFAULT)
+    assert of("<article><ul><li class='share'>Share<li>Real item one<li>two</ul><p>para one<p>two<div class='comment-list'>c</div><h2>end</h2></article><div class=site-footer>f</div>") == "Real item one\n\ntwo\n\npara one\n\ntwo\n\nend"
+    assert of("<div class='layout has-sidebar'><div class='post-header'><h1>A longer title</h1></div><p>words of the text</p><div id=leftSidebar>links</div></div>") == "A longer title\n\nwords of the text"
+    assert of("<table><tr><td>a b c<td>d e f<tr><td>g h i</table>") == "a b c\n\nd e f\n\ng h i"
+    assert of('<p>one two three <a title="x > y">four</a> five</p>') == "one two three four five"
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a '<b \"", "<b>", "<!-- ", "<ul><li>", "<p>x<h1>t"])
+def test_main_text_takes_linear_time(part):
+    import time
+
+    began = time.time()
+    html_text.main_text(part * (3_000_000 // len(part)), html_text.DEFAULT)
+    assert time.time() - began < 60
+
+
+def test_main_text_rows(spark):
+    rows = [(1, "u", "<p>one two</p>", "x"), (1, "u", "<p>one two</p>", "x"), (None, None, None, "y"), (2, "v", "", "z"), (3, "w", "<main><p>" + "long words " * 50_000 + "</main>", "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_text.extract(pages, html_text.train(pages)).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 7), (1, 7), (2, 0), (3, 549_999)]
+    assert html_text.extract(pages.limit(0), html_text.train(pages.limit(0))).count() == 0
+
+
+def test_next_ids_with_outliers(spark):
+    ids = [-(2**63), -5, 0, 1, 2, 3, 7, 2**62]
+    got = {r["k"]: r["next"] for r in fingerprint.next_ids(spark.createDataFrame([(i,) for i in ids], "k long")).collect()}
+    assert got == dict(zip(ids, ids[1:] + ids[:1], strict=True))
+
+
+def test_url_filter_of_a_hot_host(spark):
+    captures = spark.sql("select id as page_id, concat('http://hot.example.com/p', id) as url, timestamp_seconds(1704067200 + id * 60) as fetched_at from range(2000)")
+    entries = spark.sql("select 'l' as list, 'example.com' as key, timestamp_seconds(1704067200 + 600 * 60) as at, 'add' as action union all select 'l', 'example.com', timestamp_seconds(1704067200 + 1200 * 60), 'remove' union all select 'old', 'elsewhere.com', timestamp'1990-01-01', 'add'")
+    for group in (10, 50_000):
+        got = {r["page_id"] for r in urlfilter.filter_captures(captures, entries, captures_a_task=group).filter("blocked").collect()}
+        assert got == set(range(600, 1200))
+
+
+def test_pipeline_keeps_clashing_columns(spark):
+    import corpus_pipeline
+
+    rows = [(i, ("der die das und " if i % 2 else "the of and to ") * 10, "de" if i % 2 else "en", 7.5, "r") for i in range(40)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, root string")
+    out = corpus_pipeline.language(spark, given, "")
+    assert out.columns == given.columns and {r["score"] for r in out.collect()} == {7.5} and out.count() == 40
+
+
 def test_pipeline_keeps_documents_without_labels(spark):
     import corpus_pipeline
 
