@@ -18,7 +18,7 @@ Where a key's members stay in several components, each meets the heads of some o
 and keeps the nearest by sketches folded to 512 bits, in ``HEAD_ROUNDS`` rounds with other
 heads. All this only joins components early: at the end every member outside its key's
 largest component meets all members of other components, once for each pair (under the
-smallest key both hold, as far as their eight smallest tell), if the folded sketches allow
+smallest key both hold, as far as their ``LOWEST`` smallest tell), if the folded sketches allow
 a link; that test is part of the join's condition. Before any text is fetched a pair is
 tested on bit sketches (two bits or more a shingle), whose Hamming distance bounds the
 symmetric difference from below as well; what is left is verified on the shingle sets.
@@ -39,11 +39,13 @@ U64 = np.uint64
 #: At most this many frequent shingles are sent to every task (8 bytes each).
 FREQUENT = 250_000
 #: A shingle counts as frequent where this many sets among those counted together hold it.
-FREQUENT_FROM = 24
+FREQUENT_FROM = 4
 #: Rounds in which components of one key meet through heads, and how many keys take part.
 HEAD_ROUNDS, HEAD_SHARE = 1, 4
 #: In runs of so few sets of one key these meet each other without sketches beside the key.
 FEW = 4
+#: Keys of a set that tell under which key a pair of sets meets.
+LOWEST = 4
 #: A row's text beside its doc_id, which may be null or repeat: its hash.
 TEXT = "text_hash"
 #: 64-bit words of a folded sketch.
@@ -302,7 +304,11 @@ def _shared(keys: DataFrame, percent: int) -> DataFrame:
 
 
 def _near_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, shared) whose sizes and bit sketches don't rule out a link."""
+    """Pairs (a, b, shared) whose sizes and bit sketches don't rule out a link. The pairs and
+    the sketches they need are written first: by their size the planner sends few pairs to
+    the sketches rather than all sketches around."""
+    pairs = written(pairs, "candidates")
+    sketches = written(sketches.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi"), "wanted-sketches")
     left = sketches.select(F.col("sid").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("asketch"))
     right = sketches.select(F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bsketch"))
 
@@ -344,6 +350,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(links(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    sets = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
     left, right = (sets.select(F.col("sid").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items").mapInArrow(run, "a long, b long")
 
@@ -421,16 +428,23 @@ def _nearest_heads(apart: DataFrame, folded: DataFrame, percent: int, turn: int)
 
 
 def _still_apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are in different components."""
+    """The pairs (a, b, an, bn) whose sets are in different components."""
     of = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(a_root, a) != coalesce(b_root, b)").select("a", "b")
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(a_root, a) != coalesce(b_root, b)").select("a", "b", "an", "bn")
+
+
+def _near_folded(pairs: DataFrame, folded: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose folded sketches don't rule out a link."""
+    of = lambda c: folded.select(F.col("sid").alias(c), *(F.col(f).alias(f"{c}_{f}") for f in _FOLDS))
+    differ = " + ".join(f"bit_count(a_{f} ^ b_{f})" for f in _FOLDS)
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(f"{100 + percent} * ({differ}) <= {100 - percent} * (an + bn)").select("a", "b")
 
 
 def _of_many(many: DataFrame, folded: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one key in different components, as far as sizes and folded
     sketches allow a link. All but the key's largest component meet the others."""
     largest = many.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
-    low = many.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 8).alias("low"))
+    low = many.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOWEST).alias("low"))
     placed = written(many.select("key", "sid", "n", "root").join(largest, "key").join(folded.join(low, "sid"), "sid"), "apart")
     columns = ("sid", "n", "root", "low", *_FOLDS)
     x = placed.filter("root != largest").select("key", *(F.col(c).alias(f"x_{c}") for c in columns))
@@ -452,6 +466,7 @@ def grouped(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
     described = written(_describe(docs, width), "sets")
     rows = described.filter("n is not null").select("doc_id", TEXT, "sid", "n")
     sketches = described.filter("sketch is not null").groupBy("sid", "n").agg(F.min("sketch").alias("sketch"))
+    sketches = written(sketches, "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", TEXT))
     owners = rows.filter("sid is not null").groupBy("sid").agg(first.alias("o")).select("sid", F.col("o.doc_id").alias("owner"), F.col(f"o.{TEXT}").alias(TEXT))
     common = described.filter("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "shingle").limit(FREQUENT).select("shingle").toArrow()
@@ -460,7 +475,7 @@ def grouped(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
     shared = written(_shared(_keys(docs, width, percent, frequent), percent), "members")
     members = shared.filter("key is not null")
     near = f"sid != head and 100 * head_n >= {percent} * n"
-    heads = shared.filter(near).groupBy(F.col("sid").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("shared"), F.max(F.col("key").isNull()).alias("few"))
+    heads = shared.filter(near).groupBy(F.col("sid").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("shared"), F.max(F.col("key").isNull()).alias("few"), F.max("n").alias("an"), F.max("head_n").alias("bn"))
     heads = written(heads, "heads")
     # one head for each set: the one with which it shares most keys
     best = heads.groupBy("a").agg(F.max_by(F.struct("b", "shared"), F.struct("shared", "b")).alias("h")).select("a", "h.*")
@@ -484,7 +499,9 @@ def grouped(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
         root = _merged(root, linked(_nearest_heads(members, folded(members), percent, turn)))
     # whatever is still apart meets in full
     members = _apart(members, root)
-    pairs = _still_apart(heads.filter("few"), root).unionByName(_of_many(members, folded(members), percent))
+    few = written(_still_apart(heads.filter("few"), root), "few")
+    of_few = folded(few.select(F.explode(F.array("a", "b")).alias("sid")))
+    pairs = _near_folded(few, of_few, percent).unionByName(_of_many(members, folded(members), percent))
     root = _merged(root, linked(pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))))
     return rows.join(root.withColumnRenamed("id", "sid"), "sid", "left").select("doc_id", TEXT, "n", F.coalesce("root", "sid").alias("root"))
 
