@@ -1,14 +1,15 @@
 """Planar geometry on lon/lat columns against parameter-sized polygons.
 
-A perimeter is a request parameter (a few bands of a few dozen vertices), so its edges
-become part of the expression: point tests run inside code generation, next to the
-scan, and need neither a join nor a shuffle.
+A perimeter is a request parameter (a few bands of up to some thousand vertices), so its
+edges become part of the expression, next to the scan, and need neither a join nor a
+shuffle: few edges one by one within code generation, many as one array literal.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +19,20 @@ Polygon = list[Ring]
 
 # Fixed value: metres per degree of latitude in the local equirectangular projection.
 DEG_LAT_M = 111_320.0
+#: More edges than these are one array in the plan rather than an expression each.
+UNROLLED = 24
 
 
 def edges(ring: Ring) -> list[tuple[float, float, float, float]]:
-    return [(*a, *b) for a, b in zip(ring[-1:] + ring[:-1], ring, strict=True)]
+    """Each vertex with the next and the last with the first; a ring may repeat its first
+    vertex at the end, as edges without length are left out."""
+    return [(*a, *b) for a, b in zip(ring[-1:] + ring[:-1], ring, strict=True) if tuple(a) != tuple(b)]
+
+
+def _each(sides: list[tuple[float, float, float, float]], start: Column, step) -> Column:
+    """Folds ``step(so far, x1, y1, x2, y2)`` over edges held as one array literal."""
+    flat = F.lit(np.asarray(sides, dtype=np.float64).reshape(-1))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(sides) - 1)), start, lambda s, i: step(s, *(F.get(flat, i * 4 + k) for k in range(4))))
 
 
 def envelope(polygons: list[Polygon]) -> tuple[float, float, float, float]:
@@ -35,7 +46,11 @@ def in_envelope(x: Column, y: Column, box: tuple[float, float, float, float]) ->
 
 def in_ring(x: Column, y: Column, ring: Ring) -> Column:
     """Even-odd rule: whether a ray to the right crosses an odd number of edges."""
-    crossed = [F.when(((F.lit(yi) > y) != (F.lit(yj) > y)) & (x < (y - yi) * (xj - xi) / (yj - yi) + xi), 1).otherwise(0) for xj, yj, xi, yi in edges(ring) if yi != yj]
+    sides = edges(ring)
+    if len(sides) > UNROLLED:
+        over = lambda n, xj, yj, xi, yi: n + F.when(((yi > y) != (yj > y)) & (x < (y - yi) * (xj - xi) / F.nullif(yj - yi, F.lit(0.0)) + xi), 1).otherwise(0)
+        return _each(sides, F.lit(0), over) % 2 == 1
+    crossed = [F.when(((F.lit(yi) > y) != (F.lit(yj) > y)) & (x < (y - yi) * (xj - xi) / (yj - yi) + xi), 1).otherwise(0) for xj, yj, xi, yi in sides if yi != yj]
     return reduce(lambda a, b: a + b, crossed) % 2 == 1
 
 
@@ -43,6 +58,9 @@ def on_edges(x: Column, y: Column, polygons: list[Polygon]) -> Column:
     """Whether the point lies on an edge of a ring or hole, where the even-odd rule is
     open on some sides."""
     sides = [e for polygon in polygons for ring in polygon for e in edges(ring)]
+    if len(sides) > UNROLLED:
+        hit = lambda s, x1, y1, x2, y2: s | (x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2)) & ((x - x1) * (y2 - y1) == (y - y1) * (x2 - x1)))
+        return _each(sides, F.lit(False), hit)
     on = [x.between(min(x1, x2), max(x1, x2)) & y.between(min(y1, y2), max(y1, y2)) & ((x - x1) * (y2 - y1) == (y - y1) * (x2 - x1)) for x1, y1, x2, y2 in sides]
     return reduce(lambda a, b: a | b, on)
 
@@ -55,17 +73,42 @@ def in_polygons(x: Column, y: Column, polygons: list[Polygon]) -> Column:
 
 def distance_m(x: Column, y: Column, polygons: list[Polygon]) -> Column:
     """Metres to the nearest boundary segment, projected at the point's latitude."""
+    sides = [e for polygon in polygons for ring in polygon for e in edges(ring)]
     k = F.cos(F.radians(y))
-    out = []
-    for x1, y1, x2, y2 in (e for polygon in polygons for ring in polygon for e in edges(ring)):
-        ax, ay, dy = k * (x1 * DEG_LAT_M), F.lit(y1 * DEG_LAT_M), (y2 - y1) * DEG_LAT_M
+
+    def apart(x1, y1, x2, y2) -> Column:
+        ax, ay, dy = k * (x1 * DEG_LAT_M), y1 * DEG_LAT_M, (y2 - y1) * DEG_LAT_M
         dx = k * ((x2 - x1) * DEG_LAT_M)
         px, py = k * x * DEG_LAT_M - ax, y * DEG_LAT_M - ay
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / (dx * dx + dy * dy)))
-        out.append(F.sqrt(F.pow(px - t * dx, 2) + F.pow(py - t * dy, 2)))
+        return F.sqrt(F.pow(px - t * dx, 2) + F.pow(py - t * dy, 2))
+
+    if len(sides) > UNROLLED:
+        return _each(sides, F.lit(float("inf")), lambda s, *e: F.least(s, apart(*e)))
+    out = [apart(*e) for e in sides]
     return F.least(*out) if len(out) > 1 else out[0]
 
 
+def in_envelopes(x: Column, y: Column, polygons: list[Polygon], metres: float) -> Column:
+    """Within the perimeter's envelope, put out by some metres."""
+    x0, y0, x1, y1 = envelope(polygons)
+    dy = metres / DEG_LAT_M
+    dx = dy / max(1e-6, float(np.cos(np.radians(min(89.9, max(abs(y0), abs(y1)) + dy)))))
+    return in_envelope(x, y, (x0 - dx, y0 - dy, x1 + dx, y1 + dy))
+
+
+def within_m(x: Column, y: Column, polygons: list[Polygon], metres: float) -> Column:
+    """Inside the perimeter or at most so many metres from its boundary: a buffer as a test."""
+    return in_envelopes(x, y, polygons, metres) & (in_polygons(x, y, polygons) | (distance_m(x, y, polygons) <= metres))
+
+
+def shoelace(points: Column, x: str = "x", y: str = "y") -> Column:
+    """Signed double area of a ring of points (structs), in square degrees."""
+    n = F.size(points)
+    at = lambda i: F.get(points, i % n)
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + at(i)[x] * at(i + 1)[y] - at(i + 1)[x] * at(i)[y])
+
+
 def tile_index(v: Column, step: float) -> Column:
     return F.floor(v / F.lit(step)).cast("long")
 

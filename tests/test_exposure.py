@@ -60,3 +60,40 @@ def test_perimeter_includes_its_boundary(spark):
     points = {"left": (0.0, 2.0), "right": (4.0, 2.0), "top": (2.0, 4.0), "bottom": (2.0, 0.0), "corner": (4.0, 4.0), "hole's edge": (1.0, 2.0), "in": (0.5, 0.5), "in hole": (2.0, 2.0), "out": (4.5, 2.0), "beside": (2.0, 4.1)}
     assets = spark.createDataFrame([(k, *v) for k, v in points.items()], "id string, lon double, lat double")
     assert {r["id"] for r in exposure.in_perimeter(assets, bands).collect()} == set(points) - {"in hole", "out", "beside"}
+
+
+def _circle(n: int, closed: bool):
+    import math
+
+    ring = [(2.0 + 0.5 * math.cos(2 * math.pi * i / n), 42.0 + 0.5 * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    return ring + ring[:1] if closed else ring
+
+
+def test_perimeters_of_thousands_of_vertices(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, rng.uniform(1.3, 2.7), rng.uniform(41.3, 42.7), "hospital") for i in range(200)]
+    assets = spark.createDataFrame(rows, "id int, lon double, lat double, subcategory string")
+    got = {}
+    for n, closed in ((20, False), (20, True), (4000, True)):
+        bands = [("b", 60.0, [[_circle(n, closed)]])]
+        at = exposure.distance_to_front(exposure.earliest_band(exposure.in_perimeter(exposure.with_class(assets), bands), bands), bands)
+        got[n, closed] = {r["id"]: (r["band_index"], round(r["distance_m"], 3)) for r in at.collect()}
+    assert got[20, False] == got[20, True]
+    inside = {i for i, x, y, _ in rows if (x - 2) ** 2 + (y - 42) ** 2 < 0.2499}
+    outside = {i for i, x, y, _ in rows if (x - 2) ** 2 + (y - 42) ** 2 > 0.2501}
+    assert inside <= set(got[4000, True]) and not outside & set(got[4000, True])
+
+
+def test_many_edges_agree_with_few(spark, monkeypatch):
+    points = spark.range(1600).selectExpr("(id % 40 - 2) / 8D as x", "(id div 40 - 2) / 8D as y")
+    columns = lambda: [geom.in_polygons(F.col("x"), F.col("y"), [SQUARE]).alias("i"), geom.on_edges(F.col("x"), F.col("y"), [SQUARE]).alias("o"), geom.distance_m(F.col("x"), F.col("y"), [SQUARE]).alias("d")]
+    few = points.select("x", "y", *columns()).collect()
+    monkeypatch.setattr(geom, "UNROLLED", 0)
+    assert points.select("x", "y", *columns()).collect() == few
+
+
+def test_metric_buffer(spark):
+    df = spark.createDataFrame([(2.0, 2.0, True), (4.0005, 2.0, True), (4.01, 2.0, False), (1.5, 1.5, False)], "x double, y double, want boolean")
+    assert df.filter(geom.within_m(F.col("x"), F.col("y"), [SQUARE], 100.0) != F.col("want")).count() == 0
