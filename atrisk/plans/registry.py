@@ -25,7 +25,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from atrisk.plans import exposure_queries, inventory_queries  # noqa: F401  its decorators register
+    from atrisk.plans import exposure_queries, inventory_queries, report_queries  # noqa: F401  its decorators register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
