@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atrisk.functions import geom
-from atrisk.operators import exposure, reports
+from atrisk.operators import exposure, reports, resolve
 from atrisk.plans.exposure_queries import _BANDED, _FRONT, _LATEST, _SCORED, _rounded, _scored
 from atrisk.plans.registry import query
 from atrisk.sources import fixtures as fx
@@ -338,3 +338,48 @@ def c4(spark, sf_dir):
 def v9(spark, sf_dir):
     cells = fx.pop_grid(spark, sf_dir).select("cell_id", "population", (F.col("x0") + 0.005).alias("lon"), (F.col("y0") + 0.005).alias("lat"))
     return exposure.earliest_band(cells, BANDS).select("cell_id", "population", "band_index")
+
+
+def _records(spark, sf_dir):
+    """Records from documents, with fields of which some are missing."""
+    docs = fx.read(spark, sf_dir, "documents")
+    k, names = F.col("doc_id"), list(fx.SOURCES)
+    more = docs.select("doc_id", F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int")).alias("source_id"), ((k % 5) * 0.08 + 0.5).alias("confidence"), F.when(k % 3 != 0, (k % 4).cast("double")).alias("floors"), F.when(k % 5 == 0, F.concat(F.lit("http://w/"), k.cast("string"))).alias("website"))
+    return resolve.derived_records(docs).withColumn("subcategory", F.col("category")).join(more, "doc_id")
+
+
+# Similarity by longest common subsequence and clusters over it are beyond SQL; tests hold
+# these against brute force.
+@query("e2_pair_scores")
+def e2(spark, sf_dir):
+    return _rounded(resolve.scored_pairs(_records(spark, sf_dir)), metres=3, similarity=6)
+
+
+@query("e3_matches")
+def e3(spark, sf_dir):
+    return resolve.scored_pairs(_records(spark, sf_dir)).filter(resolve.is_match()).select("a", "b")
+
+
+@query("e4_clusters")
+def e4(spark, sf_dir):
+    return resolve.conflated(_records(spark, sf_dir))[1]
+
+
+@query("e5_merged_records")
+def e5(spark, sf_dir):
+    """Merged records; the columns ``<field>_from`` are the provenance by field (E6)."""
+    records = _records(spark, sf_dir)
+    return resolve.merged(records, resolve.conflated(records)[1], fx.SOURCES, ["floors", "website"])
+
+
+@query("e7_near_miss_hints")
+def e7(spark, sf_dir):
+    return resolve.hints(*resolve.conflated(_records(spark, sf_dir)))
+
+
+@query("e8_conflation_stats")
+def e8(spark, sf_dir):
+    pairs, labels = resolve.conflated(_records(spark, sf_dir))
+    n = labels.agg(F.count("*").alias("input"), F.countDistinct("cluster").alias("output")).withColumn("merged", F.col("input") - F.col("output"))
+    near = resolve.hints(pairs, labels).agg(F.countDistinct("cluster").alias("suggested"))
+    return n.withColumn("suggested", near.scalar())
