@@ -186,6 +186,11 @@ def _batch(names_types: dict, columns) -> pa.RecordBatch:
 _LONG, _INT, _BIN = pa.int64(), pa.int32(), pa.binary()
 
 
+def _join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A merge join at every size: all sides here grow with the corpus, so none is broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias(TEXT), "text")
 
@@ -308,7 +313,7 @@ def _near_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> Data
     the sketches they need are written first: by their size the planner sends few pairs to
     the sketches rather than all sketches around."""
     pairs = written(pairs, "candidates")
-    sketches = written(sketches.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi"), "wanted-sketches")
+    sketches = written(_join(sketches, pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi"), "wanted-sketches")
     left = sketches.select(F.col("sid").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("asketch"))
     right = sketches.select(F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bsketch"))
 
@@ -318,7 +323,7 @@ def _near_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> Data
             keep = [least_difference(p, q) <= (100 - percent) * (i + j) // (100 + percent) for i, j, p, q in zip(an, bn, x, y, strict=True)]
             yield batch.select(["a", "b", "shared"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "shared", "an", "bn", "asketch", "bsketch")
+    both = _join(_join(pairs, left, "a"), right, "b").select("a", "b", "shared", "an", "bn", "asketch", "bsketch")
     return both.mapInArrow(run, "a long, b long, shared long")
 
 
@@ -336,8 +341,8 @@ def _sets(docs: DataFrame, sids: DataFrame, owners: DataFrame, width: int) -> Da
             keep = [i for i, (sid, s) in enumerate(zip(batch.column(0).to_pylist(), sets, strict=True)) if len(s) and set_id(s) == sid]
             yield _batch({"sid": _LONG, "items": _BIN}, [batch.column(0).take(pa.array(keep, pa.int64())), [sets[i].tobytes() for i in keep]])
 
-    wanted = written(owners.join(sids, "sid", "left_semi"), "wanted")
-    texts = _identified(docs).alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.owner")) & (F.col(f"t.{TEXT}") == F.col(f"w.{TEXT}"))).select("sid", "text")
+    wanted = written(_join(owners, sids, "sid", "left_semi"), "wanted")
+    texts = _join(_identified(docs).alias("t"), wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.owner")) & (F.col(f"t.{TEXT}") == F.col(f"w.{TEXT}"))).select("sid", "text")
     return texts.mapInArrow(run, "sid long, items binary").dropDuplicates(["sid"])
 
 
@@ -350,9 +355,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(links(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
+    sets = _join(sets, pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
     left, right = (sets.select(F.col("sid").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items").mapInArrow(run, "a long, b long")
+    return _join(_join(pairs.select("a", "b"), left, "a"), right, "b").select("a", "b", "a_items", "b_items").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -367,9 +372,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _join(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u != v").distinct()
+        small = _join(large, floor, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u != v").distinct()
         e = written(small, "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -396,18 +401,19 @@ def _folded(sketches: DataFrame) -> DataFrame:
 
 def _apart(members: DataFrame, root: DataFrame) -> DataFrame:
     """``key, sid, n, root``: members of the keys whose members are in several components."""
-    placed = members.select("key", "sid", "n").join(root.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    placed = _join(members.select("key", "sid", "n"), root.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    return written(placed.join(mixed, "key"), "apart")
+    return written(_join(placed, mixed, "key"), "apart")
 
 
 def _merged(reached: DataFrame, more: DataFrame) -> DataFrame:
     """``id, root`` after further links: only components that these join are searched again."""
     first = lambda c: reached.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
-    placed = more.join(first("a"), "a", "left").join(first("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    placed = _join(_join(more, first("a"), "a", "left"), first("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     again = written(components(placed), "roots").select(F.col("id").alias("root"), F.col("root").alias("higher"))
-    moved = reached.join(again, "root", "left").select("id", F.coalesce("higher", "root").alias("root"))
-    new = again.select(F.col("root").alias("id"), F.col("higher").alias("root")).join(reached.select("id"), "id", "left_anti")
+    moved = _join(reached, again, "root", "left").select("id", F.coalesce("higher", "root").alias("root"))
+    new = again.select(F.col("root").alias("id"), F.col("higher").alias("root"))
+    new = _join(new, reached.select("id"), "id", "left_anti")
     return written(moved.unionByName(new), "roots")
 
 
@@ -416,10 +422,10 @@ def _nearest_heads(apart: DataFrame, folded: DataFrame, percent: int, turn: int)
     other components. Heads are drawn by a hash, so that a member has many to choose from;
     rows stay one a member and key."""
     some = apart.filter(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(HEAD_SHARE)) == 0).select("key", "sid", "n", "root")
-    some = written(some.join(folded, "sid"), "some")
+    some = written(_join(some, folded, "sid"), "some")
     columns = ("sid", "n", "root", *_FOLDS)
     head = some.groupBy("key").agg(F.min_by(F.struct(*columns), F.xxhash64("key", "sid", F.lit(-turn))).alias("h"))
-    met = some.join(head, "key").select(*columns, *(F.col(f"h.{c}").alias(f"h_{c}") for c in columns), (F.pmod(F.xxhash64("key"), F.lit(2)) == 0).alias("even"))
+    met = _join(some, head, "key").select(*columns, *(F.col(f"h.{c}").alias(f"h_{c}") for c in columns), (F.pmod(F.xxhash64("key"), F.lit(2)) == 0).alias("even"))
     met = met.withColumn("far", F.expr(" + ".join(f"bit_count({c} ^ h_{c})" for c in _FOLDS)))
     met = met.filter(f"root != h_root and 100 * least(n, h_n) >= {percent} * greatest(n, h_n) and {100 + percent} * far <= {100 - percent} * (n + h_n)")
     near = lambda test: F.min_by(F.when(test, F.col("h_sid")), F.when(test, F.struct("far", "h_sid")))
@@ -430,14 +436,14 @@ def _nearest_heads(apart: DataFrame, folded: DataFrame, percent: int, turn: int)
 def _still_apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
     """The pairs (a, b, an, bn) whose sets are in different components."""
     of = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(a_root, a) != coalesce(b_root, b)").select("a", "b", "an", "bn")
+    return _join(_join(pairs, of("a"), "a", "left"), of("b"), "b", "left").filter("coalesce(a_root, a) != coalesce(b_root, b)").select("a", "b", "an", "bn")
 
 
 def _near_folded(pairs: DataFrame, folded: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose folded sketches don't rule out a link."""
     of = lambda c: folded.select(F.col("sid").alias(c), *(F.col(f).alias(f"{c}_{f}") for f in _FOLDS))
     differ = " + ".join(f"bit_count(a_{f} ^ b_{f})" for f in _FOLDS)
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(f"{100 + percent} * ({differ}) <= {100 - percent} * (an + bn)").select("a", "b")
+    return _join(_join(pairs, of("a"), "a"), of("b"), "b").filter(f"{100 + percent} * ({differ}) <= {100 - percent} * (an + bn)").select("a", "b")
 
 
 def _of_many(many: DataFrame, folded: DataFrame, percent: int) -> DataFrame:
@@ -445,12 +451,12 @@ def _of_many(many: DataFrame, folded: DataFrame, percent: int) -> DataFrame:
     sketches allow a link. All but the key's largest component meet the others."""
     largest = many.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
     low = many.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOWEST).alias("low"))
-    placed = written(many.select("key", "sid", "n", "root").join(largest, "key").join(folded.join(low, "sid"), "sid"), "apart")
+    placed = written(_join(_join(many.select("key", "sid", "n", "root"), largest, "key"), _join(folded, low, "sid"), "sid"), "apart")
     columns = ("sid", "n", "root", "low", *_FOLDS)
     x = placed.filter("root != largest").select("key", *(F.col(c).alias(f"x_{c}") for c in columns))
     y = placed.select("key", (F.col("root") == F.col("largest")).alias("inner"), *(F.col(c).alias(f"y_{c}") for c in columns))
     differ = " + ".join(f"bit_count(x_{c} ^ y_{c})" for c in _FOLDS)
-    met = x.join(y, "key").filter(
+    met = _join(x, y, "key").filter(
         f"x_root != y_root and (inner or x_sid < y_sid) and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and {100 + percent} * ({differ}) <= {100 - percent} * (x_n + y_n)"
         " and coalesce(key = array_min(array_intersect(x_low, y_low)), true)"
     )
@@ -485,13 +491,13 @@ def grouped(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
         nonlocal sets
         left = written(_near_by_sketch(pairs, sketches, percent), "pairs")
         wanted = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        fresh = _sets(docs, wanted if sets is None else wanted.join(sets.select("sid"), "sid", "left_anti"), owners, width)
+        fresh = _sets(docs, wanted if sets is None else _join(wanted, sets.select("sid"), "sid", "left_anti"), owners, width)
         fresh = written(fresh, "shingle-sets")
         sets = fresh if sets is None else sets.unionByName(fresh)
         return written(_verified(left, sets, percent), "links")
 
     def folded(members: DataFrame) -> DataFrame:
-        return written(_folded(sketches.join(members.select("sid").distinct(), "sid", "left_semi")), "folded")
+        return written(_folded(_join(sketches, members.select("sid").distinct(), "sid", "left_semi")), "folded")
 
     root = written(components(linked(best)), "roots")
     for turn in range(1, HEAD_ROUNDS + 1):
@@ -503,7 +509,7 @@ def grouped(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
     of_few = folded(few.select(F.explode(F.array("a", "b")).alias("sid")))
     pairs = _near_folded(few, of_few, percent).unionByName(_of_many(members, folded(members), percent))
     root = _merged(root, linked(pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))))
-    return rows.join(root.withColumnRenamed("id", "sid"), "sid", "left").select("doc_id", TEXT, "n", F.coalesce("root", "sid").alias("root"))
+    return _join(rows, root.withColumnRenamed("id", "sid"), "sid", "left").select("doc_id", TEXT, "n", F.coalesce("root", "sid").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
@@ -517,7 +523,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
     """
     named = grouped(docs, width=width, percent=percent)
     least = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return _join(named, least, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def survivors(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
@@ -530,6 +536,6 @@ def survivors(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFram
     kept = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", TEXT, "rows")).alias("k"))
     kept = written(kept.select(F.col("k.doc_id").alias("kept_id"), F.col(f"k.{TEXT}").alias("kept_text"), F.col("k.rows").alias("kept_rows")), "kept")
     blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    found = docs.filter(~blank).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_text")))
+    found = _join(docs.filter(~blank), kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_text")))
     one = found.filter("kept_rows > 1").dropDuplicates(["kept_id", "kept_text"])
     return found.filter("kept_rows = 1").unionByName(one).select(*docs.columns).unionByName(docs.filter(blank))
