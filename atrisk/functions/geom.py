@@ -29,7 +29,7 @@ def edges(ring: Ring) -> list[tuple[float, float, float, float]]:
     return [(*a, *b) for a, b in zip(ring[-1:] + ring[:-1], ring, strict=True) if tuple(a) != tuple(b)]
 
 
-def _each(sides: list[tuple[float, float, float, float]], start: Column, step) -> Column:
+def each_edge(sides: list[tuple[float, float, float, float]], start: Column, step) -> Column:
     """Folds ``step(so far, x1, y1, x2, y2)`` over edges held as one array literal."""
     flat = F.lit(np.asarray(sides, dtype=np.float64).reshape(-1))
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(sides) - 1)), start, lambda s, i: step(s, *(F.get(flat, i * 4 + k) for k in range(4))))
@@ -49,7 +49,7 @@ def in_ring(x: Column, y: Column, ring: Ring) -> Column:
     sides = edges(ring)
     if len(sides) > UNROLLED:
         over = lambda n, xj, yj, xi, yi: n + F.when(((yi > y) != (yj > y)) & (x < (y - yi) * (xj - xi) / F.nullif(yj - yi, F.lit(0.0)) + xi), 1).otherwise(0)
-        return _each(sides, F.lit(0), over) % 2 == 1
+        return each_edge(sides, F.lit(0), over) % 2 == 1
     crossed = [F.when(((F.lit(yi) > y) != (F.lit(yj) > y)) & (x < (y - yi) * (xj - xi) / (yj - yi) + xi), 1).otherwise(0) for xj, yj, xi, yi in sides if yi != yj]
     return reduce(lambda a, b: a + b, crossed) % 2 == 1
 
@@ -60,7 +60,7 @@ def on_edges(x: Column, y: Column, polygons: list[Polygon]) -> Column:
     sides = [e for polygon in polygons for ring in polygon for e in edges(ring)]
     if len(sides) > UNROLLED:
         hit = lambda s, x1, y1, x2, y2: s | (x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2)) & ((x - x1) * (y2 - y1) == (y - y1) * (x2 - x1)))
-        return _each(sides, F.lit(False), hit)
+        return each_edge(sides, F.lit(False), hit)
     on = [x.between(min(x1, x2), max(x1, x2)) & y.between(min(y1, y2), max(y1, y2)) & ((x - x1) * (y2 - y1) == (y - y1) * (x2 - x1)) for x1, y1, x2, y2 in sides]
     return reduce(lambda a, b: a | b, on)
 
@@ -84,7 +84,7 @@ def distance_m(x: Column, y: Column, polygons: list[Polygon]) -> Column:
         return F.sqrt(F.pow(px - t * dx, 2) + F.pow(py - t * dy, 2))
 
     if len(sides) > UNROLLED:
-        return _each(sides, F.lit(float("inf")), lambda s, *e: F.least(s, apart(*e)))
+        return each_edge(sides, F.lit(float("inf")), lambda s, *e: F.least(s, apart(*e)))
     out = [apart(*e) for e in sides]
     return F.least(*out) if len(out) > 1 else out[0]
 
@@ -120,3 +120,13 @@ def tile_key(x: Column, y: Column, step: float = 0.05) -> Column:
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return F.asin(F.sqrt(a)) * (2 * 6371008.8)
+
+
+def circle(lon: Column, lat: Column, radius_km: Column, points: int = 48) -> Column:
+    """A ring (structs x, y) that is round on the ground; null for a radius that is not
+    above 0 and at most 200 km."""
+    up = radius_km * 1000 / DEG_LAT_M
+    across = up / F.greatest(F.cos(F.radians(lat)), F.lit(1e-6))
+    turn = lambda i: i * F.lit(2 * float(np.pi) / points)
+    ring = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct((lon + across * F.cos(turn(i))).alias("x"), (lat + up * F.sin(turn(i))).alias("y")))
+    return F.when((radius_km > 0) & (radius_km <= 200), ring)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +58,7 @@ def replace_tiles(base: DataFrame, batch: DataFrame, refreshed: DataFrame) -> Da
 def trailing_requests(events: DataFrame, seconds: int) -> DataFrame:
     """Per request the key's requests in the seconds up to and with it."""
     w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return events.select("event_id", F.col("user_id").alias("key"), F.count("*").over(w).alias("requests"))
+    return events.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").alias("key"), F.count("*").over(w).alias("requests"))
 
 
 def block_plan(tiles: DataFrame, fresh: DataFrame, side: int) -> DataFrame:
@@ -64,3 +67,39 @@ def block_plan(tiles: DataFrame, fresh: DataFrame, side: int) -> DataFrame:
     index = lambda c: F.floor(F.col(c) / side).alias(f"b{c}")
     blocks = marked.groupBy(index("ix"), index("iy")).agg(F.count("*").alias("tiles"), F.sum(F.when(F.col("fresh").isNull(), 1).otherwise(0)).alias("to_fetch"))
     return blocks.filter("to_fetch > 0")
+
+
+def rate_decisions(events: DataFrame, limit: int, seconds: float = 60.0) -> DataFrame:
+    """``event_id, key, allowed, remaining, retry_after`` of every request under a sliding
+    limit (0: unlimited), where a request that is denied does not count for later ones.
+
+    That rule depends on all earlier decisions of the key, so each key is read in order of
+    time, then event; what a task holds is one key's last ``limit`` hits, however many
+    requests the key has. Requests without a time count as the earliest.
+    """
+    schema = "event_id long, key long, allowed boolean, remaining long, retry_after long"
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 62))).alias("at")
+    ordered = events.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("key"), at).repartition("key").sortWithinPartitions("key", "at", "event_id")
+
+    def decide(batches):
+        at_key, hits = object(), deque()
+        for batch in batches:
+            out = []
+            keys = batch.column("key").to_pylist()
+            for key, now in zip(keys, batch.column("at").to_pylist(), strict=True):
+                if key != at_key:
+                    at_key, hits = key, deque()
+                while hits and now - hits[0] > seconds * 1e6:
+                    hits.popleft()
+                if limit <= 0:
+                    out.append((True, -1, 0))
+                elif len(hits) >= limit:
+                    out.append((False, 0, max(1, int(seconds + 1 - (now - hits[0]) / 1e6))))
+                else:
+                    hits.append(now)
+                    out.append((True, limit - len(hits), 0))
+            allowed, remaining, retry = zip(*out, strict=True) if out else ((), (), ())
+            columns = [batch.column("event_id"), batch.column("key"), pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int64()), pa.array(retry, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["event_id", "key", "allowed", "remaining", "retry_after"])
+
+    return ordered.mapInArrow(decide, schema)

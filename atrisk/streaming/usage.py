@@ -56,3 +56,25 @@ def latest_outcomes(ledger: DataFrame) -> DataFrame:
     fields = F.struct("fetched_at", "event_id", "status")
     now = latest_state(ledger.groupBy(F.col("tile_key").alias("k_tile")).agg(F.max_by(fields, fields).alias("r")), "tiles")
     return now.select(F.col("k_tile").alias("tile_key"), "r.*")
+
+
+def ingested(stream: DataFrame, key: str, *order: str) -> tuple[DataFrame, DataFrame]:
+    """Lands a stream chunk by chunk; returns the table by key, where the row of the highest
+    order stays, and the ledger ``chunk, rows`` of the chunks.
+
+    A chunk's rows are written before its ledger line, each into a folder of its own number
+    that a repeated chunk overwrites: a run that goes on after a failure changes nothing.
+    """
+    spark = stream.sparkSession
+    rows, lines = _folder(spark, "chunks"), _folder(spark, "ledger")
+
+    def land(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/chunk={number}")
+        landed = spark.read.schema(batch.schema).parquet(f"{rows}/chunk={number}")
+        landed.agg(F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{lines}/chunk={number}")
+
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", _folder(spark, "chunks-state")).foreachBatch(land).start().awaitTermination()
+    landed = spark.read.option("basePath", rows).parquet(f"{rows}/chunk=*")
+    columns = [c for c in landed.columns if c != "chunk"]
+    table = landed.groupBy(key).agg(F.max_by(F.struct(*(c for c in columns if c != key)), F.struct(*order)).alias("r")).select(key, "r.*")
+    return table, spark.read.option("basePath", lines).parquet(f"{lines}/chunk=*")
