@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from atrisk.functions import geom
+from atrisk.functions import geom, grids
 from atrisk.operators import clip, store
 from atrisk.plans.exposure_queries import _rounded
 from atrisk.plans.registry import query
@@ -66,3 +66,25 @@ def x5(spark, sf_dir):
     stream = usage.events(spark, sf_dir).select("user_id", "event_id", "event_type", "ts")
     table, ledger = usage.ingested(stream, "user_id", "ts", "event_id")
     return table.select("user_id", "event_id", "event_type").withColumn("landed", ledger.agg(F.sum("rows")).scalar())
+
+
+def _radians_sql() -> str:
+    """The projection's inverse over columns x, y (scaled), as SQL."""
+    k, (a, b, d) = grids.constants(), grids.series()
+    c = f"(2 * asin(sqrt(x * x + y * y) / (2 * {k['radius']!r}::double)))"
+    beta = f"asin(cos(c) * {k['sin0']!r}::double + y * sin(c) / rho * {k['cos0']!r}::double)"
+    return f"""g as (select *, sqrt(x * x + y * y) as rho, {c} as c from s), h as (select *, {beta} as beta, atan2(x * sin(c), rho * cos(c) * {k['cos0']!r}::double - y * sin(c) * {k['sin0']!r}::double) as l from g)
+select id, easting, northing, size, round(degrees(l) + 10.0::double, 9) as lon, round(degrees(beta + {a!r}::double * sin(2 * beta) + {b!r}::double * sin(4 * beta) + {d!r}::double * sin(6 * beta)), 9) as lat from h"""
+
+
+_IDS = "select o_orderkey as id, (3100 + o_orderkey % 700) * 1000.0::double as easting, (1700 + o_custkey % 700) * 1000.0::double as northing, case when o_orderkey % 3 = 0 then 1000.0::double else (o_orderkey % 3) * 1000.0::double end as size from orders"
+
+
+@query("n3_census_cells", f"with s as (select *, (easting - {grids.EAST0}::double) / {grids.constants()['scale']!r}::double as x, (northing - {grids.NORTH0}::double) * {grids.constants()['scale']!r}::double as y from ({_IDS})), {_radians_sql()}")
+def n3(spark, sf_dir):
+    k, digits = F.col("o_orderkey"), lambda c: c.cast("string")
+    name = F.concat(F.when(k % 3 == 0, "").otherwise(F.concat(digits(k % 3), F.lit("km"))), F.lit("N"), digits(F.col("o_custkey") % 700 + 1700), F.lit("E"), digits(k % 700 + 3100))
+    cells = fx.read(spark, sf_dir, "orders").select(k.alias("id"), name.alias("name"))
+    cells = cells.select("id", *(c.alias(n) for n, c in grids.corner(F.col("name")).items()))
+    lon, lat = grids.lonlat(F.col("easting"), F.col("northing"))
+    return _rounded(cells.select("*", lon.alias("lon"), lat.alias("lat")), lon=9, lat=9)
