@@ -87,7 +87,8 @@ def feature_shape(points: Column) -> Column:
     """
     n, first = F.size(points), F.get(points, F.lit(0))
     at = F.transform(points, lambda p: F.struct((p["x"] - first["x"]).alias("x"), (p["y"] - first["y"]).alias("y")))
-    pairs = F.arrays_zip(F.slice(at, 1, n - 1).alias("a"), F.slice(at, 2, n - 1).alias("b"))
+    count = F.greatest(n - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice(at, 1, count).alias("a"), F.slice(at, 2, count).alias("b"))
 
     def total(value):
         return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + value(p["a"], p["b"]))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from atrisk.functions import tag_rules
 from atrisk.operators import landed, store
 from atrisk.operators.shared import written
 from atrisk.plans.clip_queries import _IDS
@@ -109,3 +112,44 @@ def v11(spark, sf_dir):
         "uncovered": (F.col("outside") > 0, said(text("outside"), " assets beyond the covered area")),
     }
     return landed.warnings(facts, tests)
+
+
+# Tags with the class that a reader of the rules expects, given out over the parts.
+_TAGGED = [
+    ({"amenity": "fuel", "shop": "convenience"}, "fuel_station"), ({"man_made": "storage_tank", "content": "crude oil"}, "fuel_depot"), ({"man_made": "storage_tank"}, "warehouse"),
+    ({"man_made": "works", "product": "CHEMicals"}, "chemical_plant"), ({"man_made": "works"}, "factory"), ({"emergency": "fire_hydrant"}, "hydrant"),
+    ({"amenity": "hospital", "building": "yes"}, "hospital"), ({"healthcare": "doctor"}, "clinic"), ({"social_facility": "group_home", "social_facility:for": "mental_health"}, "mental_health"),
+    ({"social_facility": "day_care", "social_facility:for": "senior"}, "day_centre"), ({"social_facility": "assisted_living", "social_facility:for": "elderly"}, "care_home"), ({"social_facility": "outreach"}, "social_services"),
+    ({"amenity": "shelter", "shelter_type": "public_transport", "building": "house"}, None), ({"amenity": "school", "isced:level": "1;2"}, "primary_school"), ({"building": "school", "isced:level": "3"}, "secondary_school"),
+    ({"amenity": "school"}, "school"), ({"power": "generator", "generator:source": "wind"}, "wind_farm"), ({"power": "plant"}, "power_plant"),
+    ({"man_made": "tower", "tower:type": "communication"}, "telecom_mast"), ({"man_made": "tower", "tourism": "viewpoint"}, None), ({"natural": "water", "water": "lake"}, "reservoir"),
+    ({"natural": "water"}, None), ({"amenity": "recycling", "recycling_type": "centre"}, "waste_facility"), ({"amenity": "recycling"}, None),
+    ({"craft": "winery"}, "workshop"), ({"craft": "sawmill"}, "sawmill"), ({"landuse": "vineyard"}, "orchard"),
+    ({"tourism": "alpine_hut"}, "hostel"), ({"historic": "ruins"}, "monument"), ({"shop": "grocery"}, "supermarket"), ({"shop": "books"}, "shop"),
+    ({"office": "lawyer"}, "office"), ({"building": "detached"}, "house"), ({"building": "yes"}, None), ({"building": "castle"}, "castle"), ({}, None),
+]
+_WAYS = [
+    ({"highway": "motorway_link"}, "motorway"), ({"highway": "trunk"}, "primary_road"), ({"highway": "tertiary"}, "secondary_road"), ({"highway": "living_street"}, "local_road"),
+    ({"highway": "track", "power": "line"}, "track"), ({"highway": "steps", "power": "line"}, None), ({"power": "minor_line"}, "power_line"), ({"power": "tower"}, None),
+    ({"railway": "tram"}, "railway"), ({"railway": "station"}, None), ({"waterway": "canal", "man_made": "pipeline"}, None), ({"man_made": "pipeline"}, "gas_infrastructure"), ({}, None),
+]
+
+
+def _expected(tagged) -> str:
+    return f"[{', '.join('null' if c is None else repr(c) for _, c in tagged)}][p_partkey % {len(tagged)} + 1]"
+
+
+def _classified(spark, sf_dir, tagged, rules):
+    sets = F.array(*(F.from_json(F.lit(json.dumps(t)), "map<string,string>") for t, _ in tagged))
+    rows = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.get(sets, (F.col("p_partkey") % len(tagged)).cast("int")).alias("tags"))
+    return rows.select("id", tag_rules.tag_class(F.col("tags"), rules).alias("class"))
+
+
+@query("c2_tag_classes", f"select p_partkey as id, {_expected(_TAGGED)} as class from part")
+def c2(spark, sf_dir):
+    return _classified(spark, sf_dir, _TAGGED, tag_rules.RULES)
+
+
+@query("c3_network_classes", f"select p_partkey as id, {_expected(_WAYS)} as class from part")
+def c3(spark, sf_dir):
+    return _classified(spark, sf_dir, _WAYS, tag_rules.NETWORKS)
