@@ -33,9 +33,9 @@ from atrisk.llm.common import small_batches, written
 from atrisk.llm.packing import text_encoder
 
 #: Characters of text in a block, and of the units aligned in one product.
-BLOCK, CHUNK = 1 << 23, 1 << 19
+BLOCK, CHUNK = 1 << 22, 1 << 18
 #: Units that a worker remembers.
-UNITS = 400_000
+UNITS = 250_000
 #: Non-zero products formed at once.
 PRODUCTS = 1 << 21
 #: A pair of ids is one number: so many bits for the id of A, then so many for that of B.
@@ -222,7 +222,7 @@ class Aligner:
             self.memo[u] = len(self.memo)
             self.letters += len(u)
 
-    def block(self, number: int, docs: list[tuple[int | None, str | None]]) -> dict:
+    def block(self, number: int, docs: list[tuple[int | None, str | None]]) -> pa.RecordBatch:
         """One block's row: its documents, the places of their pairs, and its distinct pairs."""
         if len(self.memo) > UNITS or self.letters > 16 * UNITS:
             self.forget()
@@ -254,16 +254,15 @@ class Aligner:
         m = np.add.reduceat(m, head) if len(head) else m
         doc, place = np.divmod(key[head], max(len(distinct), 1))
         entries = np.bincount(doc, minlength=len(docs))
-        steps = np.diff(place, prepend=0).astype(np.int32)  # small within a document
+        steps = np.diff(place, prepend=0)  # small within a document
         said = [hashlib.sha256(";".join([self.said[self.memo[u]] for u in c]).encode()).hexdigest() if k else "" for c, k in zip(cut, kept.tolist(), strict=True)]
-        names = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")
-        return {
-            "block": number,
-            "docs": [{"doc_id": d, **dict(zip(names, row, strict=False)), "groups_sha256": s, "entries": e} for (d, _), row, s, e in zip(docs, of_doc.tolist(), said, entries.tolist(), strict=True)],
-            "places": pa.compress(steps.tobytes(), "zstd", asbytes=True),
-            "times": pa.compress(m.astype(np.int32).tobytes(), "zstd", asbytes=True),
-            "pairs": [{"place": i, "pair": p, "docs": c} for i, (p, c) in enumerate(zip(distinct.tolist(), np.bincount(place, minlength=len(distinct)).tolist(), strict=True))],
-        }
+        # columns of the documents and of the pairs, not rows as objects, which take far more memory
+        columns = [pa.array([d for d, _ in docs], pa.int64()), *(pa.array(of_doc[:, i]) for i in range(5)), pa.array(said, pa.string()), pa.array(entries, pa.int32())]
+        held = pa.StructArray.from_arrays(columns, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_overlaps", "groups_sha256", "entries"])
+        counted = pa.StructArray.from_arrays([pa.array(np.arange(len(distinct), dtype=np.int32)), pa.array(distinct), pa.array(np.bincount(place, minlength=len(distinct)))], names=["place", "pair", "docs"])
+        blobs = (pa.array([pa.compress(x.astype(np.int32).tobytes(), "zstd", asbytes=True)], pa.binary()) for x in (steps, m))
+        lists = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (held, counted))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), next(lists), *blobs, next(lists)], names=["block", "docs", "places", "times", "pairs"])
 
 
 @functools.lru_cache(maxsize=1)
@@ -277,34 +276,20 @@ def _blocks(path_a: str, path_b: str):
         made = aligner(path_a, path_b)
         number = TaskContext.get().partitionId() << 32
         held, size = [], 0
-        schema = None
-
-        def out():
-            nonlocal number
-            row = made.block(number, held)
-            number += 1
-            return pa.RecordBatch.from_pylist([row], schema=schema)
-
-        schema = _arrow_schema()
         for batch in batches:
             for d, t in zip(batch.column(0).cast(pa.int64()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.append((d, t))
                 size += len(t or "") + 64
                 if size >= BLOCK:
-                    yield out()
+                    yield made.block(number, held)
+                    number += 1
                     held, size = [], 0
         if held:
-            yield out()
+            yield made.block(number, held)
 
     return run
 
 
-def _arrow_schema() -> pa.Schema:
-    doc = [("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")), ("groups_sha256", pa.string()), ("entries", pa.int32())]
-    pair = [("place", pa.int32()), ("pair", pa.int64()), ("docs", pa.int64())]
-    return pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.struct(doc))), ("places", pa.binary()), ("times", pa.binary()), ("pairs", pa.list_(pa.struct(pair)))])
-
-
 def _numbers(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, 4 * n, "zstd", asbytes=True), np.int32) if n else np.zeros(0, np.int32)
 
