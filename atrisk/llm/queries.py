@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atrisk.llm import align, bpe, chat, fingerprint, html_text, jaccard, langid, media, negatives, packing, pii, urlfilter
+from atrisk.llm import align, bpe, chat, fingerprint, html_text, jaccard, langid, media, negatives, packing, pii, substrings, urlfilter
 from atrisk.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -72,7 +76,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignments(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
 
 
-_ALL = [op1_language_id, op2_pii_surrogates, op3_media_columns, op4_url_filter, op5_fingerprints, op6_bpe, op7_ngram_jaccard, op8_tool_calls, op9_main_text, op10_packing, op12_hard_negatives, op13_token_alignment]
+_ALL = [op1_language_id, op2_pii_surrogates, op3_media_columns, op4_url_filter, op5_fingerprints, op6_bpe, op7_ngram_jaccard, op8_tool_calls, op9_main_text, op10_packing, op11_suffix_dedup, op12_hard_negatives, op13_token_alignment]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
