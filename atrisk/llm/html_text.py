@@ -16,7 +16,8 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +42,6 @@ RAW = set("script style noscript template textarea title iframe".split())
 _ITEMS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _ENDS_P = BLOCKS - {"li", "dd", "dt", "tr", "td", "th", "html", "body", "caption", "legend", "summary", "tbody", "tfoot", "thead", "figcaption"} | {"nav", "header", "footer", "aside", "form", "menu"}
 _HOLDS_P = BLOCKS - {"p"} | {"nav", "header", "footer", "aside", "form"}
-#: Elements further out are not looked at for implied ends.
-NEAR = 64
 
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _PLAIN = re.compile("[^>\"']*")
@@ -117,10 +116,12 @@ def _tags(page: str):
             if f"</{name}" in missing:
                 at = len(page)
             else:
-                stop = re.compile(f"</{name}[^>]*>", re.I).search(page, at)
-                if not stop:
+                # the end tag's name first, then once the end of that tag
+                stop = re.compile(f"</{name}", re.I).search(page, at)
+                end = find(">", stop.end()) if stop else -1
+                if end < 0:
                     missing.add(f"</{name}")
-                at = stop.end() if stop else len(page)
+                at = end + 1 if end >= 0 else len(page)
         yield start, at, name, closes, attributes
 
 
@@ -130,7 +131,7 @@ def events(page: str):
     Dropped elements give one 'gap' event and nothing of what they hold. End tags may be
     left out where HTML allows it."""
     stack: list[tuple[str, bool]] = []
-    opened: Counter = Counter()
+    opened: dict[str, list[int]] = defaultdict(list)  # depths of each name's open elements
     dropped = inside = 0
     at = 0
 
@@ -138,22 +139,18 @@ def events(page: str):
         nonlocal dropped, inside
         while len(stack) > depth:
             name, drop = stack.pop()
-            opened[name] -= 1
+            opened[name].pop()
             dropped -= drop
             inside -= name in CONTENT
 
     def ended(names: set[str], within: set[str]) -> None:
-        """Closes the outermost near open element of the names, as far as ``within``."""
+        """Closes the outermost open element of the names that is further in than any of ``within``."""
         if not any(opened[n] for n in names):
             return
-        depth = None
-        for i in range(len(stack) - 1, max(-1, len(stack) - 1 - NEAR), -1):
-            if stack[i][0] in names:
-                depth = i
-            elif stack[i][0] in within:
-                break
-        if depth is not None:
-            close(depth)
+        holder = max((opened[n][-1] for n in within if opened[n]), default=-1)
+        first = [opened[n][i] for n in names if (i := bisect_right(opened[n], holder)) < len(opened[n])]
+        if first:
+            close(min(first))
 
     for start, end, name, closes, attributes in _tags(page):
         if not dropped and start > at:
@@ -168,9 +165,7 @@ def events(page: str):
         if closes:
             gap = False
             if opened[name]:
-                i = len(stack) - 1
-                while stack[i][0] != name:
-                    i -= 1
+                i = opened[name][-1]
                 gap = stack[i][1]
                 close(i)
             if not dropped and not gap:
@@ -184,8 +179,8 @@ def events(page: str):
         if not dropped:
             yield "gap" if drop else "tag", name, inside > 0
         if name not in VOID and not attributes.endswith("/"):
+            opened[name].append(len(stack))
             stack.append((name, drop))
-            opened[name] += 1
             dropped += drop
             inside += name in CONTENT
     if not dropped and at < len(page):
