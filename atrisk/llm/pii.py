@@ -49,7 +49,7 @@ _OCTETS = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 #: Repeated groups are possessive or bounded: the matcher would recurse once for each turn of others.
 _NAME = r"\p{Lu}(?:\.(?=[ \u00a0]\p{L})|(?:[\p{L}\p{M}]|['’-](?=\p{L})(?!s(?!\p{L})))++)"
 _PARTICLE = r"(?:v[oa]n(?:[ \u00a0](?:de[rnm]?|het))?|vom|zu[mr]?|de|del|della|di|da|dos|du|las?|los|le|te[nr]|bin|ibn|al)"
-_TITLED = rf"(?:(?:{'|'.join(TITLES)})\.?[ \u00a0]){{1,8}}"
+_TITLED = rf"(?:(?:{'|'.join(TITLES)})\.?[ \u00a0]++)++"
 _HOST = r"[\p{L}\p{N}]++(?:-++[\p{L}\p{N}]++)*+"
 #: Starts of well-known keys; they are kept.
 _KEY_HEAD = r"(?:A[KS]IA|AIza|gh[opsur]_|github_pat_|glpat-|xox[abeprs]-|hf_|npm_|[spr]k[-_](?:(?:live|test|proj|ant|or)[-_])?)"
@@ -63,7 +63,7 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     # 3-3-4 digits; 9 digits in groups from 6 on; 8 to 15 digits from 0 on in groups, but no date
     "national": r"(?:1[ .-])?[2-9][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|[6-9][0-9]{2}(?:(?:[ -][0-9]{3}){2}|(?:[ -][0-9]{2}){3})(?![ -]?[0-9])|[89][0-9][ -][0-9]{3}(?:[ -][0-9]{2}){2}(?![ -]?[0-9])|(?![0-9]{2}[./-][0-9]{2}[./-][0-9]{4}(?![0-9]))(?=(?:[0-9][ ./-]?){7,14}[0-9](?![0-9]))0[0-9]{1,5}(?:[ ./-][0-9]{2,8}){1,5}(?![0-9])",
-    "name": rf"{_TITLED}(?:{_PARTICLE}[ \u00a0]){{0,4}}{_NAME}(?:[ \u00a0](?:{_PARTICLE}[ \u00a0]){{0,4}}{_NAME})*+",
+    "name": rf"{_TITLED}(?:{_PARTICLE}[ \u00a0]++)*+{_NAME}(?:[ \u00a0](?:{_PARTICLE}[ \u00a0]++)*+{_NAME})*+",
 }
 #: An entity starts where no word goes on; e-mail addresses come first, as they hold dots,
 #: and may follow an @.
