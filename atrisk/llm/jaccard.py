@@ -534,8 +534,10 @@ def survivors(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFram
     rows = grouped(docs, width=width, percent=percent).filter("root is not null")
     each = rows.groupBy("root", "doc_id", TEXT).agg(F.count("*").alias("rows"))
     kept = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", TEXT, "rows")).alias("k"))
-    kept = written(kept.select(F.col("k.doc_id").alias("kept_id"), F.col(f"k.{TEXT}").alias("kept_text"), F.col("k.rows").alias("kept_rows")), "kept")
+    longest = max(docs.columns, key=len)
+    own_id, own_text, own_rows = (f"{longest}_{i}" for i in range(3))  # of no column of the input
+    kept = written(kept.select(F.col("k.doc_id").alias(own_id), F.col(f"k.{TEXT}").alias(own_text), F.col("k.rows").alias(own_rows)), "kept")
     blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    found = _join(docs.filter(~blank), kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_text")))
-    one = found.filter("kept_rows > 1").dropDuplicates(["kept_id", "kept_text"])
-    return found.filter("kept_rows = 1").unionByName(one).select(*docs.columns).unionByName(docs.filter(blank))
+    found = _join(docs.filter(~blank), kept, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_text)))
+    one = found.filter(F.col(own_rows) > 1).dropDuplicates([own_id, own_text])
+    return found.filter(F.col(own_rows) == 1).unionByName(one).select(*docs.columns).unionByName(docs.filter(blank))

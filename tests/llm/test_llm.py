@@ -12,6 +12,7 @@ pytest.importorskip("atrisk.llm")
 
 import numpy as np  # noqa: E402
 import public_tokenizers  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from atrisk.llm import bpe, chat, fingerprint, html_text, jaccard, langid, media, packing, pii, urlfilter  # noqa: E402
@@ -394,3 +395,28 @@ def test_pipeline_keeps_documents_without_labels(spark):
 
     given = docs(spark, ["some words", "1 2 3", None, "", "дом"], None)
     assert sorted(r["text"] for r in corpus_pipeline.language(spark, given, "").collect()) == ["some words", "дом"]
+
+
+def test_implied_ends_reach_any_depth_and_raw_elements_are_linear():
+    import time
+
+    for depth in (40, 80, 500):
+        page = "<ul><li class=sidebar>" + "<div>" * depth + "gone<li>kept text</ul>"
+        assert [v for k, v, _ in html_text.events(page) if k == "text"] == ["kept text"]
+    assert [v for k, v, _ in html_text.events("<table><tr><td>a<table><tr><td>b</table><td>c<tr><td>d</table>") if k == "text"] == list("abcd")
+    page = "<script>" + "</script" * 200_000
+    begun = time.time()
+    assert list(html_text.events(page)) == [("gap", "script", False)]
+    assert time.time() - begun < 5
+
+
+def test_names_after_many_particles_and_blanks(spark):
+    said = ["Dr van der de la di Berg came", "Mr  Kowalczyk left", "Mr Ana  de   la Cruz"]
+    out = [r.text for r in pii.replace(docs(spark, said), "key").orderBy("doc_id").collect()]
+    assert not any(w in " ".join(out) for w in ("Berg", "Kowalczyk", "Cruz ")), out
+
+
+def test_survivors_keep_columns_of_any_name(spark):
+    df = docs(spark, ["one two three four five six"] * 2 + ["another text of some more words here"]).withColumns({c: F.lit(1) for c in ("kept_id", "kept_text", "kept_rows", "root", "rows")})
+    out = jaccard.survivors(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [0, 2]
