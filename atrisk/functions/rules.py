@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from atrisk.operators.registry_jobs import folded
+from atrisk.functions.norm import folded
 
 Rules = list[tuple[tuple[str, ...], str]]
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atrisk.functions import geom, grids
-from atrisk.operators.registry_jobs import folded
+from atrisk.functions.norm import folded
 
 #: A header row is looked for in so many first lines and has so many different names.
 HEADER_LINES, HEADER_NAMES = 12, 5

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atrisk.functions import geom
+from atrisk.functions.norm import title_case
 
 # Fixed value: people a dwelling.
 PEOPLE_PER_DWELLING = 2.47
@@ -177,21 +178,6 @@ def wanted_point(lon: Column, lat: Column, box: Box) -> Column:
     return lon.isNull() | lat.isNull() | geom.in_envelope(lon, lat, box)
 
 
-def decimal(text: Column) -> Column:
-    """A number from text with a decimal point or comma, and dots between thousands."""
-    t = F.trim(text)
-    comma = F.regexp_replace(F.regexp_replace(t, r"\.", ""), ",", ".")
-    return F.when(t.contains(","), comma).otherwise(t).try_cast("double")
-
-
-def dms(text: Column) -> Column:
-    """Degrees from text such as 41° 23' 15.5" N; south and west are negative."""
-    form = r"^\s*([0-9]+)[°º]\s*([0-9]+)['′]\s*([0-9.,]+)[\"″]\s*([NSEWO])"
-    part = lambda i: decimal(F.regexp_extract(text, form, i))
-    sign = F.when(F.regexp_extract(text, form, 4).isin("S", "W", "O"), -1.0).otherwise(1.0)
-    return sign * (part(1) + part(2) / 60.0 + part(3) / 3600.0)
-
-
 # Abbreviations of street types.
 STREETS = {"c/": "carrer", "c.": "carrer", "av.": "avinguda", "avda.": "avinguda", "pl.": "plaça", "pg.": "passeig", "ctra.": "carretera"}
 
@@ -225,20 +211,20 @@ def _raw(rows: DataFrame, subcategory: Column, name: Column, capacity: Column, p
 def hospitals(rows: DataFrame) -> DataFrame:
     """Beds to people; the class code tells the kind."""
     kind = F.when(F.col("kind") == "psychiatric", "mental_health").otherwise("hospital")
-    return _raw(rows, kind, F.initcap("name"), F.col("size"), F.col("size") * 2.2, 0.9)
+    return _raw(rows, kind, title_case(F.col("name")), F.col("size"), F.col("size") * 2.2, 0.9)
 
 
 @job("primary_care")
 def primary_care(rows: DataFrame) -> DataFrame:
     """Centres and clinics; the name is put together from kind and place."""
     kind = F.when(F.col("kind") == "centre", "primary_care").otherwise("clinic")
-    return _raw(rows, kind, F.concat_ws(" ", F.initcap("kind"), F.initcap("name")), F.lit(None), F.lit(None).cast("double"), 0.8)
+    return _raw(rows, kind, F.concat_ws(" ", title_case(F.col("kind")), title_case(F.col("name"))), F.lit(None), F.lit(None).cast("double"), 0.8)
 
 
 @job("care_homes")
 def care_homes(rows: DataFrame) -> DataFrame:
     """Places to people, staff included."""
-    return _raw(rows, F.lit("care_home"), F.initcap("name"), F.col("size"), F.col("size") * 1.33, 0.8)
+    return _raw(rows, F.lit("care_home"), title_case(F.col("name")), F.col("size"), F.col("size") * 1.33, 0.8)
 
 
 @job("municipal_points")

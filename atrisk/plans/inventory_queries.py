@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from atrisk.functions import geom
+from atrisk.functions import geom, norm
 from atrisk.operators import population, registry_jobs, store
 from atrisk.plans.exposure_queries import _BANDED, _LATEST, _RUNS, _STATE, _as_of, _rounded
 from atrisk.plans.registry import query
@@ -72,12 +72,22 @@ def r2(spark, sf_dir):
     return registry_jobs.latest_edition(rows, "edition").select("o_orderkey", "edition")
 
 
-_FOLD = lambda c: f"trim(regexp_replace(translate(lower({c}), '{registry_jobs.ACCENTED}', '{registry_jobs.PLAIN}'), '[^a-z0-9]+', ' ', 'g'))"
+_FOLD = lambda c: f"trim(regexp_replace(lower(replace(strip_accents({c}), '·', '')), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 
 
 @query("n2_text_keys", f"select conv_id, turn, md5({_FOLD('text')}) as text_key from conversations")
 def n2(spark, sf_dir):
-    return fx.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(registry_jobs.folded(F.col("text"))).alias("text_key"))
+    return fx.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(norm.folded(F.col("text"))).alias("text_key"))
+
+
+# Names as registries spell them, with their keys.
+SPELT = [("Hospital de Sant Joan de Déu, S.A.", "deu hospital joan sant"), ("Instal·lacions esportives d'Žižek", "esportives installacions zizek"), ("FUNDACIÓ L’Escola i Lleure SCCL", "escola lleure"), ("Школа № 5", "no школа"), ("Ακαδημία Αθηνών", "αθηνων ακαδημια"), ("Cap de la Vila 2a", "2a cap vila"), (" de la ", "")]
+
+
+@query("n2_name_keys", f"select p_partkey as k, [{', '.join(repr(b) for _, b in SPELT)}][p_partkey % {len(SPELT)} + 1] as name_key from part")
+def n2_names(spark, sf_dir):
+    name = F.element_at(F.array(*(F.lit(a) for a, _ in SPELT)), (F.col("p_partkey") % len(SPELT) + 1).cast("int"))
+    return fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), norm.name_key(name).alias("name_key"))
 
 
 @query("n4_emails", f"select doc_id, found[1] as first_email, len(found)::int as emails from (select doc_id, list_transform(regexp_extract_all(text, '{registry_jobs.EMAIL}'), lambda x: lower(x)) as found from documents)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from atrisk.functions import geom
+from atrisk.functions import geom, norm
 from atrisk.operators import exposure, reports, resolve
 from atrisk.plans.exposure_queries import _BANDED, _FRONT, _LATEST, _SCORED, _rounded, _scored
 from atrisk.plans.registry import query
@@ -266,12 +266,36 @@ def j6(spark, sf_dir):
     return rows.join(found, "k").select("k", F.coalesce("street", "found").alias("street"), "match", F.round(F.col("quality") * 0.8 / 0.9, 6).alias("confidence"))
 
 
-@query("n1_coordinates", "select s_suppkey as k, round((s_suppkey % 90) + (s_suppkey % 60) / 60.0::double + (s_suppkey % 59 + 0.5::double) / 3600.0::double, 9) * case when s_suppkey % 2 = 0 then -1 else 1 end as lat, case s_suppkey % 3 when 0 then 1234.5::double + s_suppkey when 1 then s_suppkey + 0.25::double end as figure from supplier")
+@query("n1_coordinates", "select s_suppkey as k, round((s_suppkey % 90) + (s_suppkey % 60) / 60.0::double + (s_suppkey % 59 + 0.5::double) / 3600.0::double, 9) * case when s_suppkey % 2 = 0 then -1 else 1 end as lat, case s_suppkey % 5 when 0 then 1234.5::double + s_suppkey when 1 then s_suppkey + 0.25::double when 2 then 1234.5::double + s_suppkey when 3 then s_suppkey + 0.5::double end as figure from supplier")
 def n1(spark, sf_dir):
     k = F.col("s_suppkey")
     text = F.concat((k % 90).cast("string"), F.lit("° "), (k % 60).cast("string"), F.lit("' "), (k % 59).cast("string"), F.lit(',5" '), F.when(k % 2 == 0, "S").otherwise("N"))
-    figure = F.when(k % 3 == 0, F.regexp_replace(F.format_number(k + 1234.5, 1), r"^(\d+),(\d+)\.(\d)$", "$1.$2,$3")).when(k % 3 == 1, F.concat(k.cast("string"), F.lit(".25"))).otherwise("n/a")
-    return fx.read(spark, sf_dir, "supplier").select(k.alias("k"), F.round(reports.dms(text), 9).alias("lat"), reports.decimal(figure).alias("figure"))
+    grouped = F.format_number(k + 1234.5, 1)
+    figure = F.when(k % 5 == 0, F.regexp_replace(grouped, r"^(\d+),(\d+)\.(\d)$", "$1.$2,$3")).when(k % 5 == 1, F.concat(k.cast("string"), F.lit(".25"))).when(k % 5 == 2, grouped).when(k % 5 == 3, F.concat(k.cast("string"), F.lit(",5 m²"))).otherwise("n/a")
+    return fx.read(spark, sf_dir, "supplier").select(k.alias("k"), F.round(norm.dms(text), 9).alias("lat"), norm.decimal(figure).alias("figure"))
+
+
+# The inverse by powers of the distance from the central meridian, not by the series of the columns.
+_A, _E2, _EP2 = 6378137.0, norm.FLATTENING * (2 - norm.FLATTENING), norm.FLATTENING * (2 - norm.FLATTENING) / (1 - norm.FLATTENING * (2 - norm.FLATTENING))
+_E1 = (1 - (1 - _E2) ** 0.5) / (1 + (1 - _E2) ** 0.5)
+_UTM = f"""(select k, e, n, 3 * pi() / 180 + (d - (1 + 2 * t + c) * d ** 3 / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * {_EP2}::double + 24 * t * t) * d ** 5 / 120) / cos(p) as lon,
+  p - n1 * tan(p) / r1 * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * {_EP2}::double) * d ** 4 / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * {_EP2}::double - 3 * c * c) * d ** 6 / 720) as lat
+  from (select *, {_EP2}::double * cos(p) ** 2 as c, tan(p) ** 2 as t, {_A} / sqrt(1 - {_E2}::double * sin(p) ** 2) as n1, {_A} * (1 - {_E2}::double) / (1 - {_E2}::double * sin(p) ** 2) ** 1.5 as r1, (e - 500000) / ({_A} / sqrt(1 - {_E2}::double * sin(p) ** 2) * 0.9996::double) as d
+    from (select *, m + {3 * _E1 / 2 - 27 * _E1**3 / 32}::double * sin(2 * m) + {21 * _E1**2 / 16 - 55 * _E1**4 / 32}::double * sin(4 * m) + {151 * _E1**3 / 96}::double * sin(6 * m) + {1097 * _E1**4 / 512}::double * sin(8 * m) as p
+      from (select *, n / 0.9996::double / ({_A} * {1 - _E2 / 4 - 3 * _E2**2 / 64 - 5 * _E2**3 / 256}::double) as m from (select p_partkey as k, 440000.0::double + (p_partkey * 7919) % 120000 as e, 4500000.0::double + (p_partkey * 104729) % 250000 as n from part)))))"""
+
+
+@query("n1_plane_coordinates", f"select k, case when k % 4 = 0 then round(2.0::double + (k % 60) / 60.0::double, 6) when k % 4 < 3 then round(degrees(lon), 6) end as lon, case when k % 4 = 0 then round(-41.0::double - (k % 60) / 60.0::double, 6) when k % 4 < 3 then round(degrees(lat), 6) end as lat from {_UTM}")
+def n1_plane(spark, sf_dir):
+    """Degrees where they read, else plane coordinates, else neither."""
+    k = F.col("p_partkey")
+    minutes = (k % 60).cast("string")
+    lon = F.when(k % 4 == 0, F.concat(F.lit("2º "), minutes, F.lit("'"))).when(k % 4 == 1, "0")
+    lat = F.when(k % 4 == 0, F.concat(F.lit("41º "), minutes, F.lit("' 0,0'' s"))).when(k % 4 == 1, "0")
+    east = F.when(k % 4 < 3, F.concat(((k * 7919) % 120000 + 440000).cast("string"), F.lit(",0 m")))
+    north = ((k * 104729) % 250000 + 4500000).cast("string")
+    at = fx.read(spark, sf_dir, "part").select(k.alias("k"), norm.coordinates(lon, lat, east, north).alias("at"))
+    return at.select("k", F.round("at.lon", 6).alias("lon"), F.round("at.lat", 6).alias("lat"))
 
 
 @query("n5_streets", "select s_suppkey as k, case s_suppkey % 3 when 0 then 'carrer ' when 1 then 'avinguda ' else '' end || s_name as street from supplier")
@@ -281,16 +305,16 @@ def n5(spark, sf_dir):
     return fx.read(spark, sf_dir, "supplier").select(k.alias("k"), reports.street(text).alias("street"))
 
 
-_REGISTRY = "(select s_suppkey as ref, lower(s_name) as name, s_suppkey % 97 as size, s_suppkey % 2 as k from supplier)"
+_REGISTRY = "(select s_suppkey as ref, case when s_suppkey % 3 = 0 then upper(s_name) else s_name end as raw, s_name as name, s_suppkey % 97 as size, s_suppkey % 2 as k from supplier)"
 
 
 def _job(name, spark, sf_dir, kinds=("a", "b")):
     k = F.col("s_suppkey")
-    rows = fx.read(spark, sf_dir, "supplier").select(k.alias("ref"), F.lower("s_name").alias("name"), (k % 97).alias("size"), F.when(k % 2 == 0, kinds[0]).otherwise(kinds[1]).alias("kind"))
+    rows = fx.read(spark, sf_dir, "supplier").select(k.alias("ref"), F.when(k % 3 == 0, F.upper("s_name")).otherwise(F.col("s_name")).alias("name"), (k % 97).alias("size"), F.when(k % 2 == 0, kinds[0]).otherwise(kinds[1]).alias("kind"))
     return reports.JOBS[name](rows)
 
 
-_TITLE = "upper(name[1]) || name[2:]"
+_TITLE = "case when raw = upper(raw) then upper(raw[1]) || lower(raw[2:]) else raw end"
 
 
 @query("n12_hospitals", f"select ref::varchar as source_ref, case when k = 0 then 'mental_health' else 'hospital' end as subcategory, {_TITLE} as name, size::double as capacity, round(size * 2.2::double)::double as people, 0.9::double as confidence from {_REGISTRY}")
@@ -298,7 +322,7 @@ def n12(spark, sf_dir):
     return _job("hospitals", spark, sf_dir, ("psychiatric", "general"))
 
 
-@query("n13_primary_care", f"select ref::varchar as source_ref, case when k = 0 then 'primary_care' else 'clinic' end as subcategory, case when k = 0 then 'Centre ' else 'Office ' end || {_TITLE} as name, null::double as capacity, null::double as people, 0.8::double as confidence from {_REGISTRY}")
+@query("n13_primary_care", f"select ref::varchar as source_ref, case when k = 0 then 'primary_care' else 'clinic' end as subcategory, case when k = 0 then 'centre ' else 'office ' end || {_TITLE} as name, null::double as capacity, null::double as people, 0.8::double as confidence from {_REGISTRY}")
 def n13(spark, sf_dir):
     return _job("primary_care", spark, sf_dir, ("centre", "office"))
 
@@ -308,7 +332,7 @@ def n14(spark, sf_dir):
     return _job("care_homes", spark, sf_dir)
 
 
-@query("n11_municipal_points", f"select ref::varchar as source_ref, 'other' as subcategory, name, null::double as capacity, null::double as people, 0.25::double as confidence from {_REGISTRY}")
+@query("n11_municipal_points", f"select ref::varchar as source_ref, 'other' as subcategory, raw as name, null::double as capacity, null::double as people, 0.25::double as confidence from {_REGISTRY}")
 def n11(spark, sf_dir):
     return _job("municipal_points", spark, sf_dir)
 
@@ -344,7 +368,7 @@ def _records(spark, sf_dir):
     """Records from documents, with fields of which some are missing."""
     docs = fx.read(spark, sf_dir, "documents")
     k, names = F.col("doc_id"), list(fx.SOURCES)
-    more = docs.select("doc_id", F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int")).alias("source_id"), ((k % 5) * 0.08 + 0.5).alias("confidence"), F.when(k % 3 != 0, (k % 4).cast("double")).alias("floors"), F.when(k % 5 == 0, F.concat(F.lit("http://w/"), k.cast("string"))).alias("website"))
+    more = docs.select("doc_id", F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int")).alias("source_id"), F.when(k % 7 != 0, F.floor(k / len(names)) % 15).alias("source_ref"), ((k % 5) * 0.08 + 0.5).alias("confidence"), F.when(k % 3 != 0, (k % 4).cast("double")).alias("floors"), F.when(k % 5 == 0, F.concat(F.lit("http://w/"), k.cast("string"))).alias("website"))
     return resolve.derived_records(docs).withColumn("subcategory", F.col("category")).join(more, "doc_id")
 
 
