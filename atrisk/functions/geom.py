@@ -65,6 +65,53 @@ def on_edges(x: Column, y: Column, polygons: list[Polygon]) -> Column:
     return reduce(lambda a, b: a | b, on)
 
 
+def located(x: Column, y: Column, shapes: list[list[Polygon]]) -> Column:
+    """``inside`` (whether each shape, of one polygon or more, holds the point by the even-odd
+    rule) and ``touches`` (whether the point lies on any edge), in one pass.
+
+    Edges are dealt to strips of y in one array literal, and a point looks only at those of
+    its strip: a few, however many vertices there are, and the plan doesn't grow with them.
+    """
+    rings = [(k, p, r, ring) for k, shape in enumerate(shapes) for p, polygon in enumerate(shape) for r, ring in enumerate(polygon)]
+    sides = [(n, e) for n, (*_, ring) in enumerate(rings) for e in edges(ring)]
+    low = min(min(e[1], e[3]) for _, e in sides)
+    high = max(max(e[1], e[3]) for _, e in sides)
+    strips = max(1, min(1 << 14, len(sides)))
+    height = (high - low) / strips or 1.0
+    held: list[list[float]] = [[] for _ in range(strips)]
+    for n, e in sides:
+        # a strip more on either side, as the point's strip is rounded too
+        first, last = (int((v - low) / height) for v in sorted((e[1], e[3])))
+        for i in range(max(0, first - 1), min(strips, last + 2)):
+            held[i] += [*e, float(n)]
+    flat = F.lit(np.asarray([v for h in held for v in h], dtype=np.float64))
+    starts = F.lit(np.concatenate([[0], np.cumsum([len(h) // 5 for h in held])]).astype(np.int32))
+    words = -(-len(rings) // 62)
+    none = F.struct(*(F.lit(0).cast("long").alias(f"w{w}") for w in range(words)), F.lit(False).alias("touches"))
+    masks = F.lit(np.asarray([1 << n % 62 for n in range(len(rings))], dtype=np.int64))
+
+    def step(so_far: Column, i: Column) -> Column:
+        return F.get(F.transform(F.array(F.slice(flat, i * 5 + 1, F.lit(5))), lambda e: added(so_far, *(F.get(e, F.lit(k)) for k in range(5)))), F.lit(0))
+
+    def added(so_far: Column, x1, y1, x2, y2, ring) -> Column:
+        crosses = ((y2 > y) != (y1 > y)) & (x < (y - y2) * (x1 - x2) / F.nullif(y1 - y2, F.lit(0.0)) + x2)
+        on = x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2)) & ((x - x1) * (y2 - y1) == (y - y1) * (x2 - x1))
+        turned = [so_far[f"w{w}"].bitwiseXOR(F.when(crosses & (F.floor(ring / 62) == w), F.get(masks, ring.cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words)]
+        return F.struct(*turned, (so_far["touches"] | on).alias("touches"))
+
+    strip = F.least(F.floor((y - low) / height), F.lit(strips - 1)).cast("int")
+    first, end = F.get(starts, strip), F.get(starts, strip + 1)
+    seen = F.when(y.between(low, high) & (end > first), F.aggregate(F.sequence(first, end - 1), none, step)).otherwise(none)
+
+    def told(s: Column) -> Column:
+        odd = lambda n: s[f"w{n // 62}"].bitwiseAND(F.lit(1 << n % 62)) != 0
+        number = {(k, p, r): n for n, (k, p, r, _) in enumerate(rings)}
+        within = [reduce(lambda a, b: a | b, (reduce(lambda a, h: a & ~odd(number[k, p, h]), range(1, len(polygon)), odd(number[k, p, 0])) for p, polygon in enumerate(shape))) for k, shape in enumerate(shapes)]
+        return F.struct(F.array(*within).alias("inside"), s["touches"].alias("touches"))
+
+    return F.get(F.transform(F.array(seen), told), F.lit(0))
+
+
 def in_polygons(x: Column, y: Column, polygons: list[Polygon]) -> Column:
     """Inside any polygon and in none of its holes; the envelope is tested first."""
     tests = [reduce(lambda a, hole: a & ~in_ring(x, y, hole), outer[1:], in_envelope(x, y, envelope([outer])) & in_ring(x, y, outer[0])) for outer in polygons]

@@ -10,11 +10,22 @@ from atrisk.functions import geom, taxonomy, value
 Bands = list[tuple[str, float | None, list[geom.Polygon]]]
 
 
+def located(assets: DataFrame, bands: Bands) -> DataFrame:
+    """Adds band_index of the first band that holds the point, else null, and touches: whether
+    it lies on a boundary. Edges are gone through once a row: what the columns are made of is
+    generated, so that no filter above repeats it."""
+    at = geom.located(F.col("lon"), F.col("lat"), [polygons for *_, polygons in bands])
+    index = lambda s: F.coalesce(*(F.when(F.get(s["inside"], F.lit(i)), i) for i in range(len(bands))))
+    one = F.transform(F.array(at), lambda s: F.struct(index(s).alias("band_index"), s["touches"].alias("touches")))
+    return assets.select("*", F.inline(one))
+
+
 def earliest_band(assets: DataFrame, bands: Bands) -> DataFrame:
-    """Adds band_index, band and minutes of the first band that holds the point, else null."""
-    index = F.coalesce(*(F.when(geom.in_polygons(F.col("lon"), F.col("lat"), polygons), i) for i, (*_, polygons) in enumerate(bands)))
+    """Adds band_index, band and minutes of the first band that holds the point, else null;
+    a band_index that :func:`located` has added is taken as it is."""
+    found = assets if "band_index" in assets.columns else located(assets, bands).drop("touches")
     pick = lambda values: F.when(F.col("band_index").isNotNull(), F.get(F.array(*map(F.lit, values)), F.col("band_index")))
-    return assets.withColumn("band_index", index).withColumns({"band": pick([b[0] for b in bands]), "minutes": pick([b[1] for b in bands])})
+    return found.withColumns({"band": pick([b[0] for b in bands]), "minutes": pick([b[1] for b in bands])})
 
 
 def distance_to_front(assets: DataFrame, bands: Bands) -> DataFrame:
@@ -39,16 +50,14 @@ def scored(assets: DataFrame, bands: Bands) -> DataFrame:
     return out.withColumns({"priority": value.priority(F.col("urgency")), "inside_aoi": F.col("band_index").isNotNull(), "hazardous": F.col("subcategory").isin(taxonomy.HAZARDOUS), "response": F.col("subcategory").isin(taxonomy.RESPONSE), "critical": F.col("criticality") >= 90})
 
 
-def in_perimeter(assets: DataFrame, bands: Bands) -> DataFrame:
+def in_perimeter(assets: DataFrame, bands: Bands, *, keep_band: bool = False) -> DataFrame:
     """The assets whose point is in any band or on its boundary; the envelope reaches the
-    scan as four comparisons. Footprints count by their point, as assets hold no shape."""
+    scan as four comparisons. ``keep_band`` leaves their band_index. For footprints see
+    ``overlap.in_perimeter``."""
     box = geom.envelope([p for *_, polygons in bands for p in polygons])
-    at = F.col("lon"), F.col("lat")
-    hit = [geom.in_polygons(*at, polygons) | geom.on_edges(*at, polygons) for *_, polygons in bands]
-    any_hit = hit[0]
-    for h in hit[1:]:
-        any_hit = any_hit | h
-    return assets.filter(geom.in_envelope(F.col("lon"), F.col("lat"), box)).filter(any_hit)
+    near = assets.filter(geom.in_envelope(F.col("lon"), F.col("lat"), box))
+    hit = located(near, bands).filter(F.col("band_index").isNotNull() | F.col("touches"))
+    return hit.drop("touches") if keep_band else hit.drop("touches", "band_index")
 
 
 def rollup(scored_assets: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def o3(spark, sf_dir):
 def v17(spark, sf_dir):
     """The flagship: perimeter filter, classes, bands, values, scores and roll-up in one plan."""
     # a point on the boundary may be in no band, as those follow the even-odd rule alone
-    inside = exposure.scored(exposure.in_perimeter(fx.assets(spark, sf_dir), BANDS), BANDS).filter("inside_aoi")
+    inside = exposure.scored(exposure.in_perimeter(fx.assets(spark, sf_dir), BANDS, keep_band=True), BANDS).filter("inside_aoi")
     out = inside.groupBy("category", "band_index").agg(F.count("*").alias("assets"), F.sum("people").alias("people"), F.sum("total_eur").alias("value_eur"), F.max("priority").alias("top_priority"), F.min("distance_m").alias("nearest_m"))
     return _rounded(out, value_eur=0, top_priority=5, nearest_m=3)
 

@@ -285,7 +285,7 @@ _UTM = f"""(select k, e, n, 3 * pi() / 180 + (d - (1 + 2 * t + c) * d ** 3 / 6 +
       from (select *, n / 0.9996::double / ({_A} * {1 - _E2 / 4 - 3 * _E2**2 / 64 - 5 * _E2**3 / 256}::double) as m from (select p_partkey as k, 440000.0::double + (p_partkey * 7919) % 120000 as e, 4500000.0::double + (p_partkey * 104729) % 250000 as n from part)))))"""
 
 
-@query("n1_plane_coordinates", f"select k, case when k % 4 = 0 then round(2.0::double + (k % 60) / 60.0::double, 6) when k % 4 < 3 then round(degrees(lon), 6) end as lon, case when k % 4 = 0 then round(-41.0::double - (k % 60) / 60.0::double, 6) when k % 4 < 3 then round(degrees(lat), 6) end as lat from {_UTM}")
+@query("n1_plane_coordinates", f"select k, case when k % 4 = 0 then round(2.0::double + (k % 60) / 60.0::double, 4) when k % 4 < 3 then round(degrees(lon), 4) end as lon, case when k % 4 = 0 then round(-41.0::double - (k % 60) / 60.0::double, 4) when k % 4 < 3 then round(degrees(lat), 4) end as lat from {_UTM}")
 def n1_plane(spark, sf_dir):
     """Degrees where they read, else plane coordinates, else neither."""
     k = F.col("p_partkey")
@@ -295,7 +295,7 @@ def n1_plane(spark, sf_dir):
     east = F.when(k % 4 < 3, F.concat(((k * 7919) % 120000 + 440000).cast("string"), F.lit(",0 m")))
     north = ((k * 104729) % 250000 + 4500000).cast("string")
     at = fx.read(spark, sf_dir, "part").select(k.alias("k"), norm.coordinates(lon, lat, east, north).alias("at"))
-    return at.select("k", F.round("at.lon", 6).alias("lon"), F.round("at.lat", 6).alias("lat"))
+    return at.select("k", F.round("at.lon", 4).alias("lon"), F.round("at.lat", 4).alias("lat"))
 
 
 @query("n5_streets", "select s_suppkey as k, case s_suppkey % 3 when 0 then 'carrer ' when 1 then 'avinguda ' else '' end || s_name as street from supplier")
