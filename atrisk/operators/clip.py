@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atrisk.functions import geom
+from atrisk.functions.norm import let
 from atrisk.operators.exposure import Bands
 
 
@@ -59,6 +60,85 @@ def cells_in_bands(cells: DataFrame, bands: Bands) -> DataFrame:
     return cells.select("cell_id", "population", F.inline(each)).filter("share > 1e-12").withColumn("share", F.least("share", F.lit(1.0)))
 
 
+def _crossing_levels(sides: np.ndarray) -> np.ndarray:
+    """Every y at which edges begin, end or cross one another."""
+    x1, y1, x2, y2 = sides.T
+    dx, dy = x2 - x1, y2 - y1
+    out = [y1, y2]
+    for i in range(len(sides)):  # edge by edge, so memory grows with the edges only
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cross = dx[i] * dy - dy[i] * dx
+            t = ((x1 - x1[i]) * dy - (y1 - y1[i]) * dx) / cross
+            u = ((x1 - x1[i]) * dy[i] - (y1 - y1[i]) * dx[i]) / cross
+        hit = (cross != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+        out.append(y1[i] + t[hit] * dy[i])
+    return np.unique(np.concatenate(out))
+
+
+def exclusive_shares(cells: DataFrame, bands: Bands) -> DataFrame:
+    """``cell_id, population, band_index, share``: how much of each square cell (``x0, y0, size``)
+    lies in a band and in none before it, exactly, however bands and their polygons overlap.
+    A cell's shares add up to its share in the union of all bands. Rings follow the even-odd
+    rule, so they may cross themselves; there may be 62 in all.
+
+    A cell is cut into levels between which no edges cross or leave it. On a level every
+    piece is a trapezoid, so its width half way up times the height is its area.
+    """
+    rings = [(k, p, r, ring) for k, (*_, shape) in enumerate(bands) for p, polygon in enumerate(shape) for r, ring in enumerate(polygon)]
+    if len(rings) > 62:
+        raise ValueError("at most 62 rings")
+    rows = [(*e, n) for n, (*_, ring) in enumerate(rings) for e in geom.edges(ring) if e[1] != e[3]]
+    table = np.asarray([r[:4] for r in rows], dtype=np.float64)
+    flat, levels = F.lit(table.reshape(-1)), F.lit(_crossing_levels(table))
+    masks = F.lit(np.asarray([1 << r[4] for r in rows], dtype=np.int64))
+    x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("x0") + F.col("size"), F.col("y0") + F.col("size")
+    edge = lambda i, body: let(F.slice(flat, i * 4 + 1, F.lit(4)), lambda e: body(*(F.get(e, F.lit(k)) for k in range(4))))
+    at_y = lambda y, ax, ay, bx, by: ax + (y - ay) * (bx - ax) / (by - ay)
+    number = {(k, p, r): n for n, (k, p, r, _) in enumerate(rings)}
+
+    def within(mask: Column, k: int) -> Column:
+        out = F.lit(False)
+        for p, polygon in enumerate(bands[k][2]):
+            own = [1 << number[k, p, r] for r in range(len(polygon))]
+            out = out | (mask.bitwiseAND(F.lit(sum(own))) == own[0])
+        return out
+
+    def widths(y: Column, near: Column) -> Column:
+        """By band, the width at y of what no band before holds."""
+        met = lambda i: edge(i, lambda ax, ay, bx, by: F.when((ay > y) != (by > y), F.struct(at_y(y, ax, ay, bx, by).alias("x"), F.get(masks, i).alias("m"))))
+        start = F.struct(x0.alias("at"), F.lit(0).cast("long").alias("mask"), *(F.lit(0.0).alias(f"w{k}") for k in range(len(bands))))
+
+        def step(s: Column, c: Column) -> Column:
+            def moved(x: Column) -> Column:
+                owner = F.coalesce(*(F.when(within(s["mask"], k), k) for k in range(len(bands))), F.lit(-1))
+                return let(F.struct(x.alias("x"), owner.alias("o")), lambda v: F.struct(v["x"].alias("at"), s["mask"].bitwiseXOR(c["m"]).alias("mask"), *((s[f"w{k}"] + F.when(v["o"] == k, v["x"] - s["at"]).otherwise(0.0)).alias(f"w{k}") for k in range(len(bands)))))
+
+            return moved(F.least(F.greatest(c["x"], x0), x1))
+
+        return F.aggregate(F.array_sort(F.array_compact(F.transform(near, met))), start, step)
+
+    def areas(near: Column) -> Column:
+        side = lambda x: F.transform(near, lambda i: edge(i, lambda ax, ay, bx, by: F.when((F.least(ax, bx) < x) & (F.greatest(ax, bx) > x), ay + (x - ax) * (by - ay) / (bx - ax))))
+        inner = F.filter(F.array_compact(F.concat(levels, side(x0), side(x1))), lambda y: (y > y0) & (y < y1))
+        cuts = F.array_sort(F.array_distinct(F.concat(F.array(y0, y1), inner)))
+        zero = F.struct(*(F.lit(0.0).alias(f"w{k}") for k in range(len(bands))))
+
+        def sums(c: Column) -> Column:
+            def add(s: Column, i: Column) -> Column:
+                low, high = F.get(c, i), F.get(c, i + 1)
+                return let(widths((low + high) / 2, near), lambda w: F.struct(*((s[f"w{k}"] + w[f"w{k}"] * (high - low)).alias(f"w{k}") for k in range(len(bands)))))
+
+            return F.aggregate(F.sequence(F.lit(0), F.size(c) - 2), zero, add)
+
+        return let(cuts, sums)
+
+    near = F.filter(F.sequence(F.lit(0), F.lit(len(rows) - 1)), lambda i: edge(i, lambda ax, ay, bx, by: (F.least(ay, by) < y1) & (F.greatest(ay, by) > y0)))
+    reached = geom.envelope([p for *_, shape in bands for p in shape])
+    over = cells.filter((x0 <= reached[2]) & (x1 >= reached[0]) & (y0 <= reached[3]) & (y1 >= reached[1]))
+    each = let(let(near, areas), lambda a: F.array(*(F.struct(F.lit(k).alias("band_index"), (a[f"w{k}"] / (F.col("size") * F.col("size"))).alias("share")) for k in range(len(bands)))))
+    return over.select("cell_id", "population", F.inline(each)).filter("share > 1e-12").withColumn("share", F.least("share", F.lit(1.0)))
+
+
 def clipped_lines(lines: DataFrame, polygons: list[geom.Polygon]) -> DataFrame:
     """``id, kind, metres``: how much of each line (``points`` of x, y) lies inside.
 

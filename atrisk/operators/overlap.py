@@ -69,6 +69,56 @@ def meets(one: Column, other: Column) -> Column:
     return let(F.struct(sides(one).alias("a"), sides(other).alias("b")), test)
 
 
+def _apart(i: Column, j: Column, n: Column) -> Column:
+    """Whether two edges of a ring of n are no neighbours."""
+    return (j > i + 1) & ~((i == 0) & (j == n - 1))
+
+
+def crosses_itself(ring: Column) -> Column:
+    """Whether edges of a ring that are no neighbours meet."""
+    def test(e: Column) -> Column:
+        n = F.size(e)
+        places = F.sequence(F.lit(0), n - 1)
+        return F.exists(places, lambda i: F.exists(places, lambda j: _apart(i, j, n) & edges_meet(F.get(e, i), F.get(e, j))))
+
+    return let(sides(F.array(opened(ring))), test)
+
+
+def opened(ring: Column) -> Column:
+    """A ring without the last point where that repeats the first."""
+    last, first = F.element_at(ring, -1), F.get(ring, F.lit(0))
+    return F.when((F.size(ring) > 1) & (last["x"] == first["x"]) & (last["y"] == first["y"]), F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
+
+
+def even_odd_area(ring: Column) -> Column:
+    """The area that a ring holds by the even-odd rule, also where it crosses itself, in square
+    units: between levels at which edges begin, end or cross all pieces are trapezoids."""
+
+    def swept(e: Column) -> Column:
+        def crossing(a: Column, b: Column) -> Column:
+            dx, dy = a["b"]["x"] - a["a"]["x"], a["b"]["y"] - a["a"]["y"]
+            ex, ey = b["b"]["x"] - b["a"]["x"], b["b"]["y"] - b["a"]["y"]
+            px, py = b["a"]["x"] - a["a"]["x"], b["a"]["y"] - a["a"]["y"]
+            cross = F.nullif(dx * ey - dy * ex, F.lit(0.0))
+            t, u = (px * ey - py * ex) / cross, (px * dy - py * dx) / cross
+            return F.when(t.between(0, 1) & u.between(0, 1), a["a"]["y"] + t * dy)
+
+        ys = F.concat(F.transform(e, lambda s: s["a"]["y"]), F.flatten(F.transform(e, lambda a: F.transform(e, lambda b: crossing(a, b)))))
+        width = lambda y: F.aggregate(F.array_sort(F.array_compact(F.transform(e, lambda s: F.when((s["a"]["y"] > y) != (s["b"]["y"] > y), s["a"]["x"] + (y - s["a"]["y"]) * (s["b"]["x"] - s["a"]["x"]) / (s["b"]["y"] - s["a"]["y"]))))), F.struct(F.lit(0.0).alias("sum"), F.lit(-1.0).alias("sign")), lambda s, x: F.struct((s["sum"] + s["sign"] * x).alias("sum"), (-s["sign"]).alias("sign")))["sum"]
+        return let(F.array_sort(F.array_distinct(F.array_compact(ys))), lambda c: F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(c) - 2, F.lit(0))), F.lit(0.0), lambda s, i: s + F.coalesce((F.get(c, i + 1) - F.get(c, i)) * width((F.get(c, i) + F.get(c, i + 1)) / 2), F.lit(0.0))))
+
+    return let(sides(F.array(opened(ring))), swept)
+
+
+def ring_note(ring: Column) -> Column:
+    """What is wrong with a ring, of which all is mended: not closed or too short, or it
+    crosses itself and counts by the even-odd rule; null for a sound one."""
+    last, first = F.element_at(ring, -1), F.get(ring, F.lit(0))
+    unclosed = (F.size(ring) < 4) | (last["x"] != first["x"]) | (last["y"] != first["y"])
+    notes = F.array_compact(F.array(F.when(unclosed, "not closed"), F.when(crosses_itself(ring), "crosses itself")))
+    return F.nullif(F.array_join(notes, ", "), F.lit(""))
+
+
 def envelope(rings: Column) -> Column:
     """``x0, y0, x1, y1`` of a shape."""
     of = lambda c: F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p[c])))

@@ -28,6 +28,23 @@ def j8(spark, sf_dir):
     return _rounded(clip.cells_in_bands(fx.pop_grid(spark, sf_dir), BANDS).select("cell_id", "band_index", "share"), share=6)
 
 
+# The bands hold one another, so what a band adds is its share less that of the band before.
+_ADDED = f"{_SHARES}, added as (select b.cell_id, b.population, b.band_index, b.share - coalesce(a.share, 0) as share from shares b left join shares a on a.cell_id = b.cell_id and a.band_index = b.band_index - 1)"
+
+
+@query("j8_exclusive_overlay", f"with {_ADDED} select cell_id, band_index, round(share, 6) as share from added where share > 1e-7")
+def j8_exclusive(spark, sf_dir):
+    out = clip.exclusive_shares(fx.pop_grid(spark, sf_dir), BANDS).filter("share > 1e-7")
+    return _rounded(out.select("cell_id", "band_index", "share"), share=6)
+
+
+@query("a7_exact_population", f"with {_ADDED} select band_index, count(*) as cells, round(sum(population * share), 3) as population from added where share > 1e-7 group by 1")
+def a7_exact(spark, sf_dir):
+    """Each band's people, of ground that no earlier band holds."""
+    out = clip.exclusive_shares(fx.pop_grid(spark, sf_dir), BANDS).filter("share > 1e-7")
+    return _rounded(out.groupBy("band_index").agg(F.count("*").alias("cells"), F.sum(F.col("population") * F.col("share")).alias("population")), population=3)
+
+
 _CLIPPED = f"""s as (select id, kind, seq, x as ax, y as ay, x2 as bx, y2 as cy from {_SEGMENTS} where x2 is not null),
 e as (select * from {fx.edges_sql()} where band = 1),
 c as (select id, seq, t from (select id, seq, ((x1 - ax) * (y2 - y1) - (y1 - ay) * (x2 - x1)) / d as t, ((x1 - ax) * (cy - ay) - (y1 - ay) * (bx - ax)) / d as w

@@ -100,3 +100,17 @@ select '0.05/' || ix || '/' || iy as tile_key, count(*) as shapes from t anti jo
 )
 def j11_shapes(spark, sf_dir):
     return overlap.tiles(footprints(spark, sf_dir)).groupBy("tile_key").agg(F.count("*").alias("shapes"))
+
+
+@query(
+    "v16_ring_repair",
+    f"select id, round(case when k % 3 = 0 then 1.09::double else 2.18::double end * h * h * 1e6, 4) as area, case when k % 3 = 0 and k % 2 = 0 then 'not closed, crosses itself' when k % 3 = 0 then 'crosses itself' when k % 2 = 0 then 'not closed' end as note from (select id, source_ref as k, (source_ref % 7) * 0.004::double + 0.002::double as h from {fx.ASSETS_SQL})",
+)
+def v16_repair(spark, sf_dir):
+    """Squares that stand askew; of every third one two corners change places, so that it is a
+    bow tie of half the area; every second one is left open."""
+    half = (F.col("source_ref") % 7) * 0.004 + 0.002
+    at = lambda i: F.struct((F.col("lon") + half * CORNERS[i][0]).alias("x"), (F.col("lat") + half * CORNERS[i][1]).alias("y"))
+    ring = F.when(F.col("source_ref") % 3 == 0, F.array(*map(at, (0, 2, 1, 3)))).otherwise(F.array(*map(at, range(4))))
+    closed = F.when(F.col("source_ref") % 2 == 0, ring).otherwise(F.concat(ring, F.array(at(0))))
+    return fx.assets(spark, sf_dir).select("id", closed.alias("r")).select("id", F.round(overlap.even_odd_area(F.col("r")) * 1e6, 4).alias("area"), overlap.ring_note(F.col("r")).alias("note"))

@@ -83,3 +83,21 @@ def test_bands_of_cells_need_no_shuffle(spark):
     out = clip.cells_in_bands(cells, fx.BANDS)
     assert sorted((r["cell_id"], r["band_index"], round(r["share"], 9)) for r in out.collect()) == [("a", 0, 1.0), ("a", 1, 1.0), ("a", 2, 1.0)]
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exclusive_shares_of_overlapping_bands(spark):
+    box = lambda a, b, c, d: [(a, b), (c, b), (c, d), (a, d)]
+    diamond = [(0.5, 0.5), (1.0, 0.0), (1.5, 0.5), (1.0, 1.0)]
+    bow = [(0.0, 0.0), (1.0, 1.0), (1.0, 0.0), (0.0, 1.0)]  # two triangles that meet in the middle
+    cells = spark.createDataFrame([("all", 0.0, 0.0, 2.0, 1.0), ("part", 0.5, 0.25, 0.5, 1.0), ("far", 7.0, 7.0, 1.0, 1.0)], "cell_id string, x0 double, y0 double, size double, population double")
+
+    def got(*shapes):
+        bands = [(str(i), None, shape) for i, shape in enumerate(shapes)]
+        return {(r.cell_id, r.band_index): round(r.share, 9) for r in clip.exclusive_shares(cells, bands).collect()}
+
+    assert got([[box(0, 0, 1, 1)]], [[diamond]]) == {("all", 0): 0.25, ("all", 1): 0.0625, ("part", 0): 1.0}
+    assert got([[diamond]], [[box(0, 0, 1, 1)]]) == {("all", 0): 0.125, ("all", 1): 0.1875, ("part", 0): 0.75, ("part", 1): 0.25}
+    # polygons of one band that overlap count once, holes that a later band fills count there
+    assert got([[box(0, 0, 1, 1)], [box(0.5, 0, 1.5, 1)]]) == {("all", 0): 0.375, ("part", 0): 1.0}
+    assert got([[box(0, 0, 2, 2), box(0.5, 0.5, 1.5, 1.5)]], [[box(0, 0, 1, 1)]]) == {("all", 0): 0.75, ("all", 1): 0.0625, ("part", 0): 0.5, ("part", 1): 0.5}
+    assert got([[bow]]) == {("all", 0): 0.125, ("part", 0): 0.75}
