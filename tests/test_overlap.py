@@ -90,3 +90,12 @@ def test_no_edge_of_a_perimeter_is_in_the_plan(spark):
     assert sorted(map(tuple, out.collect())) == [(9, "a", 2), (9, "c", 2)]
     assert "512345" not in out._jdf.queryExecution().toString()
     assert perimeters.first_bands(assets, table.limit(0)).collect() == []
+
+
+def test_rings_that_cross_themselves(spark):
+    square_, bow = square(0.5, 0.5, 0.5), [(0, 0), (1, 1), (1, 0), (0, 1)]
+    star = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0), (1, 1), (3, 1), (3, 3), (1, 3), (1, 1)]  # twice round, the inner time within
+    cases = [(square_, 1.0, "not closed"), ([*square_, square_[0]], 1.0, None), (bow, 0.5, "not closed, crosses itself"), ([*bow, (0, 0)], 0.5, "crosses itself"), (star, 12.0, "not closed, crosses itself"), ([(0, 0), (1, 1)], 0.0, "not closed")]
+    df = spark.createDataFrame([(i, [{"x": float(x), "y": float(y)} for x, y in r]) for i, (r, *_) in enumerate(cases)], "id int, r array<struct<x:double,y:double>>")
+    got = df.orderBy("id").select(F.round(overlap.even_odd_area(F.col("r")), 9).alias("a"), overlap.ring_note(F.col("r")).alias("n")).collect()
+    assert [(r.a, r.n) for r in got] == [(a, n) for _, a, n in cases]
