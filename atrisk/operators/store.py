@@ -69,6 +69,19 @@ def block_plan(tiles: DataFrame, fresh: DataFrame, side: int) -> DataFrame:
     return blocks.filter("to_fetch > 0")
 
 
+def decision(hits: deque, now: int, limit: int, seconds: float) -> tuple[bool, int, int]:
+    """``allowed, remaining, retry_after`` of a request at ``now`` (microseconds) after a key's
+    counted ``hits``, to which it is added if it is allowed and there is a limit."""
+    while hits and now - hits[0] > seconds * 1e6:
+        hits.popleft()
+    if limit <= 0:
+        return True, -1, 0
+    if len(hits) >= limit:
+        return False, 0, max(1, int(seconds + 1 - (now - hits[0]) / 1e6))
+    hits.append(now)
+    return True, limit - len(hits), 0
+
+
 def rate_decisions(events: DataFrame, limit: int, seconds: float = 60.0) -> DataFrame:
     """``event_id, key, allowed, remaining, retry_after`` of every request under a sliding
     limit (0: unlimited), where a request that is denied does not count for later ones.
@@ -89,15 +102,7 @@ def rate_decisions(events: DataFrame, limit: int, seconds: float = 60.0) -> Data
             for key, now in zip(keys, batch.column("at").to_pylist(), strict=True):
                 if key != at_key:
                     at_key, hits = key, deque()
-                while hits and now - hits[0] > seconds * 1e6:
-                    hits.popleft()
-                if limit <= 0:
-                    out.append((True, -1, 0))
-                elif len(hits) >= limit:
-                    out.append((False, 0, max(1, int(seconds + 1 - (now - hits[0]) / 1e6))))
-                else:
-                    hits.append(now)
-                    out.append((True, limit - len(hits), 0))
+                out.append(decision(hits, now, limit, seconds))
             allowed, remaining, retry = zip(*out, strict=True) if out else ((), (), ())
             columns = [batch.column("event_id"), batch.column("key"), pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int64()), pa.array(retry, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["event_id", "key", "allowed", "remaining", "retry_after"])
