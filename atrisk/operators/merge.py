@@ -5,6 +5,8 @@ aggregation and never meet in one task."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def _facts(ranked: DataFrame) -> DataFrame:
     return rows.select("cluster", "doc_id", "source_id", F.struct("order", "f.i").alias("at"), "f.field", "f.slot", "f.value", "f.more")
 
 
-def merged_records(records: DataFrame, labels: DataFrame, priority: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+def merged_records(records: DataFrame, labels: DataFrame, priority: dict[str, int], kept: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """One record per cluster, and one row of provenance per record.
 
     The primary has the highest source priority, then confidence, then the smallest id. Phones
@@ -59,11 +61,12 @@ def merged_records(records: DataFrame, labels: DataFrame, priority: dict[str, in
     Records have ``doc_id, source_id, source_ref, name, category, lon, lat, confidence, phone``
     and ``email`` (arrays), ``website, operator``, the capacities, ``basis``, ``address`` and
     ``attributes`` (maps of texts), ``footprint_m2, geometry_kind, floors``; any may be null but the id and source.
+    ``kept`` names further columns, which are the primary's.
     Provenance has ``cluster, doc_id, source_id, source_ref, fields``: identity and geometry for
     the primary, sorted names of what others gave, or corroboration.
     """
     ranked = records.join(labels.select("doc_id", "cluster"), "doc_id").withColumn("order", _order(priority))
-    own = F.struct("doc_id", "source_id", "source_ref", "category", "lon", "lat", "confidence", "basis", "geometry_kind")
+    own = F.struct("doc_id", "source_id", "source_ref", "category", "lon", "lat", "confidence", "basis", "geometry_kind", *kept)
     primary = ranked.groupBy("cluster").agg(F.min_by(own, "order").alias("p"), F.count("*").alias("merged_count"))
     facts = _facts(ranked)
     first = facts.groupBy("cluster", "field", "slot").agg(F.min_by(F.struct("at", "doc_id", "value", "more"), "at").alias("w")).select("cluster", "field", "slot", "w.*")
@@ -86,7 +89,7 @@ def merged_records(records: DataFrame, labels: DataFrame, priority: dict[str, in
     merged = whole.select(
         "cluster", *(F.col(f"p.{c}").alias(c) for c in ("doc_id", "source_id", "source_ref", "category", "lon", "lat")), *SINGLE.values(), *(F.coalesce(c, nothing).alias(c) for c in LISTS),
         F.coalesce("address", F.map_from_arrays(nothing, nothing)).alias("address"), F.coalesce("attributes", F.map_from_arrays(nothing, nothing)).alias("attributes"),
-        F.coalesce("p.basis", "first_basis").alias("basis"), F.coalesce("kind", "p.geometry_kind").alias("geometry_kind"), "merged_count", confidence.alias("confidence"),
+        F.coalesce("p.basis", "first_basis").alias("basis"), F.coalesce("kind", "p.geometry_kind").alias("geometry_kind"), "merged_count", confidence.alias("confidence"), *(F.col(f"p.{c}").alias(c) for c in kept),
     )
     gave = first.filter("field != 'attribute'").groupBy("cluster", "doc_id").agg(F.array_sort(F.collect_set("field")).alias("gave"))
     members = ranked.select("cluster", "doc_id", "source_id", "source_ref").join(primary.select("cluster", F.col("p.doc_id").alias("primary")), "cluster").join(gave, ["cluster", "doc_id"], "left")
