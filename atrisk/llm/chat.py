@@ -15,41 +15,45 @@ from pyspark.sql import functions as F
 
 from atrisk.llm.common import written
 
-#: Tools: for each argument its type, whether it is required, and the range of an integer.
-TOOLS: dict[str, dict[str, tuple[str, bool, tuple[int, int] | None]]] = {
-    "calculate": {"left": ("long", True, None), "right": ("long", True, None)},
-    "lookup": {"exact": ("boolean", False, None), "key": ("string", True, None)},
-    "search": {"limit": ("long", False, (1, 50)), "query": ("string", True, None)},
-}
-
-
-def _given(raw: Column, arg: str, kind: str) -> Column:
-    """An argument's value if it has that type in the JSON text, else null."""
-    return F.try_variant_get(F.try_parse_json(raw), f"$.{arg}", kind)
-
-
-def _type(raw: Column, arg: str) -> Column:
-    """The JSON type of an argument; null if it is absent or null."""
-    return F.nullif(F.schema_of_variant(_given(raw, arg, "variant")), F.lit("VOID"))
-
-
-def _problem(raw: Column, tool: Column) -> Column:
-    """Why the arguments don't fit their schema: the first of their problems, or null."""
-    names = {"long": "BIGINT", "boolean": "BOOLEAN", "string": "STRING"}
-    keys = F.json_object_keys(raw)
-    out = F.lit("unknown tool")
-    for name, schema in TOOLS.items():
-        faults = F.when(keys.isNull() | F.try_parse_json(raw).isNull(), "no object")
-        for arg, (kind, required, span) in sorted(schema.items()):
-            of = _type(raw, arg)
-            if required:
-                faults = faults.when(of.isNull(), f"missing {arg}")
-            faults = faults.when(of.isNotNull() & (of != names[kind]), f"type of {arg}")
-            if span:
-                faults = faults.when(~_given(raw, arg, "bigint").between(*span), f"range of {arg}")
-        faults = faults.when(F.size(F.array_except(keys, F.array(*map(F.lit, sorted(schema))))) > 0, "unknown argument")
-        out = F.when(tool == name, faults.otherwise(F.lit(None).cast("string"))).otherwise(out)
-    return out
+#: The registered query's tools, in the columns of a table of schemas.
+TOOLS = [
+    ("calculate", "left", "integer", True, None, None),
+    ("calculate", "right", "integer", True, None, None),
+    ("lookup", "exact", "boolean", False, None, None),
+    ("lookup", "key", "string", True, None, None),
+    ("search", "limit", "integer", False, 1.0, 50.0),
+    ("search", "query", "string", True, None, None),
+]
+SCHEMA = "tool string, argument string, type string, required boolean, low double, high double"
+#: JSON types by how a parsed value's own type is spelt; integers are also numbers.
+TYPES = {"STRING": "string", "BOOLEAN": "boolean", "BIGINT": "integer", "DECIMAL": "number", "DOUBLE": "number", "OBJECT": "object", "ARRAY": "array"}
+#: Longer texts of arguments, in bytes, are not parsed.
+LARGEST = 16 << 20
+
+
+def schemas_of(tools: DataFrame) -> DataFrame:
+    """``known, schema``: one row per tool with its arguments by name. ``tools`` has a row for each
+    argument (tool, argument, type, required, low, high), with a null argument for a tool that takes
+    none; repeated rows count once, of rows that differ the first by type and the rest."""
+    rest = F.struct("type", F.coalesce("required", F.lit(False)).alias("required"), "low", "high")
+    one = tools.filter("tool is not null").groupBy("tool", "argument").agg(F.min(rest).alias("r")).select("tool", "argument", "r.*")
+    takes = F.when(F.col("argument").isNotNull(), F.struct("argument", "type", "required", "low", "high"))
+    return one.groupBy(F.col("tool").alias("known")).agg(F.array_sort(F.collect_list(takes)).alias("schema"))
+
+
+def _type(value: Column) -> Column:
+    """The JSON type of a parsed value; null if it is absent or null."""
+    spelt = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    return F.create_map(*(F.lit(x) for kv in TYPES.items() for x in kv))[spelt]
+
+
+def _fault(rule: Column, values: Column) -> Column:
+    """What is wrong with one argument of a schema, or null."""
+    value, name = values[rule["argument"]], rule["argument"]
+    of, number = _type(value), F.try_variant_get(value, "$", "double")
+    fits = (of == rule["type"]) | ((of == "integer") & (rule["type"] == "number"))
+    within = F.coalesce(number >= rule["low"], F.lit(True)) & F.coalesce(number <= rule["high"], F.lit(True))
+    return F.when(rule["required"] & of.isNull(), F.concat(F.lit("missing "), name)).when(of.isNotNull() & ~fits, F.concat(F.lit("type of "), name)).when(of.isin("integer", "number") & ~within, F.concat(F.lit("range of "), name))
 
 
 def _quoted(value: Column) -> Column:
@@ -57,14 +61,25 @@ def _quoted(value: Column) -> Column:
     return F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
 
 
-def _canonical(raw: Column, tool: Column) -> Column:
-    """The arguments of a call without a problem as canonical JSON."""
-    out = F.lit(None).cast("string")
-    for name, schema in TOOLS.items():
-        text = {"string": lambda a: _quoted(_given(raw, a, "string")), "long": lambda a: _given(raw, a, "bigint").cast("string"), "boolean": lambda a: _given(raw, a, "boolean").cast("string")}
-        parts = [F.when(_type(raw, a).isNotNull(), F.concat(F.lit(f'"{a}":'), text[kind](a))) for a, (kind, *_) in sorted(schema.items())]
-        out = F.when(tool == name, F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))).otherwise(out)
-    return out
+def checked_arguments(raw: Column, schema: Column) -> Column:
+    """``problem, canonical`` of a call's arguments (JSON text) against its tool's schema, null for
+    an unknown tool: the first problem by argument, and without one the canonical JSON, whose
+    inner objects have their keys in order too."""
+    keys = F.json_object_keys(raw)
+    unread = F.when(keys.isNotNull() & (F.size(keys) > F.size(F.array_distinct(keys))), "duplicate key").when(F.octet_length(raw) > LARGEST, "too large").otherwise("no object")
+    parsed = F.when(F.octet_length(raw) <= LARGEST, F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>"))
+
+    def against(values: Column) -> Column:
+        names = F.map_keys(values)
+        faults = F.array_compact(F.transform(schema, lambda rule: _fault(rule, values)))
+        extra = F.size(F.array_except(names, F.transform(schema, lambda rule: rule["argument"]))) > 0
+        problem = F.when(schema.isNull(), "unknown tool").when(values.isNull(), unread).otherwise(F.coalesce(F.get(faults, F.lit(0)), F.when(extra, "unknown argument")))
+        given = F.filter(F.array_sort(names), lambda k: _type(values[k]).isNotNull())
+        text = F.concat(F.lit("{"), F.array_join(F.transform(given, lambda k: F.concat(_quoted(k), F.lit(":"), F.to_json(values[k]))), ","), F.lit("}"))
+        return F.struct(problem.alias("problem"), text.alias("canonical"))
+
+    # the parsed arguments are named often and are to be parsed once
+    return F.get(F.transform(F.array(parsed), against), F.lit(0))
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -86,9 +101,13 @@ def levels(calls: DataFrame) -> DataFrame:
         state = written(state.filter("up is null").unionByName(moved), "call-levels")
 
 
-def link(calls: DataFrame, results: DataFrame) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, tools: DataFrame | None = None) -> DataFrame:
     """One row per call identifier, with its result, level, problem and canonical record.
 
+    ``tools`` is a table of schemas (see :func:`schemas_of`), by default the registered query's.
+    It meets the calls by an equi-join, which Spark broadcasts where the table's size allows it and
+    splits by skew where not. Types are string, boolean, integer, number, object and array.
+
     ``calls``: call_id, conv_id, turn, tool, arguments (JSON text), parent. ``results``:
     call_id, content. Rows without call_id are left out; of rows that repeat a call_id the
     first by (conv_id, turn, tool, arguments, parent) counts, of results the smallest content;
@@ -99,9 +118,10 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     one = calls.filter("call_id is not null").groupBy("call_id").agg(F.min(F.struct(*columns)).alias("c"), F.count("*").alias("copies")).select("call_id", "c.*", "copies")
     one = written(one, "calls")
     got = results.filter("call_id is not null").groupBy("call_id").agg(F.min("content").alias("content"), F.count("*").alias("results"))
-    raw, tool = F.col("arguments"), F.col("tool")
-    checked = one.join(levels(one), "call_id").join(got, "call_id", "left").select(
-        "call_id", "conv_id", "turn", "tool", "level", "copies", F.coalesce("results", F.lit(0)).alias("results"), F.length("content").cast("long").alias("result_chars"), _problem(raw, tool).alias("problem"), _canonical(raw, tool).alias("canonical")
+    schemas = schemas_of(one.sparkSession.createDataFrame(TOOLS, SCHEMA) if tools is None else tools)
+    known = one.join(schemas, F.col("tool") == F.col("known"), "left").withColumn("c", checked_arguments(F.col("arguments"), F.col("schema")))
+    checked = known.join(levels(one), "call_id").join(got, "call_id", "left").select(
+        "call_id", "conv_id", "turn", "tool", "level", "copies", F.coalesce("results", F.lit(0)).alias("results"), F.length("content").cast("long").alias("result_chars"), "c.problem", F.when(F.col("c.problem").isNull(), F.col("c.canonical")).alias("canonical")
     )
     record = F.concat(F.lit('{"arguments":'), F.coalesce("canonical", F.lit("null")), F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'), _quoted(F.col("tool")), F.lit("}"))
     return checked.withColumn("record", F.when(F.col("problem").isNull(), record)).drop("canonical")

@@ -335,6 +335,22 @@ def test_tool_call_arguments_keep_their_types(spark):
     assert chat.link(calls.limit(0), none).count() == 0
 
 
+def test_tool_schemas_are_a_table(spark):
+    import json
+
+    rows = [("draw", "points", "array", True, None, None), ("draw", "style", "object", False, None, None), ("draw", "width", "number", False, 0.5, 4.0), ("draw", "width", "number", False, 0.5, 4.0), ("stop", None, None, None, None, None), (None, "x", "string", True, None, None), ("say", "text", None, None, None, None)]
+    tools = spark.createDataFrame(rows, chat.SCHEMA)
+    nested = '{"style": {"z": 1, "a": {"d": [1, {"y": 2, "x": 1}], "c": null}}, "points": [[1, 2]], "width": 2}'
+    cases = [(nested, "draw", None), ('{"points": []}', "draw", None), ('{"points": {}}', "draw", "type of points"), ('{"points": [], "width": 4.5}', "draw", "range of width"), ('{"points": [], "width": 1e0}', "draw", None), ('{"points": [], "style": null}', "draw", None), ('{"points": [], "points": []}', "draw", "duplicate key"), ("{}", "stop", None), ('{"a": 1}', "stop", "unknown argument"), ("{}", "search", "unknown tool"), ("{}", None, "unknown tool"), ('{"points": ["' + "p" * (chat.LARGEST + 1) + '"]}', "draw", "too large"), ("", "draw", "no object")]
+    calls = spark.createDataFrame([(f"c{i}", 1, i, tool, raw, None) for i, (raw, tool, _) in enumerate(cases)], "call_id string, conv_id long, turn long, tool string, arguments string, parent string")
+    none = spark.createDataFrame([], "call_id string, content string")
+    got = {r["turn"]: r for r in chat.link(calls, none, tools).collect()}
+    assert [got[i]["problem"] for i in range(len(cases))] == [c[2] for c in cases]
+    assert '"arguments":{"points":[[1,2]],"style":{"a":{"c":null,"d":[1,{"x":1,"y":2}]},"z":1},"width":2}' in got[0]["record"]
+    assert json.loads(got[5]["record"]) == {"arguments": {"points": []}, "id": "c5", "name": "draw"} and json.loads(got[7]["record"])["arguments"] == {}
+    assert {r["problem"] for r in chat.link(calls, none, tools.limit(0)).collect()} == {"unknown tool"}
+
+
 def test_main_text():
     page = "<html><head><title>T</title></head><body><nav><a>menu item</a></nav><div class='ad'>buy now</div><article><h1>Head &amp; more</h1><p>First  <b>bold</b>\n text.<br>Next</p><form>name</form><p>Second</p><div id=comments><p>nice!</p></div></article><footer>foot</footer></body>"
     want = "Head & more\n\nFirst bold text. Next\n\nSecond"
