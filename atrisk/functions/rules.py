@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from atrisk.functions.norm import folded
+from atrisk.functions.norm import folded, let
 
 Rules = list[tuple[tuple[str, ...], str]]
 
@@ -113,20 +113,20 @@ def first_rule(text: Column, rules: Rules, every: bool = False) -> Column:
 def social_service(kind: Column) -> Column:
     """Null for services that are no premises; a home that names disability and not the
     elderly is a disability home."""
-    text = folded(kind)
-    found = first_rule(text, SOCIAL)
-    return F.when((found == "care_home") & text.contains("discapacitat") & ~text.contains("gent gran"), "disability_home").otherwise(found)
+    home = lambda text, found: F.when((found == "care_home") & text.contains("discapacitat") & ~text.contains("gent gran"), "disability_home").otherwise(found)
+    return let(folded(kind), lambda text: let(first_rule(text, SOCIAL), lambda found: home(text, found)))
 
 
 def facility(category: Column, name: Column) -> Column:
     """By the category, else by the name, else ``other``."""
-    return F.coalesce(first_rule(folded(category), FACILITIES), first_rule(folded(name), FACILITIES), F.lit("other"))
+    found = lambda c: let(folded(c), lambda text: first_rule(text, FACILITIES))
+    return F.coalesce(found(category), found(name), F.lit("other"))
 
 
 def school(kind: Column, name: Column) -> Column:
     """By the kind, where that is blank by the name; a plain school if nothing matches."""
     text = F.coalesce(F.nullif(folded(kind), F.lit("")), folded(name))
-    return F.coalesce(first_rule(text, SCHOOLS, every=True), F.lit("school"))
+    return F.coalesce(let(text, lambda t: first_rule(t, SCHOOLS, every=True)), F.lit("school"))
 
 
 def display_name(kind: Column, name: Column, locality: Column) -> Column:

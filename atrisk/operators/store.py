@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,9 +16,11 @@ def first_in_batch(batch: DataFrame, key: str, position: str) -> DataFrame:
     return batch.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def upsert(base: DataFrame, batch: DataFrame, key: str, position: str) -> DataFrame:
-    """The batch's first row of a key replaces the base's; the rest of the base stays."""
-    fresh = first_in_batch(batch, key, position).drop(position)
+def upsert(base: DataFrame, batch: DataFrame, key: str, position: str, needs: Sequence[str] = ()) -> DataFrame:
+    """The batch's first row of a key replaces the base's; the rest of the base stays. Rows of the
+    batch that lack any of the columns ``needs`` (as an asset its place) are dropped before."""
+    usable = batch.dropna(subset=list(needs)) if needs else batch
+    fresh = first_in_batch(usable, key, position).drop(position)
     return base.join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
 

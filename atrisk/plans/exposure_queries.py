@@ -252,6 +252,18 @@ def u1(spark, sf_dir):
     return store.upsert(base, batch, "id", "position").select("id", "name")
 
 
+_PLACED = _CHANGED.replace("partition by id order", "partition by id, source_ref % 3 = 0 order")
+
+
+@query("u1_placed_upsert", f"with b as (select id, name, source_ref, lon from {_PLACED} where rn = 1 and source_ref % 3 > 0) select id, name, lon from {ASSETS} where id not in (select id from b) union all select id, name, lon from b")
+def u1_placed(spark, sf_dir):
+    """A third of the batch has no place and changes nothing."""
+    base = fx.assets(spark, sf_dir).select("id", "name", "source_ref", "lon", "lat")
+    batch = base.filter("source_ref % 5 = 0").unionByName(base.filter("source_ref % 17 = 0").withColumn("id", F.concat(F.lit("n"), "id")))
+    batch = batch.withColumns({"name": F.concat("name", F.lit("+")), "position": -F.col("source_ref"), "lat": F.when(F.col("source_ref") % 3 > 0, F.col("lat"))})
+    return store.upsert(base, batch, "id", "position", needs=["lon", "lat"]).select("id", "name", "lon")
+
+
 _REC = """(select doc_id, array_to_string(string_split(text, ' ')[1:4], ' ') as name, ('0x' || md5(array_to_string(string_split(text, ' ')[1:2], ' '))[1:8])::bigint as h from documents where text is not null)"""
 _GEO = f"""(select doc_id, name, h % 17 as category, 1.5::double + (h % 4001) / 4001.0::double * 0.8::double + ((doc_id * 31) % 41 - 20) * 5e-5::double as lon, 41.2::double + (h % 4003) / 4003.0::double * 0.8::double + ((doc_id * 31) % 41 - 20) * 5e-5::double as lat from {_REC})"""
 

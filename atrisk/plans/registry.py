@@ -25,7 +25,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from atrisk.plans import clip_queries, exposure_queries, inventory_queries, landed_queries, merge_queries, perimeter_queries, report_queries, rule_queries, scan_queries, snapshot_queries, stateful_queries, whole_report_queries  # noqa: F401  its decorators register
+    from atrisk.plans import clip_queries, exposure_queries, inventory_queries, landed_queries, merge_queries, perimeter_queries, register_queries, report_queries, rule_queries, scan_queries, snapshot_queries, stateful_queries, whole_report_queries  # noqa: F401  its decorators register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
