@@ -66,9 +66,7 @@ def conflated(assets: DataFrame, priority: dict[str, int]) -> DataFrame:
 
     Only rows in a match are merged; all others pass as they are. A merged row stands where
     its first record does, so that its band_index holds."""
-    pairs = written(resolve.scored_pairs(assets), "report-pairs")
-    matches = pairs.filter(resolve.is_match())
-    members = written(resolve.matched(matches), "report-members")
+    members = written(resolve.linked(assets)[1], "report-members")
     alone = assets.join(members, "doc_id", "left_anti").withColumn("merged_count", F.lit(1).cast("long"))
     none = lambda kind: F.lit(None).cast(kind)
     have = lambda name, kind: F.col(name) if name in assets.columns else none(kind)
