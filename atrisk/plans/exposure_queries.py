@@ -275,4 +275,4 @@ _GEO = f"""(select doc_id, name, h % 17 as category, 1.5::double + (h % 4001) /
     select a, b, round(m, 3) as metres from n where m <= 250""",
 )
 def j3(spark, sf_dir):
-    return _rounded(resolve.near_pairs(resolve.derived_records(fx.read(spark, sf_dir, "documents")), 250.0), metres=3)
+    return resolve.near_pairs(resolve.derived_records(fx.read(spark, sf_dir, "documents")), 250.0, 3)
