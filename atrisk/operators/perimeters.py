@@ -137,7 +137,8 @@ def evolving(stream: DataFrame, assets: DataFrame) -> DataFrame:
     """Scores perimeters as their versions arrive (rows with ``version`` beside a perimeter's
     columns) and returns :func:`exposed` of each perimeter's latest version.
 
-    A micro-batch scores only
+    Tables of versions are small as files and large in memory: their joins merge, as none may
+    be broadcast. A micro-batch scores only the perimeters it brings, against all assets, each in the latest
     of its versions; it writes into a folder of its own number, so that a batch that is repeated
     after a failure counts once. Versions may arrive late or out of order, but whole: one
     version's rows in one batch.
@@ -149,10 +150,10 @@ def evolving(stream: DataFrame, assets: DataFrame) -> DataFrame:
         newest = batch.groupBy("perimeter_id").agg(F.max("version").alias("version"))
         newest.write.mode("overwrite").parquet(f"{out}/versions/batch={number}")
         kept = spark.read.parquet(f"{out}/versions/batch={number}")
-        exposed(assets, batch.join(kept, ["perimeter_id", "version"]).drop("version")).join(kept, "perimeter_id").write.mode("overwrite").parquet(f"{out}/scores/batch={number}")
+        exposed(assets, batch.join(kept.hint("merge"), ["perimeter_id", "version"]).drop("version")).join(kept.hint("merge"), "perimeter_id").write.mode("overwrite").parquet(f"{out}/scores/batch={number}")
 
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/state").foreachBatch(score).start().awaitTermination()
     versions = spark.read.option("basePath", f"{out}/versions").parquet(f"{out}/versions/batch=*")
     last = versions.groupBy("perimeter_id").agg(F.max(F.struct("version", "batch")).alias("v")).select("perimeter_id", "v.*")
     scores = spark.read.option("basePath", f"{out}/scores").parquet(f"{out}/scores/batch=*")
-    return scores.join(last, ["perimeter_id", "version", "batch"]).drop("version", "batch")
+    return scores.join(last.hint("merge"), ["perimeter_id", "version", "batch"]).drop("version", "batch")

@@ -99,3 +99,24 @@ def test_rings_that_cross_themselves(spark):
     df = spark.createDataFrame([(i, [{"x": float(x), "y": float(y)} for x, y in r]) for i, (r, *_) in enumerate(cases)], "id int, r array<struct<x:double,y:double>>")
     got = df.orderBy("id").select(F.round(overlap.even_odd_area(F.col("r")), 9).alias("a"), overlap.ring_note(F.col("r")).alias("n")).collect()
     assert [(r.a, r.n) for r in got] == [(a, n) for _, a, n in cases]
+
+
+def test_pairs_of_perimeters_and_assets_stay_in_their_cell(spark, tmp_path):
+    rng = random.Random(4)
+    assets = spark.createDataFrame([(f"a{i}", rng.uniform(-0.3, 0.3), rng.uniform(-0.3, 0.3), None if i % 3 == 0 else float(i), float(i) / 4) for i in range(400)], "id string, lon double, lat double, people double, total_eur double")
+    shapes = {i: square(rng.uniform(-0.2, 0.2), rng.uniform(-0.2, 0.2), 0.06) for i in range(60)}
+    rows = [(i, 1, 0, 0, [{"x": x, "y": y} for x, y in ring], 1) for i, ring in shapes.items()]
+    table = spark.createDataFrame(rows, "perimeter_id int, band_index int, part int, ring int, points array<struct<x:double,y:double>>, version int")
+    want = {}
+    for a in assets.collect():
+        for i, ring in shapes.items():
+            if sum(((y2 > a.lat) != (y1 > a.lat)) and a.lon < (a.lat - y2) * (x1 - x2) / (y1 - y2) + x2 for x1, y1, x2, y2 in geom.edges(ring)) % 2:
+                n, people, value = want.get((i, 1), (0, None, 0.0))
+                want[i, 1] = (n + 1, people if a.people is None else (people or 0.0) + a.people, value + a.total_eur)
+    out = perimeters.exposed(assets, table.drop("version"))
+    assert {(r.perimeter_id, r.band_index): (r.assets, r.people, r.value_eur) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "CoGroup" in plan  # edges and their envelopes; never a pair
+    table.write.parquet(str(tmp_path / "t"))
+    late = perimeters.evolving(spark.readStream.schema(table.schema).parquet(str(tmp_path / "t")), assets)
+    assert late.count() == len(want) and "Broadcast" not in late._jdf.queryExecution().executedPlan().toString()
