@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from atrisk.functions import value
 from atrisk.operators import exposure, overlap, perimeters
+from atrisk.operators.shared import dealt
 from atrisk.plans.exposure_queries import _SCORED, _rounded
 from atrisk.plans.registry import query
 from atrisk.sources import fixtures as fx
@@ -113,4 +114,4 @@ def v16_repair(spark, sf_dir):
     at = lambda i: F.struct((F.col("lon") + half * CORNERS[i][0]).alias("x"), (F.col("lat") + half * CORNERS[i][1]).alias("y"))
     ring = F.when(F.col("source_ref") % 3 == 0, F.array(*map(at, (0, 2, 1, 3)))).otherwise(F.array(*map(at, range(4))))
     closed = F.when(F.col("source_ref") % 2 == 0, ring).otherwise(F.concat(ring, F.array(at(0))))
-    return fx.assets(spark, sf_dir).select("id", closed.alias("r")).select("id", F.round(overlap.even_odd_area(F.col("r")) * 1e6, 4).alias("area"), overlap.ring_note(F.col("r")).alias("note"))
+    return dealt(fx.assets(spark, sf_dir).select("id", "source_ref", "lon", "lat"), "id").select("id", closed.alias("r")).select("id", F.round(overlap.even_odd_area(F.col("r")) * 1e6, 4).alias("area"), overlap.ring_note(F.col("r")).alias("note"))

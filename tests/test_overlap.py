@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from atrisk.functions import geom
 from atrisk.operators import overlap, perimeters
-from atrisk.plans import perimeter_queries
+from atrisk.plans import perimeter_queries, registry
 from atrisk.sources import fixtures as fx
 
 
@@ -120,3 +120,8 @@ def test_pairs_of_perimeters_and_assets_stay_in_their_cell(spark, tmp_path):
     table.write.parquet(str(tmp_path / "t"))
     late = perimeters.evolving(spark.readStream.schema(table.schema).parquet(str(tmp_path / "t")), assets)
     assert late.count() == len(want) and "Broadcast" not in late._jdf.queryExecution().executedPlan().toString()
+
+
+def test_heavy_rows_of_a_small_file_are_dealt_out(spark):
+    for name in ("v16_ring_repair",):
+        assert registry.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
