@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from atrisk.functions import tag_rules
 from atrisk.operators import landed, store
-from atrisk.operators.shared import written
+from atrisk.operators.shared import dealt, written
 from atrisk.plans.clip_queries import _IDS
 from atrisk.plans.exposure_queries import _rounded
 from atrisk.plans.registry import query
@@ -83,7 +83,7 @@ def n16(spark, sf_dir):
     x, y, w, h = (k % 800) * F.lit(0.001) + 1.5, (k % 700) * F.lit(0.001) + 41.2, (k % 9 + 1) * F.lit(0.001), (k % 5 + 1) * F.lit(0.001)
     v = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
     ring = F.array(v(x, y), v(x + w, y), v(x + w / 2, y + h), v(x, y + h), v(x, y))
-    rows = fx.read(spark, sf_dir, "part").select(k.alias("id"), landed.feature_shape(F.when(k % 3 > 0, ring).otherwise(F.array(v(x, y), v(x + w, y), v(x + w, y + h)))).alias("s"))
+    rows = dealt(fx.read(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(k.alias("id"), landed.feature_shape(F.when(k % 3 > 0, ring).otherwise(F.array(v(x, y), v(x + w, y), v(x + w, y + h)))).alias("s"))
     return _rounded(rows.select("id", "s.*"), lon=8, lat=8, area_m2=3)
 
 

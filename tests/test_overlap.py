@@ -123,5 +123,5 @@ def test_pairs_of_perimeters_and_assets_stay_in_their_cell(spark, tmp_path):
 
 
 def test_heavy_rows_of_a_small_file_are_dealt_out(spark):
-    for name in ("v16_ring_repair",):
+    for name in ("v16_ring_repair", "n16_feature_shapes"):
         assert registry.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
