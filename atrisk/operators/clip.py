@@ -1,12 +1,13 @@
 """Exact overlay of squares and lines with perimeters.
 
-A perimeter is a parameter, so its edges are one array literal in the plan: cells and
-lines stay where they are, and only sums are shuffled.
+A perimeter is a parameter, so its edges are one array literal in the plan, or numpy arrays
+beside it: cells and lines stay where they are, and only sums are shuffled.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from atrisk.functions import geom
 from atrisk.functions.norm import let
 from atrisk.operators.exposure import Bands
 
+#: How many pairs of a segment and an edge are held at once.
+CROSSED = 1 << 16
+
 
 def _oriented(polygons: list[geom.Polygon]) -> list[tuple[float, float, float, float]]:
     """Edges that run counter-clockwise on outer rings and clockwise on holes."""
@@ -139,31 +143,62 @@ def exclusive_shares(cells: DataFrame, bands: Bands) -> DataFrame:
     return over.select("cell_id", "population", F.inline(each)).filter("share > 1e-12").withColumn("share", F.least("share", F.lit(1.0)))
 
 
+def inside_metres(polygons: list[geom.Polygon], ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """How much of each segment lies inside, NaN where no part does: segments are cut where they
+    meet edges, and parts whose middle is inside by the even-odd rule are summed."""
+    rings = [(p, r, np.asarray(geom.edges(ring), dtype=np.float64)) for p, polygon in enumerate(polygons) for r, ring in enumerate(polygon)]
+    px, py, qx, qy = np.concatenate([e for *_, e in rings]).T
+
+    def holds(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(polygons), len(x)), dtype=bool)
+        for p, r, e in rings:
+            x1, y1, x2, y2 = e[e[:, 1] != e[:, 3]].T
+            level, across = y[:, None], x[:, None]
+            crossed = ((y2 > level) != (y1 > level)) & (across < (level - y2) * (x1 - x2) / (y1 - y2) + x2)
+            odd = crossed.sum(axis=1) % 2 == 1
+            out[p] = odd if r == 0 else out[p] & ~odd
+        return out.any(axis=0)
+
+    def each(ax, ay, bx, by) -> np.ndarray:
+        n, dx, dy = len(ax), bx - ax, by - ay
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cross = dx[:, None] * (qy - py) - dy[:, None] * (qx - px)
+            east, north = px - ax[:, None], py - ay[:, None]
+            on_segment, on_edge = (east * (qy - py) - north * (qx - px)) / cross, (east * dy[:, None] - north * dx[:, None]) / cross
+            row, edge = np.nonzero((cross != 0) & (on_segment > 0) & (on_segment < 1) & (on_edge >= 0) & (on_edge <= 1))
+        of, t = np.concatenate([np.arange(n), row, np.arange(n)]), np.concatenate([np.zeros(n), on_segment[row, edge], np.ones(n)])
+        order = np.lexsort((t, of))
+        of, t = of[order], t[order]
+        part = np.nonzero((of[1:] == of[:-1]) & (t[1:] > t[:-1]))[0]
+        of, t0, t1 = of[part], t[part], t[part + 1]
+        at = lambda t, of: (ax[of] + dx[of] * t, ay[of] + dy[of] * t)
+        within = holds(*at((t0 + t1) / 2, of))
+        of, t0, t1 = of[within], t0[within], t1[within]
+        metres = np.full(n, np.nan)
+        metres[of] = 0.0
+        np.add.at(metres, of, geom.haversine_np(*at(t0, of), *at(t1, of)))
+        return metres
+
+    step = max(1, CROSSED // len(px))
+    return np.concatenate([each(*(v[i : i + step] for v in (ax, ay, bx, by))) for i in range(0, len(ax), step)] or [np.empty(0)])
+
+
 def clipped_lines(lines: DataFrame, polygons: list[geom.Polygon]) -> DataFrame:
     """``id, kind, metres``: how much of each line (``points`` of x, y) lies inside.
 
-    Every segment is cut where it meets an edge, and the parts whose middle is inside are
-    summed. A line with less than two points, or all outside, gives no row.
+    Segments in the envelope are cut by :func:`inside_metres`, a batch at a time. A line with
+    less than two points, or all outside, gives no row.
     """
     x0, y0, x1, y1 = geom.envelope(polygons)
-    sides = [e for polygon in polygons for ring in polygon for e in geom.edges(ring)]
-    flat = F.lit(np.asarray(sides, dtype=np.float64).reshape(-1))
     points = F.col("points")
     pairs = F.arrays_zip(F.slice(points, 1, F.size(points) - 1).alias("a"), F.slice(points, 2, F.size(points) - 1).alias("b"))
     segments = lines.filter(F.size(points) > 1).select("id", "kind", F.explode(pairs).alias("s")).select("id", "kind", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
     ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
     near = (F.least(ax, bx) <= x1) & (F.greatest(ax, bx) >= x0) & (F.least(ay, by) <= y1) & (F.greatest(ay, by) >= y0)
 
-    def met(i: Column) -> Column:
-        px, py, qx, qy = (F.get(flat, i * 4 + k) for k in range(4))
-        cross = F.nullif((bx - ax) * (qy - py) - (by - ay) * (qx - px), F.lit(0.0))
-        on_segment = ((px - ax) * (qy - py) - (py - ay) * (qx - px)) / cross
-        on_edge = ((px - ax) * (by - ay) - (py - ay) * (bx - ax)) / cross
-        return F.when((on_segment > 0) & (on_segment < 1) & on_edge.between(0, 1), on_segment)
-
-    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(len(sides) - 1)), met))))
-    parts = segments.filter(near).withColumn("cuts", cuts).withColumn("p", F.explode(F.arrays_zip(F.slice("cuts", 1, F.size("cuts") - 1).alias("t0"), F.slice("cuts", 2, F.size("cuts") - 1).alias("t1"))))
-    at = lambda t: (ax + (bx - ax) * t, ay + (by - ay) * t)
-    t0, t1 = F.col("p.t0"), F.col("p.t1")
-    inside = parts.withColumns(dict(zip(("mx", "my"), at((t0 + t1) / 2), strict=True))).filter(geom.in_polygons(F.col("mx"), F.col("my"), polygons))
-    return inside.groupBy("id", "kind").agg(F.sum(geom.haversine_m(*at(t0), *at(t1))).alias("metres"))
+    @F.pandas_udf("double")
+    def metres(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+        return pd.Series(inside_metres(polygons, *(v.to_numpy(dtype=np.float64) for v in (ax, ay, bx, by))))
+
+    # sums are null where no part is inside; a filter below them would compute the parts twice
+    return segments.filter(near).groupBy("id", "kind").agg(F.sum(metres(ax, ay, bx, by)).alias("metres")).filter("metres is not null")

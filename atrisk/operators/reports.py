@@ -253,7 +253,7 @@ def worth_keeping(tags: Column, allowed: dict[str, list[str]]) -> Column:
 
 def ways(points: DataFrame) -> DataFrame:
     """``id, kind, points``: lines from vertices (id, kind, seq, x, y) in order of seq."""
-    return points.groupBy("id", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+    return points.repartition("id", "kind").groupBy("id", "kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
 
 
 def length_m(points: Column) -> Column:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from atrisk.functions import geom
@@ -42,6 +43,32 @@ def test_clipped_lines(spark):
     assert abs(got["in and out"] / degree(3) - 1 - math.hypot(1, 1 / 6)) < 5e-3
 
 
+def test_lines_that_touch_corners_and_batches_of_segments(spark, monkeypatch):
+    diamond = [[(1.0, 0.0), (0.0, 1.0), (-1.0, 0.0), (0.0, -1.0)]]
+    lines = {"left": [(-1, -3), (-1, 3)], "right": [(1, -3), (1, 3)], "low": [(-3, -1), (3, -1)], "high": [(-3, 1), (3, 1)], "through": [(-3, 0), (3, 0)]}
+    df = spark.createDataFrame([(k, 0, [{"x": float(x), "y": float(y)} for x, y in v]) for k, v in lines.items()], "id string, kind int, points array<struct<x:double,y:double>>")
+    assert {r["id"] for r in clip.clipped_lines(df, [diamond]).collect()} == {"through"}
+
+    rng = random.Random(3)
+    shapes = [[[(rng.uniform(2, 4) * math.cos(i / 100 * math.pi), rng.uniform(2, 4) * math.sin(i / 100 * math.pi)) for i in range(200)], SQUARE[1]], [[(5.0, 0.0), (6.0, 0.0), (6.0, 6.0)]]]
+    ends = [[rng.uniform(-6, 6) for _ in range(4)] for _ in range(60)]
+    want = []
+    for ax, ay, bx, by in ends:  # by sampling
+        n, inside = 4000, 0
+        for i in range(n):
+            x, y = ax + (bx - ax) * (i + 0.5) / n, ay + (by - ay) * (i + 0.5) / n
+            odd = [[sum((y2 > y) != (y1 > y) and x < (y - y2) * (x1 - x2) / (y1 - y2) + x2 for x1, y1, x2, y2 in geom.edges(ring)) % 2 for ring in shape] for shape in shapes]
+            inside += any(o[0] and not any(o[1:]) for o in odd)
+        want.append(inside / n)
+    columns = np.asarray(ends).T
+    whole = geom.haversine_np(*columns)
+    for crossed in (1, 1000, 1 << 16):
+        monkeypatch.setattr(clip, "CROSSED", crossed)
+        got = np.nan_to_num(clip.inside_metres(shapes, *columns))
+        assert np.allclose(got / whole, want, atol=0.02)
+    assert len(clip.inside_metres(shapes, *np.empty((4, 0)))) == 0
+
+
 def test_circle(spark):
     df = spark.createDataFrame([(0, 5.0), (1, 0.0), (2, -1.0), (3, 200.5), (4, None)], "id int, km double")
     rows = {r["id"]: r["ring"] for r in df.select("id", geom.circle(F.lit(2.0), F.lit(60.0), F.col("km")).alias("ring")).collect()}
