@@ -1,7 +1,8 @@
 """Whole records of clusters: a primary whose gaps other records fill, with what each gave.
 
 Every filled value is a fact of its own, so that a cluster's records are reduced by partial
-aggregation and never meet in one task."""
+aggregation and never meet in one task. Records are dealt out before their facts are spelt out and
+sorted, as many records lie in one split of a small file."""
 
 from __future__ import annotations
 
@@ -10,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atrisk.operators.shared import dealt
+
 # The capacities that are filled, the most a merged record is trusted, and what each further record adds.
 CAPACITIES = ["people", "beds", "students", "places", "animals", "livestock_units", "dwellings"]
 MOST, EACH, UNKNOWN = 0.98, 0.06, 0.5
@@ -65,7 +68,7 @@ def merged_records(records: DataFrame, labels: DataFrame, priority: dict[str, in
     Provenance has ``cluster, doc_id, source_id, source_ref, fields``: identity and geometry for
     the primary, sorted names of what others gave, or corroboration.
     """
-    ranked = records.join(labels.select("doc_id", "cluster"), "doc_id").withColumn("order", _order(priority))
+    ranked = dealt(records.join(labels.select("doc_id", "cluster"), "doc_id"), "cluster", "doc_id").withColumn("order", _order(priority))
     own = F.struct("doc_id", "source_id", "source_ref", "category", "lon", "lat", "confidence", "basis", "geometry_kind", *kept)
     primary = ranked.groupBy("cluster").agg(F.min_by(own, "order").alias("p"), F.count("*").alias("merged_count"))
     facts = _facts(ranked)

@@ -1,6 +1,8 @@
 """Whole merged records: what fills what, clashing attributes, provenance, ties and empty input."""
 
 from atrisk.operators import merge
+from atrisk.plans import merge_queries
+from atrisk.sources import fixtures as fx
 
 PRIORITY = {"schools": 95, "facilities": 78, "osm": 50}
 TYPES = {"doc_id": "long", "source_id": "string", "source_ref": "string", "name": "string", "category": "string", "lon": "double", "lat": "double", "confidence": "double", "phone": "array<string>", "email": "array<string>", "website": "string", "operator": "string", **{c: "double" for c in merge.CAPACITIES}, "basis": "string", "address": "map<string,string>", "attributes": "map<string,string>", "footprint_m2": "double", "geometry_kind": "string", "floors": "double"}
@@ -41,3 +43,15 @@ def test_ties_single_records_and_bare_ones(spark):
     assert (got[2]["confidence"], got[2]["merged_count"], got[2]["attributes"], got[2]["phone"], got[2]["address"]) == (0.5, 1, {}, [], {})
     assert fields == {8: ["identity", "geometry"], 9: ["corroboration"], 7: ["identity", "geometry"]}
     assert run(spark, []) == ({}, {})
+
+
+def test_records_of_one_split_are_dealt_out_before_their_facts(spark, monkeypatch):
+    tasks, facts = [], merge._facts
+
+    def seen(ranked):
+        tasks.append(ranked.rdd.glom().map(len).collect())
+        return facts(ranked)
+
+    monkeypatch.setattr(merge, "_facts", seen)
+    merge.merged_records(*merge_queries._records(spark, "/root/testdata/sf0.001"), fx.SOURCES)
+    assert max(tasks[0]) < 100  # of 150
