@@ -67,13 +67,15 @@ def livestock(rows: DataFrame) -> DataFrame:
     most = each.groupBy("source_ref", "species").agg(F.max("heads").alias("heads"), F.count("*").alias("n"), F.min("position").alias("position"), F.min_by(F.struct(*HOLDING_TEXTS), "position").alias("first"))
     most = most.withColumn("group", species_group(F.col("species"))).withColumn("units", F.col("heads").cast("decimal(20,3)") * F.col("group.units"))
     item = F.struct("position", "species", "heads", F.col("group.name").alias("group"), "units")
-    whole = most.groupBy("source_ref").agg(F.sum("n").alias("n"), F.min_by("first", "position").alias("first"), F.array_sort(F.collect_list(item)).alias("s"))
+    whole = most.groupBy("source_ref").agg(F.sum("n").alias("n"), F.min_by("first", "position").alias("first"), F.sort_array(F.collect_list(item)).alias("s"))
     total = lambda items, field: F.aggregate(items, F.lit(0).cast("decimal(38,6)"), lambda t, i: (t + i[field]).cast("decimal(38,6)"))
     names = F.array_distinct(F.transform("s", lambda i: i["group"]))  # in order of position
     sums = F.transform(names, lambda g, i: F.struct(total(F.filter("s", lambda x: x["group"] == g), "units").alias("units"), (-i).alias("order"), g.alias("name")))
-    counted = F.array_sort(F.filter("s", lambda i: i["heads"] > 0), lambda a, b: F.when(a["species"] < b["species"], -1).when(a["species"] > b["species"], 1).otherwise(0))
+    counted = F.sort_array(F.transform(F.filter("s", lambda i: i["heads"] > 0), lambda i: F.struct(i["species"].alias("species"), i["heads"].alias("heads"))))
     f = lambda c: F.col(f"first.{c}")
-    made = whole.select("*", sums.alias("sums"), counted.alias("counted"), coordinates(f("longitud"), f("latitud"), f("coor_x"), f("coor_y")).alias("at")).filter("at is not null")
+    # what is exploded is computed once, where a filter on it would be pushed below and read the texts twice
+    place = F.explode(F.array_compact(F.array(coordinates(f("longitud"), f("latitud"), f("coor_x"), f("coor_y")))))
+    made = whole.select("*", place.alias("at")).select("*", sums.alias("sums"), counted.alias("counted"))
     dominant = F.array_max("sums")["name"]
     several = F.size(F.filter("sums", lambda g: g["units"] > 0)) > 1
     address = F.struct(clean_text(f("adre_a_explotaci")).alias("street"), clean_text(f("cp")).alias("postcode"), title_case(f("nom_municipi")).alias("municipality"), title_case(f("nom_comarca")).alias("comarca"), F.lit("Catalunya").alias("region"), F.lit("ES").alias("country"))

@@ -90,6 +90,13 @@ def herd(spark, rows):
     return holdings.livestock(spark.createDataFrame(full, ", ".join(f"{n} {'int' if n == 'position' else 'string'}" for n in names)))
 
 
+def test_a_holding_s_place_is_read_once(spark):
+    from atrisk.plans import registry
+
+    plan = registry.queries()["n10_livestock"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[NSEWO]") <= 4  # a test and a match for either figure
+
+
 def test_livestock_counts_a_species_once(spark):
     got = {r["source_ref"]: r.asDict(True) for r in herd(spark, [
         {"codi_rega": " A ", "estat_explotaci_": "Activa", "esp_cie": "Boví", "total_ub": "100", "position": 1, "nom_explotaci": "MAS GRAN", "nom_municipi": "VIC"},
