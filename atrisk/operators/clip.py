@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atrisk.functions import geom
 from atrisk.functions.norm import let
 from atrisk.operators.exposure import Bands
+from atrisk.operators.shared import finely
 
 #: How many pairs of a segment and an edge are held at once.
 CROSSED = 1 << 16
@@ -183,16 +184,27 @@ def inside_metres(polygons: list[geom.Polygon], ax: np.ndarray, ay: np.ndarray,
     return np.concatenate([each(*(v[i : i + step] for v in (ax, ay, bx, by))) for i in range(0, len(ax), step)] or [np.empty(0)])
 
 
+def _segments(lines: DataFrame) -> DataFrame:
+    """``id, kind, ax, ay, bx, by`` of lines, or of their vertices (``id, kind, seq, x, y``), each of
+    which is joined to the next by a window: no line is gathered into an array."""
+    if "points" not in lines.columns:
+        to_next = Window.partitionBy("id", "kind").orderBy("seq")
+        ends = finely(lines, "id", "kind").select("id", "kind", F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead(F.struct("x", "y")).over(to_next).alias("b"))
+        return ends.filter("b is not null").select("id", "kind", "ax", "ay", F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
+    points = F.col("points")
+    pairs = F.arrays_zip(F.slice(points, 1, F.size(points) - 1).alias("a"), F.slice(points, 2, F.size(points) - 1).alias("b"))
+    return lines.filter(F.size(points) > 1).select("id", "kind", F.explode(pairs).alias("s")).select("id", "kind", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+
+
 def clipped_lines(lines: DataFrame, polygons: list[geom.Polygon]) -> DataFrame:
-    """``id, kind, metres``: how much of each line (``points`` of x, y) lies inside.
+    """``id, kind, metres``: how much of each line lies inside. Lines have ``points`` of x, y, or
+    come as vertices, a row each, ``id, kind, seq, x, y``.
 
     Segments in the envelope are cut by :func:`inside_metres`, a batch at a time. A line with
     less than two points, or all outside, gives no row.
     """
     x0, y0, x1, y1 = geom.envelope(polygons)
-    points = F.col("points")
-    pairs = F.arrays_zip(F.slice(points, 1, F.size(points) - 1).alias("a"), F.slice(points, 2, F.size(points) - 1).alias("b"))
-    segments = lines.filter(F.size(points) > 1).select("id", "kind", F.explode(pairs).alias("s")).select("id", "kind", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    segments = _segments(lines)
     ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
     near = (F.least(ax, bx) <= x1) & (F.greatest(ax, bx) >= x0) & (F.least(ay, by) <= y1) & (F.greatest(ay, by) >= y0)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from atrisk.functions import geom
 from atrisk.operators import clip, exposure, landed, merge, reports, resolve
-from atrisk.operators.shared import written
+from atrisk.operators.shared import dealt, written
 
 Bands = exposure.Bands
 
@@ -66,7 +66,7 @@ def conflated(assets: DataFrame, priority: dict[str, int]) -> DataFrame:
 
     Only rows in a match are merged; all others pass as they are. A merged row stands where
     its first record does, so that its band_index holds."""
-    members = written(resolve.linked(assets)[1], "report-members")
+    members = written(resolve.linked(assets, matches_only=True)[1], "report-members")
     alone = assets.join(members, "doc_id", "left_anti").withColumn("merged_count", F.lit(1).cast("long"))
     none = lambda kind: F.lit(None).cast(kind)
     have = lambda name, kind: F.col(name) if name in assets.columns else none(kind)
@@ -86,7 +86,7 @@ def conflated(assets: DataFrame, priority: dict[str, int]) -> DataFrame:
 def scored(assets: DataFrame, bands: Bands, priority: dict[str, int] | None, layers: list[str]) -> DataFrame:
     """The table that the parts read: every thing in the perimeter with band, distance, value,
     occupancy and score. ``priority`` of sources, or None for no conflation."""
-    found = inventory(assets, bands, layers)
+    found = inventory(dealt(assets, "id"), bands, layers)  # a small file's one split would locate and write them all
     if priority is not None:
         found = conflated(written(found, "report-inventory"), priority)
     else:
@@ -191,7 +191,7 @@ def build(
     sort_by: str = "priority", max_assets: int = 5000, max_cells: int = 5000, regional: reports.Box = (-180.0, -90.0, 180.0, 90.0), national: reports.Box = (-180.0, -90.0, 180.0, 90.0),
 ) -> Report:
     """The report on ``assets`` in time-banded perimeters, with residents of ``cells`` (cell_id,
-    population, x0, y0, size) and ``lines`` (id, kind, points) where they are given. Empty tables
+    population, x0, y0, size) and ``lines`` (as in :func:`clip.clipped_lines`) where they are given. Empty tables
     give zero totals, every band, and no other rows."""
     table = scored(assets, bands, priority, layers or ["all"])
     shares = None if cells is None else residents(cells, bands)

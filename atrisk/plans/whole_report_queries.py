@@ -9,7 +9,7 @@ from atrisk.operators import report
 from atrisk.plans.clip_queries import _ADDED, _CLIPPED, _METRES
 from atrisk.plans.exposure_queries import _BANDED, _SCORED, _SUMMARY, _rounded
 from atrisk.plans.registry import query
-from atrisk.plans.report_queries import _ways
+from atrisk.plans.report_queries import _vertices
 from atrisk.sources import fixtures as fx
 
 BANDS = fx.BANDS
@@ -24,7 +24,7 @@ def _table(spark, sf_dir):
 
 def _build(spark, sf_dir, priority=None):
     assets = fx.twice_registered(fx.assets(spark, sf_dir)) if priority else fx.assets(spark, sf_dir)
-    return report.build(assets, BANDS, cells=fx.pop_grid(spark, sf_dir), lines=_ways(spark, sf_dir), priority=priority, max_assets=ASSETS, max_cells=CELLS, regional=REGION, national=COUNTRY)
+    return report.build(assets, BANDS, cells=fx.pop_grid(spark, sf_dir), lines=_vertices(spark, sf_dir), priority=priority, max_assets=ASSETS, max_cells=CELLS, regional=REGION, national=COUNTRY)
 
 
 _INSIDE = f"{_SCORED}, inside as (select * from scored where inside_aoi)"
@@ -71,7 +71,7 @@ def population(spark, sf_dir):
 @query("v17_report_networks", f"with {_CLIPPED.replace('band = 1', 'band = 2')} select kind, round(sum({_METRES}) / 1000, 3) as km, count(distinct id) as lines from l group by 1")
 def networks(spark, sf_dir):
     """Within the union of the bands, of which the last holds the others."""
-    return _rounded(report.network_parts(_ways(spark, sf_dir), BANDS), km=3)
+    return _rounded(report.network_parts(_vertices(spark, sf_dir), BANDS), km=3)
 
 
 @query("v17_report_warnings", f"""with {_INSIDE}, f as (select (select count(*) from inside) as n, (with {_ADDED} select count(distinct cell_id) from added where share > 1e-12) as c)

@@ -128,3 +128,13 @@ def test_exclusive_shares_of_overlapping_bands(spark):
     assert got([[box(0, 0, 1, 1)], [box(0.5, 0, 1.5, 1)]]) == {("all", 0): 0.375, ("part", 0): 1.0}
     assert got([[box(0, 0, 2, 2), box(0.5, 0.5, 1.5, 1.5)]], [[box(0, 0, 1, 1)]]) == {("all", 0): 0.75, ("all", 1): 0.0625, ("part", 0): 0.5, ("part", 1): 0.5}
     assert got([[bow]]) == {("all", 0): 0.125, ("part", 0): 0.75}
+
+
+def test_lines_as_vertices_equal_lines_as_points(spark):
+    rng = random.Random(8)
+    lines = [(i, i % 2, [{"x": rng.uniform(-1, 5), "y": rng.uniform(-1, 5)} for _ in range(i % 5)]) for i in range(40)]
+    df = spark.createDataFrame(lines, "id long, kind int, points array<struct<x:double,y:double>>")
+    vertices = df.select("id", "kind", F.posexplode("points").alias("seq", "p")).select("id", "kind", "seq", "p.x", "p.y").orderBy(F.rand(1))
+    want = {(r["id"], r["kind"]): r["metres"] for r in clip.clipped_lines(df, [SQUARE]).collect()}
+    got = {(r["id"], r["kind"]): r["metres"] for r in clip.clipped_lines(vertices, [SQUARE]).collect()}
+    assert set(got) == set(want) and len(want) > 10 and all(abs(got[k] - m) < 1e-6 for k, m in want.items())
