@@ -1,4 +1,4 @@
-"""Streams with a state and timers per key: sliding rate limits and the states of tiles.
+"""Streams with a state and times to wake per key: sliding rate limits and the states of tiles.
 
 Micro-batches may bring a key's rows in any order within the lateness allowed, so both wait for
 the watermark and then read a key's rows in order of time: results don't depend on how the rows
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from atrisk.operators.store import decision
 
@@ -22,8 +22,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 @contextlib.contextmanager
 def _state_store(spark: SparkSession):
-    """Timers and typed state need RocksDB; a stream takes the setting as it starts, after
-    which the session has its own again."""
+    """States of many keys are kept by RocksDB, outside the heap; a stream takes the setting as it
+    starts, after which the session has its own again."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, ROCKSDB)
@@ -33,102 +33,103 @@ def _state_store(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-class _InOrder(StatefulProcessor):
-    """Keeps a key's rows until the watermark has passed them, then hands them on in order."""
-
-    #: What a waiting row holds beside its time in microseconds.
-    fields = ""
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at long, {self.fields}")
-
-    def close(self) -> None:
-        pass
-
-    def wake(self, micros: int, timers) -> None:
-        """A timer for ``micros``, after the watermark."""
-        self.handle.registerTimer(max(-(-micros // 1000), timers.getCurrentWatermarkInMs() + 1))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for frame in rows:
-            if len(frame):
-                self.waiting.appendList(list(frame[self.columns()].itertuples(index=False, name=None)))
-                least = int(frame["at"].min())
-                first = least if first is None else min(first, least)
-        if first is not None:
-            self.wake(first, timerValues)
-        return iter([])
-
-    def columns(self) -> list[str]:
-        return ["at", *(f.split()[0] for f in self.fields.split(", "))]
-
-    def due(self, timerValues) -> list[tuple]:
-        """Rows that the watermark has passed, in order; the rest goes on waiting."""
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        ready, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
-        if not ready:
-            if rest:
-                self.wake(rest[0][0], timerValues)
-            return []
-        if rest:
-            self.waiting.put(rest)
-            self.wake(rest[0][0], timerValues)
-        else:
-            self.waiting.clear()
-        return ready
+#: Into how many groups keys are dealt by their hash. A checkpoint holds for this number only.
+GROUPS = 1024
+
+
+class _InOrder:
+    """Keeps rows until the watermark has passed them, then hands each key's on in order.
+
+    Calls between Python and the state store cost some milliseconds, so keys share them: a state
+    is one row for a group of keys, of which each has its own rows, values and times to wake."""
+
+    key = "long"
+    #: What a waiting row holds beside its key, its time in microseconds first.
+    waits = {"at": "long", "event_id": "long"}
+    #: What a key keeps beside, and has at first.
+    keeps: dict = {}
+    start: tuple = ()
+    #: The columns of results.
+    gives: dict = {}
+
+    def settle(self, key, ready: list[tuple], kept: tuple, passed: int) -> tuple[list[tuple], tuple, int | None]:
+        """A key's results of rows in order, what it keeps, and when it wakes without any row."""
+        raise NotImplementedError
+
+    def step(self, group, frames, state) -> Iterator[pd.DataFrame]:
+        n = 1 + len(self.waits)
+        held = state.get if state.exists else [[] for _ in range(n + 1 + len(self.keeps))]
+        waiting, kept = [list(c) for c in held[:n]], {key: tuple(values) for key, *values in zip(*held[n:], strict=True)}
+        if not state.hasTimedOut:
+            for frame in frames:
+                for column, name in zip(waiting, ("key", *self.waits), strict=True):
+                    column.extend(frame[name].tolist())
+        mark = state.getCurrentWatermarkMs()
+        ready, rest, made, wakes = dict.fromkeys(kept, ()), [], [], []
+        for key, *row in sorted(zip(*waiting, strict=True)):
+            if 0 < mark and row[0] <= mark * 1000:
+                ready[key] = ready.get(key) or []
+                ready[key].append(row)
+            else:
+                rest.append((key, *row))
+        for key, rows in ready.items():
+            found, kept[key], wake = self.settle(key, rows, kept.get(key, self.start), mark * 1000)
+            made += found
+            if wake is not None:
+                wakes.append(wake)
+        columns = lambda rows, width: list(map(list, zip(*rows, strict=True))) or [[] for _ in range(width)]
+        state.update((*columns(rest, n), *columns([(key, *values) for key, values in kept.items()], 1 + len(self.keeps))))
+        wakes += [r[1] for r in rest]
+        if wakes:  # a timer is due once the watermark is beyond it
+            state.setTimeoutTimestamp(max((min(wakes) - 1) // 1000, mark, 1))
+        if made:
+            yield pd.DataFrame(dict(zip(self.gives, columns(made, 0), strict=True)))
+
+    def over(self, rows: DataFrame) -> DataFrame:
+        """Results over rows of ``key``, what waits, and ``time``."""
+        held = {"waiting_key": self.key, **{f"waiting_{c}": kind for c, kind in self.waits.items()}, "key": self.key, **self.keeps}
+        dealt = rows.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS)))
+        return dealt.groupBy("group").applyInPandasWithState(self.step, self.schema(), ", ".join(f"{c} array<{kind}>" for c, kind in held.items()), "Append", GroupStateTimeout.EventTimeTimeout)
+
+    def schema(self) -> str:
+        return ", ".join(f"{c} {kind}" for c, kind in self.gives.items())
 
 
 class _Rates(_InOrder):
-    fields = "event_id long"
+    keeps, start = {"hits": "array<long>"}, ((),)
+    gives = {"event_id": "long", "key": "long", "allowed": "boolean", "remaining": "long", "retry_after": "long"}
 
     def __init__(self, limit: int, seconds: float) -> None:
         self.limit, self.seconds = limit, seconds
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.hits = handle.getValueState("hits", "at array<long>")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ready = self.due(timerValues)
-        if not ready:
-            return
-        hits = deque(self.hits.get()[0]) if self.hits.exists() else deque()
-        made = [(event, key[0], *decision(hits, at, self.limit, self.seconds)) for at, event in ready]
-        self.hits.update((list(hits),))
-        yield pd.DataFrame(made, columns=["event_id", "key", "allowed", "remaining", "retry_after"])
+    def settle(self, key, ready, kept, passed):
+        hits = deque(kept[0])
+        made = [(event, key, *decision(hits, at, self.limit, self.seconds)) for at, event in ready]
+        return made, (list(hits),), None
 
 
 class _Tiles(_InOrder):
-    fields = "event_id long, status string"
+    key = "string"
+    waits = {**_InOrder.waits, "status": "string"}
+    keeps, start = {"state": "string", "until": "long"}, (None, None)
+    gives = {"tile_key": "string", "since": "long", "state": "string"}
 
     def __init__(self, ttl_hours: float, backoff_minutes: float) -> None:
         self.lasts = {True: int(ttl_hours * 3.6e9), False: int(backoff_minutes * 6e7)}
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.now = handle.getValueState("now", "state string, until long")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, until = tuple(self.now.get()) if self.now.exists() else (None, None)
+    def settle(self, key, ready, kept, passed):
+        state, until = kept
         made = []
-        for at, _, status in self.due(timerValues):
+        for at, _, status in ready:
             if until is not None and at > until:
-                made.append((key[0], until, "stale"))
+                made.append((key, until, "stale"))
             ok = status == "ok"
             state, until = ("fresh" if ok else "failed"), at + self.lasts[ok]
-            made.append((key[0], at, state))
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
+            made.append((key, at, state))
         if until is not None and until < passed:
-            made.append((key[0], until, "stale"))
+            made.append((key, until, "stale"))
             state, until = "stale", None
-        elif until is not None:
-            self.wake(until + 1, timerValues)
-        self.now.update((state, until))
-        if made:
-            yield pd.DataFrame(made, columns=["tile_key", "since", "state"])
+        return made, (state, until), None if until is None else until + 1
 
 
 def _written(made: DataFrame, out: str, checkpoint: str) -> None:
@@ -153,10 +154,9 @@ def rate_decisions(stream: DataFrame, limit: int, folder: str, *, seconds: float
     the watermark has passed them. Requests without a time or key are left out. ``folder`` keeps results
     and checkpoint; a later call goes on from there and returns all that was decided."""
     rows = _timed(stream, "ts", late).filter("user_id is not null").select("time", "at", F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("key"))
-    schema = "event_id long, key long, allowed boolean, remaining long, retry_after long"
-    made = rows.groupBy("key").transformWithStateInPandas(_Rates(limit, seconds), schema, "Append", "EventTime")
-    _written(made, f"{folder}/decisions", f"{folder}/checkpoint")
-    return stream.sparkSession.read.schema(schema).parquet(f"{folder}/decisions/batch=*")
+    rates = _Rates(limit, seconds)
+    _written(rates.over(rows), f"{folder}/decisions", f"{folder}/checkpoint")
+    return stream.sparkSession.read.schema(rates.schema()).parquet(f"{folder}/decisions/batch=*")
 
 
 def tile_changes(stream: DataFrame, folder: str, *, ttl_hours: float = 336, backoff_minutes: float = 30, late: str = "1 hour") -> DataFrame:
@@ -164,9 +164,8 @@ def tile_changes(stream: DataFrame, folder: str, *, ttl_hours: float = 336, back
     fetch outcomes (``tile_key, fetched_at, event_id, status``): fresh after a fetch that went
     well, failed after another, and stale, by a timer, when the time to live or the backoff has
     run out. ``folder`` as in ``rate_decisions``."""
-    rows = _timed(stream, "fetched_at", late).filter("tile_key is not null").select("time", "at", F.col("event_id").cast("long").alias("event_id"), "tile_key", F.coalesce("status", F.lit("")).alias("status"))
-    schema = "tile_key string, since long, state string"
-    made = rows.groupBy("tile_key").transformWithStateInPandas(_Tiles(ttl_hours, backoff_minutes), schema, "Append", "EventTime")
-    _written(made, f"{folder}/changes", f"{folder}/checkpoint")
-    found = stream.sparkSession.read.schema(schema).parquet(f"{folder}/changes/batch=*")
+    rows = _timed(stream, "fetched_at", late).filter("tile_key is not null").select("time", "at", F.col("event_id").cast("long").alias("event_id"), F.col("tile_key").alias("key"), F.coalesce("status", F.lit("")).alias("status"))
+    tiles = _Tiles(ttl_hours, backoff_minutes)
+    _written(tiles.over(rows), f"{folder}/changes", f"{folder}/checkpoint")
+    found = stream.sparkSession.read.schema(tiles.schema()).parquet(f"{folder}/changes/batch=*")
     return found.withColumn("since", F.timestamp_micros("since"))

@@ -68,3 +68,24 @@ def test_registered_stream_equals_the_batch_up_to_the_watermark(spark):
     got = registry.queries()["x2_rate_stream"](spark, "/root/testdata/sf0.001")
     columns = ["event_id", "key", "allowed", "remaining", "retry_after"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect())) and got.count() > 900
+
+
+def test_keys_share_calls_of_the_state_store(spark, tmp_path, monkeypatch):
+    """Many keys in few groups are the keys' own results, and a batch steps once a group."""
+    monkeypatch.setattr(stateful, "GROUPS", 3)
+    rows = [(i, i % 50, START + timedelta(seconds=7 * (i * 37 % 400))) for i in range(400)]
+    folder = f"file://{tmp_path}"
+    steps = spark.sparkContext.accumulator(0)
+    step = stateful._Rates.step
+
+    def counted(self, group, frames, state):
+        steps.add(1)
+        yield from step(self, group, frames, state)
+
+    monkeypatch.setattr(stateful._Rates, "step", counted)
+    land(spark, folder, 0, rows, EVENTS)
+    stream = land(spark, folder, 1, [(999, 77, START + timedelta(days=1))], EVENTS)
+    got = stateful.rate_decisions(stream, 2, folder, seconds=600.0)
+    want = store.rate_decisions(spark.createDataFrame(rows, EVENTS), 2, 600.0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert 0 < steps.value <= 9
