@@ -89,3 +89,15 @@ def test_keys_share_calls_of_the_state_store(spark, tmp_path, monkeypatch):
     want = store.rate_decisions(spark.createDataFrame(rows, EVENTS), 2, 600.0)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert 0 < steps.value <= 9
+
+
+def test_tiles_of_one_group_turn_stale_each_in_its_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "GROUPS", 1)
+    schema, folder = "tile_key string, fetched_at timestamp, event_id long, status string", f"file://{tmp_path}"
+    at = [START + timedelta(hours=h) for h in range(6)]
+    land(spark, folder, 0, [(f"t{i}", at[i], i, "ok") for i in range(6)], schema)
+    stream = land(spark, folder, 1, [("z", START + timedelta(hours=28, minutes=30), 9, "ok")], schema)
+    got = stateful.tile_changes(stream, folder, ttl_hours=24, late="1 hour")
+    day = timedelta(hours=24)
+    want = [(f"t{i}", t, "fresh") for i, t in enumerate(at)] + [(f"t{i}", t + day, "stale") for i, t in enumerate(at) if t + day < START + timedelta(hours=27, minutes=30)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
