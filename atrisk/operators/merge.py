@@ -1,8 +1,9 @@
 """Whole records of clusters: a primary whose gaps other records fill, with what each gave.
 
-Every filled value is a fact of its own, so that a cluster's records are reduced by partial
-aggregation and never meet in one task. Records are dealt out before their facts are spelt out and
-sorted, as many records lie in one split of a small file."""
+Every filled value is a fact of its own. Records are dealt out by cluster before their facts are
+spelt out and sorted, a large cluster's in shares; a share is reduced where it lies, and what is
+left of a cluster's shares meets in one task. There are as many tasks as ``ROWS`` asks for, so
+that what one sorts in memory does not grow with the input."""
 
 from __future__ import annotations
 
@@ -11,12 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atrisk.operators.shared import dealt
-
 # The capacities that are filled, the most a merged record is trusted, and what each further record adds.
 CAPACITIES = ["people", "beds", "students", "places", "animals", "livestock_units", "dwellings"]
 MOST, EACH, UNKNOWN = 0.98, 0.06, 0.5
 LISTS = ["phone", "email"]
+#: Records of a task, and of a share of a large cluster.
+ROWS, SHARE = 1 << 16, 1 << 12
 #: Single fields by the name that provenance gives them.
 SINGLE = {"contacts.website": "website", "contacts.operator": "operator", **{f"capacity.{c}": c for c in CAPACITIES}, "name": "name", "footprint_m2": "footprint_m2", "floors": "floors"}
 
@@ -27,9 +28,10 @@ def _order(priority: dict[str, int]) -> Column:
 
 
 def _facts(ranked: DataFrame) -> DataFrame:
-    """``cluster, doc_id, source_id, at, field, slot, value, more``: what records have to give.
-    Zero and empty single values are missing. ``slot`` tells the values of a list and the
-    attributes apart, ``more`` goes along with a value (a footprint's kind, a capacity's basis)."""
+    """``cluster, share, doc_id, source_id, at, field, slot, value, more``: what records have to
+    give. Zero and empty single values are missing. ``slot`` tells the values of a list and the
+    attributes apart, ``more`` goes along with a value (a footprint's kind, a capacity's basis).
+    Every record gives the field '', of which the first is the primary's."""
     text = lambda c: F.col(c).cast("string")
     none = F.lit(None).cast("string")
 
@@ -46,10 +48,26 @@ def _facts(ranked: DataFrame) -> DataFrame:
 
     address = F.transform(F.filter(F.map_entries("address"), lambda e: e["value"].isNotNull() & (e["value"] != "")), lambda e: fact(F.concat(F.lit("address."), e["key"]), F.lit(""), e["value"]))
     attributes = F.transform(F.map_entries("attributes"), lambda e: fact(F.lit("attribute"), e["key"], e["value"]))
-    given = F.array_compact(F.array(*(single(f, c) for f, c in SINGLE.items())))
+    given = F.array_compact(F.array(fact(F.lit(""), F.lit(""), none), *(single(f, c) for f, c in SINGLE.items())))
     empty = F.slice(given, 1, 0)
-    rows = ranked.select("cluster", "doc_id", "source_id", "order", F.explode(F.concat(given, *(F.coalesce(a, empty) for a in (*map(listed, LISTS), address, attributes)))).alias("f"))
-    return rows.select("cluster", "doc_id", "source_id", F.struct("order", "f.i").alias("at"), "f.field", "f.slot", "f.value", "f.more")
+    rows = ranked.select("cluster", "share", "doc_id", "source_id", "order", F.explode(F.concat(given, *(F.coalesce(a, empty) for a in (*map(listed, LISTS), address, attributes)))).alias("f"))
+    return rows.select("cluster", "share", "doc_id", "source_id", F.struct("order", "f.i").alias("at"), "f.field", "f.slot", "f.value", "f.more")
+
+
+def _first(facts: DataFrame, tasks: int, *more: str) -> DataFrame:
+    """The first fact of every ``cluster, field, slot``: in each share, then of the shares."""
+    least = F.min_by(F.struct("at", "doc_id", *more), "at").alias("w")
+    shares = facts.groupBy("cluster", "share", "field", "slot").agg(least).select("cluster", "field", "slot", "w.*")
+    return shares.repartition(tasks, "cluster").groupBy("cluster", "field", "slot").agg(least).select("cluster", "field", "slot", "w.*")
+
+
+def _shared(records: DataFrame, labels: DataFrame, tasks: int) -> DataFrame:
+    """Records with ``cluster, share``."""
+    members = labels.select("doc_id", "cluster")
+    large = members.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") > SHARE)  # at most one in SHARE records
+    share = F.pmod(F.xxhash64("doc_id"), F.ceil(F.coalesce("n", F.lit(1)) / SHARE)).alias("share")
+    members = members.join(F.broadcast(large), "cluster", "left").select("doc_id", "cluster", share)
+    return records.repartition(tasks, "doc_id").join(members.repartition(tasks, "doc_id").hint("merge"), "doc_id")
 
 
 def merged_records(records: DataFrame, labels: DataFrame, priority: dict[str, int], kept: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -68,15 +86,20 @@ def merged_records(records: DataFrame, labels: DataFrame, priority: dict[str, in
     Provenance has ``cluster, doc_id, source_id, source_ref, fields``: identity and geometry for
     the primary, sorted names of what others gave, or corroboration.
     """
-    ranked = dealt(records.join(labels.select("doc_id", "cluster"), "doc_id"), "cluster", "doc_id").withColumn("order", _order(priority))
+    tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-records.count() // ROWS))
+    shared = _shared(records, labels, tasks)
+    ranked = shared.repartition(tasks, "cluster", "share").withColumn("order", _order(priority))
     own = F.struct("doc_id", "source_id", "source_ref", "category", "lon", "lat", "confidence", "basis", "geometry_kind", *kept)
-    primary = ranked.groupBy("cluster").agg(F.min_by(own, "order").alias("p"), F.count("*").alias("merged_count"))
+    shares = ranked.groupBy("cluster", "share").agg(F.min_by(own, "order").alias("p"), F.min("order").alias("order"), F.count("*").alias("n"))
+    primary = shares.repartition(tasks, "cluster").groupBy("cluster").agg(F.min_by("p", "order").alias("p"), F.sum("n").alias("merged_count"))
     facts = _facts(ranked)
-    first = facts.groupBy("cluster", "field", "slot").agg(F.min_by(F.struct("at", "doc_id", "value", "more"), "at").alias("w")).select("cluster", "field", "slot", "w.*")
+    first = _first(facts.filter("field != ''"), tasks, "value", "more")
     plain = first.filter("field = 'attribute'")
-    others = facts.filter("field = 'attribute'").join(plain.select("cluster", "slot", "doc_id"), ["cluster", "slot", "doc_id"], "left_anti")
-    spaced = others.select("cluster", F.concat_ws(":", "source_id", "slot").alias("slot"), "at", "value")
-    named = plain.select("cluster", "slot", "at", "value", F.lit(0).alias("late")).unionByName(spaced.withColumn("late", F.lit(1)))
+    who = ["cluster", "slot", "doc_id"]
+    others = facts.filter("field = 'attribute'").repartition(tasks, *who).join(plain.select(*who).repartition(tasks, *who).hint("merge"), who, "left_anti")
+    spaced = others.select("cluster", "share", F.concat_ws(":", "source_id", "slot").alias("slot"), "at", "value").repartition(tasks, "cluster", "share")
+    spaced = spaced.groupBy("cluster", "share", "slot").agg(F.min_by(F.struct("at", "value"), "at").alias("w")).select("cluster", "slot", "w.*")
+    named = plain.select("cluster", "slot", "at", "value", F.lit(0).alias("late")).unionByName(spaced.withColumn("late", F.lit(1))).repartition(tasks, "cluster")
     attributes = named.groupBy("cluster", "slot").agg(F.min_by("value", F.struct("late", "at")).alias("value")).groupBy("cluster").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "value")), lambda a, b: F.when(a["slot"] < b["slot"], -1).when(a["slot"] > b["slot"], 1).otherwise(0))).alias("attributes"))
 
     won = lambda field, part="value": F.max(F.when(F.col("field") == field, F.col(part)))
@@ -94,7 +117,8 @@ def merged_records(records: DataFrame, labels: DataFrame, priority: dict[str, in
         F.coalesce("address", F.map_from_arrays(nothing, nothing)).alias("address"), F.coalesce("attributes", F.map_from_arrays(nothing, nothing)).alias("attributes"),
         F.coalesce("p.basis", "first_basis").alias("basis"), F.coalesce("kind", "p.geometry_kind").alias("geometry_kind"), "merged_count", confidence.alias("confidence"), *(F.col(f"p.{c}").alias(c) for c in kept),
     )
-    gave = first.filter("field != 'attribute'").groupBy("cluster", "doc_id").agg(F.array_sort(F.collect_set("field")).alias("gave"))
-    members = ranked.select("cluster", "doc_id", "source_id", "source_ref").join(primary.select("cluster", F.col("p.doc_id").alias("primary")), "cluster").join(gave, ["cluster", "doc_id"], "left")
-    fields = F.when(F.col("doc_id") == F.col("primary"), F.array(F.lit("identity"), F.lit("geometry"))).otherwise(F.coalesce("gave", F.array(F.lit("corroboration"))))
+    who = ["cluster", "doc_id"]
+    gave = _first(facts.filter("field != 'attribute'"), tasks).repartition(tasks, *who).groupBy(*who).agg(F.array_sort(F.collect_set("field")).alias("gave"))
+    members = shared.filter("cluster is not null").select(*who, "source_id", "source_ref").repartition(tasks, *who).join(gave.hint("merge"), who, "left")
+    fields = F.when(F.array_contains("gave", ""), F.array(F.lit("identity"), F.lit("geometry"))).otherwise(F.coalesce("gave", F.array(F.lit("corroboration"))))
     return merged, members.select("cluster", "doc_id", "source_id", "source_ref", fields.alias("fields"))

@@ -55,3 +55,21 @@ def test_records_of_one_split_are_dealt_out_before_their_facts(spark, monkeypatc
     monkeypatch.setattr(merge, "_facts", seen)
     merge.merged_records(*merge_queries._records(spark, "/root/testdata/sf0.001"), fx.SOURCES)
     assert max(tasks[0]) < 100  # of 150
+
+
+def test_tasks_follow_the_rows_and_large_clusters_come_in_shares(spark, monkeypatch):
+    """What a task holds doesn't grow with the input, and shares change no result."""
+    rows = [{"doc_id": i, "source_id": ["osm", "schools", "facilities"][i % 3], "source_ref": str(i), "confidence": i % 7 / 10, "phone": [str(i % 5), str(i)], "beds": float(i % 2), "basis": f"b{i}", "attributes": {"ref": str(i), f"own{i % 4}": "x"}, "address": {"street": f"s{i}"} if i % 6 else {}} for i in range(120)]
+    clusters = {i: 1 if i < 90 else i // 3 for i in range(120)}
+    whole = run(spark, rows, clusters)
+    monkeypatch.setattr(merge, "ROWS", 10)
+    monkeypatch.setattr(merge, "SHARE", 8)
+    tasks, facts = [], merge._facts
+
+    def seen(ranked):
+        tasks.append(ranked.rdd.glom().map(len).collect())
+        return facts(ranked)
+
+    monkeypatch.setattr(merge, "_facts", seen)
+    assert run(spark, rows, clusters) == whole
+    assert len(tasks[0]) == 12 and max(tasks[0]) < 60  # 90 are one cluster
