@@ -10,7 +10,10 @@ import contextlib
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -37,99 +40,127 @@ def _state_store(spark: SparkSession):
 GROUPS = 1024
 
 
+def _packed(rows: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as stream:
+        stream.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
 class _InOrder:
-    """Keeps rows until the watermark has passed them, then hands each key's on in order.
+    """Keeps rows until the watermark has passed them, then hands them on by key and in order.
 
     Calls between Python and the state store cost some milliseconds, so keys share them: a state
-    is one row for a group of keys, of which each has its own rows, values and times to wake."""
+    is one row for a group of keys. Its waiting rows and what its keys keep are a table of Arrow
+    each, packed as bytes, so that storing a value costs no object of its own."""
 
-    key = "long"
+    key = pa.int64()
     #: What a waiting row holds beside its key, its time in microseconds first.
-    waits = {"at": "long", "event_id": "long"}
-    #: What a key keeps beside, and has at first.
+    waits = {"at": pa.int64(), "event_id": pa.int64()}
+    #: What a key keeps beside.
     keeps: dict = {}
-    start: tuple = ()
     #: The columns of results.
     gives: dict = {}
 
-    def settle(self, key, ready: list[tuple], kept: tuple, passed: int) -> tuple[list[tuple], tuple, int | None]:
-        """A key's results of rows in order, what it keeps, and when it wakes without any row."""
+    def settle(self, ready: pa.Table, kept: pa.Table, passed: int) -> tuple[dict, pa.Table, int | None]:
+        """Columns of results of rows in order of key and time, what keys keep, and when the first
+        of these wakes without any row."""
         raise NotImplementedError
 
     def step(self, group, frames, state) -> Iterator[pd.DataFrame]:
-        n = 1 + len(self.waits)
-        held = state.get if state.exists else [[] for _ in range(n + 1 + len(self.keeps))]
-        waiting, kept = [list(c) for c in held[:n]], {key: tuple(values) for key, *values in zip(*held[n:], strict=True)}
+        schema = pa.schema({"key": self.key, **self.waits})
+        if state.exists:
+            waiting, kept = (pa.ipc.open_stream(bytes(x)).read_all() for x in state.get)
+        else:
+            waiting, kept = schema.empty_table(), pa.schema({"key": self.key, **self.keeps}).empty_table()
         if not state.hasTimedOut:
-            for frame in frames:
-                for column, name in zip(waiting, ("key", *self.waits), strict=True):
-                    column.extend(frame[name].tolist())
-        mark = state.getCurrentWatermarkMs()
-        ready, rest, made, wakes = dict.fromkeys(kept, ()), [], [], []
-        for key, *row in sorted(zip(*waiting, strict=True)):
-            if 0 < mark and row[0] <= mark * 1000:
-                ready[key] = ready.get(key) or []
-                ready[key].append(row)
-            else:
-                rest.append((key, *row))
-        for key, rows in ready.items():
-            found, kept[key], wake = self.settle(key, rows, kept.get(key, self.start), mark * 1000)
-            made += found
-            if wake is not None:
-                wakes.append(wake)
-        columns = lambda rows, width: list(map(list, zip(*rows, strict=True))) or [[] for _ in range(width)]
-        state.update((*columns(rest, n), *columns([(key, *values) for key, values in kept.items()], 1 + len(self.keeps))))
-        wakes += [r[1] for r in rest]
+            waiting = pa.concat_tables([waiting, *(pa.Table.from_pandas(f[schema.names], schema, preserve_index=False) for f in frames)])
+        mark, made, wakes = state.getCurrentWatermarkMs(), {}, []
+        if mark > 0:
+            passed = pc.less_equal(waiting["at"], mark * 1000)
+            ready, waiting = waiting.filter(passed), waiting.filter(pc.invert(passed))
+            made, kept, wake = self.settle(ready.sort_by([(c, "ascending") for c in schema.names]).combine_chunks(), kept.combine_chunks(), mark * 1000)
+            wakes += [] if wake is None else [wake]
+        state.update((_packed(waiting), _packed(kept)))
+        if len(waiting):
+            wakes.append(pc.min(waiting["at"]).as_py())
         if wakes:  # a timer is due once the watermark is beyond it
             state.setTimeoutTimestamp(max((min(wakes) - 1) // 1000, mark, 1))
-        if made:
-            yield pd.DataFrame(dict(zip(self.gives, columns(made, 0), strict=True)))
+        if made and len(made[next(iter(self.gives))]):
+            yield pd.DataFrame({c: made[c] for c in self.gives})
 
     def over(self, rows: DataFrame) -> DataFrame:
         """Results over rows of ``key``, what waits, and ``time``."""
-        held = {"waiting_key": self.key, **{f"waiting_{c}": kind for c, kind in self.waits.items()}, "key": self.key, **self.keeps}
         dealt = rows.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS)))
-        return dealt.groupBy("group").applyInPandasWithState(self.step, self.schema(), ", ".join(f"{c} array<{kind}>" for c, kind in held.items()), "Append", GroupStateTimeout.EventTimeTimeout)
+        return dealt.groupBy("group").applyInPandasWithState(self.step, self.schema(), "waiting binary, kept binary", "Append", GroupStateTimeout.EventTimeTimeout)
 
     def schema(self) -> str:
         return ", ".join(f"{c} {kind}" for c, kind in self.gives.items())
 
 
+def _bounds(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key's rows begin and end, of sorted keys."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)))
+    return first, np.append(first[1:], len(keys))
+
+
 class _Rates(_InOrder):
-    keeps, start = {"hits": "array<long>"}, ((),)
+    keeps = {"hits": pa.list_(pa.int64())}
     gives = {"event_id": "long", "key": "long", "allowed": "boolean", "remaining": "long", "retry_after": "long"}
 
     def __init__(self, limit: int, seconds: float) -> None:
         self.limit, self.seconds = limit, seconds
 
-    def settle(self, key, ready, kept, passed):
-        hits = deque(kept[0])
-        made = [(event, key, *decision(hits, at, self.limit, self.seconds)) for at, event in ready]
-        return made, (list(hits),), None
+    def settle(self, ready, kept, passed):
+        hits = dict(zip(kept["key"].to_pylist(), kept["hits"].to_pylist(), strict=True))
+        keys, at = ready["key"].combine_chunks(), ready["at"].to_pylist()
+        first, end = _bounds(keys)
+        made = []
+        for key, lo, hi in zip(keys.take(pa.array(first)).to_pylist(), first.tolist(), end.tolist(), strict=True):
+            held = deque(hits.get(key, ()))
+            made += [decision(held, x, self.limit, self.seconds) for x in at[lo:hi]]
+            hits[key] = list(held)
+        columns = zip(*made, strict=True) if made else ((), (), ())
+        out = {"event_id": ready["event_id"].to_numpy(), "key": ready["key"].to_numpy(), **dict(zip(("allowed", "remaining", "retry_after"), columns, strict=True))}
+        return out, pa.table({"key": pa.array(hits.keys(), self.key), "hits": pa.array(hits.values(), self.keeps["hits"])}), None
 
 
 class _Tiles(_InOrder):
-    key = "string"
-    waits = {**_InOrder.waits, "status": "string"}
-    keeps, start = {"state": "string", "until": "long"}, (None, None)
+    key = pa.string()
+    waits = {**_InOrder.waits, "status": pa.string()}
+    #: When a tile's last outcome runs out; a stale tile keeps nothing.
+    keeps = {"until": pa.int64()}
     gives = {"tile_key": "string", "since": "long", "state": "string"}
 
     def __init__(self, ttl_hours: float, backoff_minutes: float) -> None:
-        self.lasts = {True: int(ttl_hours * 3.6e9), False: int(backoff_minutes * 6e7)}
-
-    def settle(self, key, ready, kept, passed):
-        state, until = kept
-        made = []
-        for at, _, status in ready:
-            if until is not None and at > until:
-                made.append((key, until, "stale"))
-            ok = status == "ok"
-            state, until = ("fresh" if ok else "failed"), at + self.lasts[ok]
-            made.append((key, at, state))
-        if until is not None and until < passed:
-            made.append((key, until, "stale"))
-            state, until = "stale", None
-        return made, (state, until), None if until is None else until + 1
+        self.fresh, self.failed = int(ttl_hours * 3.6e9), int(backoff_minutes * 6e7)
+
+    def settle(self, ready, kept, passed):
+        keys, at, ok = ready["key"].combine_chunks(), ready["at"].to_numpy(), pc.equal(ready["status"], "ok").to_numpy()
+        until = at + np.where(ok, self.fresh, self.failed)
+        first, end = _bounds(keys)
+        own, before = keys.take(pa.array(first)), kept["key"].combine_chunks()
+        # until when the outcome before each row held, if there is one
+        place = pc.index_in(own, value_set=before)
+        held, known = np.roll(until, 1), np.ones(len(at), bool)
+        known[first] = place.is_valid().to_numpy(zero_copy_only=False)
+        old = kept["until"].to_numpy()
+        held[first[known[first]]] = old[place.drop_null().to_numpy()]
+        stale = known & (at > held)
+        # what each key's last outcome leaves
+        idle = pc.invert(pc.is_in(before, value_set=own))
+        last = end - 1
+        names, ends = pa.concat_arrays([own, before.filter(idle)]), np.concatenate([until[last], old[idle.to_numpy(zero_copy_only=False)]])
+        over = ends < passed
+        made = {
+            "tile_key": pa.concat_arrays([keys, keys.filter(pa.array(stale)), names.filter(pa.array(over))]).to_numpy(zero_copy_only=False),
+            "since": np.concatenate([at, held[stale], ends[over]]),
+            "state": np.concatenate([np.where(ok, "fresh", "failed").astype(object), np.full(stale.sum() + over.sum(), "stale", object)]),
+        }
+        live = ends[~over]
+        return made, pa.table({"key": names.filter(pa.array(~over)), "until": pa.array(live, pa.int64())}), int(live.min()) + 1 if len(live) else None
 
 
 def _written(made: DataFrame, out: str, checkpoint: str) -> None:

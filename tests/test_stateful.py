@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from atrisk.operators import store
@@ -101,3 +102,38 @@ def test_tiles_of_one_group_turn_stale_each_in_its_time(spark, tmp_path, monkeyp
     day = timedelta(hours=24)
     want = [(f"t{i}", t, "fresh") for i, t in enumerate(at)] + [(f"t{i}", t + day, "stale") for i, t in enumerate(at) if t + day < START + timedelta(hours=27, minutes=30)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+class _Held:
+    """A group's state without Spark."""
+
+    exists = hasTimedOut = False
+    mark, get, wake = 0, None, None
+
+    def getCurrentWatermarkMs(self):  # noqa: N802
+        return self.mark
+
+    def update(self, new):
+        self.get, self.exists = new, True
+
+    def setTimeoutTimestamp(self, at):  # noqa: N802
+        self.wake = at
+
+
+def test_a_group_is_settled_whole_and_kept_as_two_blocks_of_bytes():
+    """Values of a state are no objects of their own; tiles equal a loop over their rows."""
+    rng, hour = random.Random(3), 3_600_000_000
+    rows = [(f"t{rng.randrange(6)}", rng.randrange(1, 400) * hour // 4, i, rng.choice(["ok", "error", ""])) for i in range(300)]
+    tiles, held, got = stateful._Tiles(5, 30), _Held(), []
+    for mark, part in ((0, rows[:100]), (0, rows[100:]), (30, []), (60, []), (200, [])):
+        held.mark = mark * 3_600_000
+        frames = [pd.DataFrame(part, columns=["key", "at", "event_id", "status"])] if part else []
+        got += [tuple(r) for f in tiles.step((0,), frames, held) for r in f.itertuples(index=False)]
+        assert len(held.get) == 2 and all(isinstance(x, bytes) for x in held.get)
+    want = []
+    for key in {r[0] for r in rows}:
+        own = sorted(r[1:] for r in rows if r[0] == key)
+        ends = [at + (5 * hour if status == "ok" else hour // 2) for at, _, status in own]
+        want += [(key, at, "fresh" if status == "ok" else "failed") for at, _, status in own]
+        want += [(key, end, "stale") for end, after in zip(ends, [*(r[0] for r in own[1:]), 200 * hour], strict=True) if after > end]
+    assert sorted(got) == sorted(want)
