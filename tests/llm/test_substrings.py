@@ -100,3 +100,14 @@ def test_suffix_array_and_prefixes():
         assert order.tolist() == [place[k, i] for _, k, i in want]
         common = [0] + [next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for (a, _, _), (b, _, _) in zip(want, want[1:], strict=False)]
         assert substrings.kasai(raw, ends, order, 20).tolist() == [min(c, 20) for c in common]
+
+
+def test_what_is_left_is_given_beside_its_digest(spark):
+    rows = cases()
+    for r in substrings.remove_repeats(frame(spark, rows)).collect():
+        assert len(r.kept) == r.n_bytes - r.n_removed and hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
+    given = {d.doc_id: d.text or "" for d in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    result = queries.queries()["op11_suffix_dedup"](spark, "/root/testdata/sf0.001").collect()
+    assert len(result) == len(given) and {r.n_removed > 0 for r in result} == {True, False}
+    for r in result:
+        assert r.text == given[r.doc_id] if not r.n_removed else len(r.text.encode()) <= r.n_bytes - r.n_removed + 4 * (r.n_spans + 1)
